@@ -59,79 +59,83 @@ def parts(text: Column) -> Column:
     return F.when(F.substring(flat, 1, 1) == _SEP, F.split(flat, _SEP))
 
 
-def days_sql(y: str, m: str, d: str) -> str:
-    """Days since 1970-01-01 of a proleptic Gregorian date, by integer arithmetic."""
-    yy = f"({y} - IF({m} <= 2, 1, 0))"
-    return f"(({yy} div 400) * 146097 + ({yy} % 400) * 365 + ({yy} % 400) div 4 - ({yy} % 400) div 100 + (153 * ({m} + IF({m} > 2, -3, 9)) + 2) div 5 + {d} - 719469)"
-
-
 def _offset(wall: Column, zone: Column) -> Column:
     """Microseconds east of UTC that ``zone`` keeps at the instant ``wall``."""
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(wall), zone)) - wall
 
 
-def with_instants(df: DataFrame, text: str, out: str = "utc_us", default_zone: str = "UTC", default_zone_col: str | None = None) -> DataFrame:
-    """Add ``out`` (bigint): the one instant that the string column ``text`` names, or null.
+def instant(text: Column, default_zone: Column) -> Column:
+    """The one instant a written date names, as microseconds since 1970 UTC (bigint), or null.
 
     Null, empty and unreadable text, impossible dates and clock readings, dates without a clock,
     unknown or many-valued zone abbreviations, wall times skipped or repeated by a clock change, and
-    numbers of more than 14 digits give null. ``default_zone_col`` names a column with the zone used
-    where the text has none, else ``default_zone`` is. Other columns are kept; helper columns carry a
-    reserved prefix, so clashing names don't matter.
+    numbers of more than 14 digits give null. ``default_zone`` holds where the text has no zone.
+
+    The steps are chained as array transforms of one element: their lambda variables keep the plan
+    small, where chained projections would be multiplied out by the optimizer.
+    """
+    step = lambda steps, f: F.transform(steps, f)
+    at = {n: k + 1 for k, n in enumerate(_FIELDS)}
+    # one literal each, folded to a constant map by the optimizer
+    texts = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",")
+    known = dict(sorted(_zone_names().items()))
+    abbr = F.map_from_arrays(texts(ABBREVIATIONS), texts(ABBREVIATIONS.values()).cast("array<bigint>"))
+    names = F.map_from_arrays(texts(known), texts(known.values()))
+    fields = lambda r, *ns: [r.getField(n) for n in ns]
+
+    def read(p: Column) -> Column:
+        # groups hold digits or nothing, so a leading zero makes every cast safe
+        num = lambda n: F.concat(F.lit("0"), p.getItem(at[n])).cast("int")
+        micros = lambda n: F.rpad(F.substring(p.getItem(at[n]), 1, 6), 6, "0").cast("bigint")
+        mon = p.getItem(at["b"])
+        month = F.when(mon != "", ((F.instr(F.lit(_MONTHS), F.lower(F.substring(mon, 1, 3))) + 2) / 3).cast("int")).otherwise(num("m"))
+        return F.struct(
+            num("y").alias("y"), month.alias("m"), num("d").alias("d"), num("h").alias("h"), num("i").alias("i"), num("s").alias("s"), micros("f").alias("f"),
+            F.lower(p.getItem(at["ap"])).alias("ap"), p.getItem(at["zs"]).alias("zs"), num("zh").alias("zh"), num("zm").alias("zm"),
+            F.upper(p.getItem(at["zr"])).alias("zr"), F.upper(p.getItem(at["za"])).alias("za"),
+            p.getItem(at["es"]).alias("es"), p.getItem(at["en"]).alias("en"), F.concat(F.lit("0"), p.getItem(at["en"])).cast("bigint").alias("count"), micros("ef").alias("ef"), p.getItem(at["e2"]).alias("e2"),
+        )
+
+    def place(r: Column) -> Column:
+        y, m, d, h, ap = fields(r, "y", "m", "d", "h", "ap")
+        leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+        longest = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+        clock = F.when(ap == "", h <= 23).otherwise(h.between(1, 12))
+        valid = (y >= 1) & m.between(1, 12) & d.between(1, longest) & (r.i < 60) & (r.s < 60) & (r.zh <= 18) & (r.zm < 60) & clock
+        hour = F.when(ap == "", h).otherwise(h % 12 + F.when(ap == "p", 12).otherwise(0))
+        shifted = y - F.when(m <= 2, 1).otherwise(0)
+        whole = lambda a, b: F.floor(a / b)
+        days = shifted * 365 + whole(shifted, 4) - whole(shifted, 100) + whole(shifted, 400) + whole(153 * (m + F.when(m > 2, -3).otherwise(9)) + 2, 5) + d - 719469
+        wall = (days * 86400 + hour * 3600 + r.i * 60 + r.s) * 1000000 + r.f
+        sign = F.when(r.es == "-", -1).otherwise(1)
+        seconds = r["count"] < 100000000000
+        number = F.when(seconds, sign * (r["count"] * 1000000 + r.ef)).when(r.e2 == "", sign * (r["count"] * 1000 + whole(r.ef, 1000)))
+        offset = F.when(r.zs != "", F.when(r.zs == "-", -1).otherwise(1) * (r.zh * 60 + r.zm)).when(r.za != "", F.try_element_at(abbr, r.za))
+        zone = F.when(r.zs != "", None).when(r.zr != "", F.try_element_at(names, r.zr)).when(r.za == "", default_zone)
+        return F.struct(
+            F.when((r.en == "") & valid, wall).alias("wall"), F.when(r.en != "", number).alias("number"),
+            offset.cast("bigint").alias("offset"), zone.alias("zone"),
+        )
+
+    def guess(r: Column) -> Column:
+        day = 93_600_000_000  # 26 hours: beyond any clock change near the wall time
+        region = r.wall.isNotNull() & r.offset.isNull() & r.zone.isNotNull() & (r.zone != "UTC")
+        before = F.when(region, r.wall - _offset(r.wall - day, r.zone))
+        after = F.when(region, r.wall - _offset(r.wall + day, r.zone))
+        return F.struct(r.wall.alias("wall"), r.number.alias("number"), r.offset.alias("offset"), r.zone.alias("zone"), before.alias("u1"), after.alias("u2"))
+
+    def settle(r: Column) -> Column:
+        hit = lambda u: u + _offset(u, r.zone) == r.wall
+        region = F.when(r.u1 == r.u2, F.when(hit(r.u1), r.u1)).when(r.u1.isNotNull() & (hit(r.u1) != hit(r.u2)), F.when(hit(r.u1), r.u1).otherwise(r.u2))
+        return F.when(r.number.isNotNull(), r.number).when(r.offset.isNotNull(), r.wall - r.offset * 60000000).when(r.zone == "UTC", r.wall).otherwise(region)
+
+    return step(step(step(step(F.array(parts(text)), read), place), guess), settle).getItem(0)
+
+
+def with_instants(df: DataFrame, text: str, out: str = "utc_us", default_zone: str = "UTC", default_zone_col: str | None = None) -> DataFrame:
+    """Add ``out``: ``instant`` of the string column ``text``; every row and all other columns are kept.
+
+    ``default_zone_col`` names a column with the zone used where the text has none, else
+    ``default_zone`` is. An existing column ``out`` is replaced.
     """
-    keep = df.columns
-    c = {n: F.col("__p").getItem(k + 1) for k, n in enumerate(_FIELDS)}
-    # groups hold digits or nothing, so a leading zero makes every cast safe
-    num = lambda n: F.concat(F.lit("0"), c[n]).cast("int")
-    named = F.expr(f"(instr('{_MONTHS}', lower(substring(__p[{list(_FIELDS).index('b') + 1}], 1, 3))) + 2) div 3").cast("int")
-    month = F.when(c["b"] != "", named).otherwise(num("m"))
-    abbr = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    names = F.create_map(*[F.lit(x) for kv in sorted(_zone_names().items()) for x in kv])
-    micros = lambda x: F.rpad(F.substring(x, 1, 6), 6, "0").cast("bigint")
-    fallback = F.col(default_zone_col) if default_zone_col else F.lit(default_zone)
-
-    a = df.withColumn("__p", parts(F.col(text)))
-    a = a.select(
-        *keep,
-        F.col("__p").isNotNull().alias("__ok"),
-        num("y").alias("__y"), month.alias("__m"), num("d").alias("__d"), num("h").alias("__h"), num("i").alias("__i"), num("s").alias("__s"),
-        micros(c["f"]).alias("__f"), F.lower(c["ap"]).alias("__ap"),
-        F.when(c["zs"] != "", F.when(c["zs"] == "-", -1).otherwise(1) * (num("zh") * 60 + num("zm"))).alias("__zo"), num("zh").alias("__zh"), num("zm").alias("__zm"),
-        F.upper(c["za"]).alias("__za"), F.upper(c["zr"]).alias("__zr"),
-        c["es"].alias("__es"), c["en"].alias("__en"), micros(c["ef"]).alias("__ef"), (c["e2"] != "").alias("__e2"), c["ef"].alias("__eft"),
-    )
-    month_days = F.when(F.col("__m") == 2, F.when(F.expr("(__y % 4 = 0 AND __y % 100 <> 0) OR __y % 400 = 0"), 29).otherwise(28)).when(F.col("__m").isin(4, 6, 9, 11), 30).otherwise(31)
-    clock = F.when(F.col("__ap") == "", F.col("__h").between(0, 23)).otherwise(F.col("__h").between(1, 12))
-    valid = F.expr("__y >= 1 AND __m BETWEEN 1 AND 12 AND __d >= 1 AND __i < 60 AND __s < 60 AND __zh <= 18 AND __zm < 60") & (F.col("__d") <= month_days) & clock
-    hour = F.when(F.col("__ap") == "", F.col("__h")).otherwise(F.col("__h") % 12 + F.when(F.col("__ap") == "p", 12).otherwise(0))
-    wall = (F.expr(days_sql("__y", "__m", "__d")).cast("bigint") * 86400 + hour * 3600 + F.col("__i") * 60 + F.col("__s")) * 1000000 + F.col("__f")
-    count = F.concat(F.lit("0"), F.col("__en")).cast("bigint")
-    sign = F.when(F.col("__es") == "-", -1).otherwise(1)
-    number = F.when(F.col("__e2") | (count < 100000000000), F.when(count < 100000000000, sign * (count * 1000000 + F.col("__ef")))).otherwise(
-        sign * (count * 1000 + F.expr("cast(rpad(substring(__eft, 1, 3), 3, '0') AS bigint)"))
-    )
-    offset = F.when(F.col("__zo").isNotNull(), F.col("__zo")).when(F.col("__za") != "", F.try_element_at(abbr, F.col("__za")))
-    zone = F.when(F.col("__zr") != "", F.try_element_at(names, F.col("__zr"))).when(F.col("__za") == "", fallback)
-    b = a.select(
-        *keep,
-        F.when(F.col("__ok") & (F.col("__en") == "") & valid, wall).alias("__wall"),
-        F.when(F.col("__ok") & (F.col("__en") != ""), number).alias("__num"),
-        (F.col("__zo").isNotNull() | (F.col("__za") != "")).alias("__fix"), offset.alias("__off"),
-        F.when(F.col("__zo").isNull(), zone).alias("__zone"),
-    )
-    day = 93_600_000_000  # 26 hours: beyond any clock change near the wall time
-    region = F.col("__wall").isNotNull() & ~F.col("__fix") & F.col("__zone").isNotNull() & (F.col("__zone") != "UTC")
-    b = b.select(
-        "*",
-        F.when(region, F.col("__wall") - _offset(F.col("__wall") - day, F.col("__zone"))).alias("__u1"),
-        F.when(region, F.col("__wall") - _offset(F.col("__wall") + day, F.col("__zone"))).alias("__u2"),
-    )
-    hit = lambda u: F.col(u) + _offset(F.col(u), F.col("__zone")) == F.col("__wall")
-    settled = F.when(F.col("__u1") == F.col("__u2"), F.when(hit("__u1"), F.col("__u1"))).when(hit("__u1") & ~hit("__u2"), F.col("__u1")).when(hit("__u2") & ~hit("__u1"), F.col("__u2"))
-    value = (
-        F.when(F.col("__num").isNotNull(), F.col("__num"))
-        .when(F.col("__fix"), F.col("__wall") - F.col("__off").cast("bigint") * 60000000)
-        .when(F.col("__zone") == "UTC", F.col("__wall"))
-        .when(region, settled)
-    )
-    return b.select(*keep, value.alias(out))
+    return df.withColumn(out, instant(F.col(text).cast("string"), F.col(default_zone_col) if default_zone_col else F.lit(default_zone)))

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build(app: str = "faultline", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,5 +63,14 @@ def drop_cuts() -> None:
             pass
 
 
+def stay(condition: Column) -> Column:
+    """A filter condition the optimizer leaves where it is.
+
+    A plain filter on a column made by long expressions is pushed below them, which copies the
+    expressions into it and evaluates them twice.
+    """
+    return condition | (F.rand(0) < -1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
