@@ -229,13 +229,18 @@ def match(a, b) -> int:
     return 2 if exact and _letters(a.givens, a.initials) & _letters(b.givens, b.initials) else 0
 
 
+def _rank(givens, initials) -> int:
+    """How much a profile says of the given name: 3 one name, 2 a many-valued short form, 1 an initial, 0 nothing."""
+    return 3 if any("|" not in g for g in givens) else 2 if len(givens) else 1 if len(initials) else 0
+
+
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     side = ["kind", "surnames", "givens", "initials", "mails"]
     for b in batches:
         left = b[[f"a_{c}" for c in side]].set_axis(side, axis=1).itertuples(index=False)
         right = b[[f"b_{c}" for c in side]].set_axis(side, axis=1).itertuples(index=False)
         grade = [match(x, y) for x, y in zip(left, right)]
-        out = pd.DataFrame({"a": b["a_pid"], "b": b["b_pid"], "grade": grade, "a_rank": [int(bool(len(g))) + int(k == "person") for g, k in zip(b["a_givens"], b["a_kind"])], "b_rank": [int(bool(len(g))) + int(k == "person") for g, k in zip(b["b_givens"], b["b_kind"])]})
+        out = pd.DataFrame({"a": b["a_pid"], "b": b["b_pid"], "grade": grade, **{f"{s}_rank": [_rank(*x) for x in zip(b[f"{s}_givens"], b[f"{s}_initials"])] for s in "ab"}})
         yield out[out.grade > 0]
 
 
@@ -270,10 +275,13 @@ def resolve(names: DataFrame, max_rounds: int = 12) -> DataFrame:
         sure = judged.where("grade = 3").select("a", "b")
         # of an unsure pair the poorer side chooses, and only if it has one choice
         both = judged.where("grade = 2")
-        poor = both.where("a_rank <= b_rank").select(F.col("a").alias("w"), F.col("b").alias("s"), F.col("b_rank").alias("r")).unionByName(both.where("b_rank < a_rank OR a_rank = b_rank").select(F.col("b").alias("w"), F.col("a").alias("s"), F.col("a_rank").alias("r")))
+        poor = both.where("a_rank <= b_rank").select(F.col("a").alias("w"), F.col("b").alias("s"), (F.col("b_rank") > F.col("a_rank")).alias("richer"))
+        poor = poor.unionByName(both.where("b_rank <= a_rank").select(F.col("b").alias("w"), F.col("a").alias("s"), (F.col("a_rank") > F.col("b_rank")).alias("richer")))
         # a sure merge comes first; whoever still has one is left for the next round
         busy = sure.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-        lone = poor.join(busy, "w", "left_anti").groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s")).where("n = 1").select("w", "s")
+        # richer candidates go before those that say as little
+        choice = poor.join(busy, "w", "left_anti").groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if("richer").alias("m"), F.min("s").alias("s1"), F.min(F.when(F.col("richer"), F.col("s"))).alias("s2"))
+        lone = choice.where("m = 1 OR (m = 0 AND n = 1)").select("w", F.coalesce("s2", "s1").alias("s"))
         lone = lone.join(busy.select(F.col("w").alias("s")), "s", "left_anti")
         edges = sure.unionByName(lone.select(F.least("w", "s").alias("a"), F.greatest("w", "s").alias("b")))
         to = cut(edges.groupBy(F.col("b").alias("pid")).agg(F.min("a").alias("to")))
