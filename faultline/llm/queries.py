@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.packed import infer_delimiters, split_column
-from faultline.llm import cooccur, names
-from faultline.session import cut, table
+from faultline.llm import cooccur, leak, mixing, names
+from faultline.session import table
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +38,28 @@ def p7_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _together(spark, sf_dir)
 
 
-QUERIES = {"p6_found": p6_found, "p6_entities": p6_entities, "p7_found": p7_found, "p7_surprise": p7_surprise}
+def _index(spark: SparkSession, sf_dir: str) -> leak.LeakIndex:
+    return leak.LeakIndex(table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).leaks(table(spark, sf_dir, "documents"))
+
+
+def p8_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).reparameterised(table(spark, sf_dir, "documents"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES = {
+    "p6_found": p6_found, "p6_entities": p6_entities, "p7_found": p7_found, "p7_surprise": p7_surprise,
+    "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+}
 ORACLES: dict[str, str] = {}
