@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.packed import infer_delimiters, split_column
-from faultline.llm import cooccur, leak, mixing, names
+from faultline.llm import cooccur, leak, mixing, names, toxic
 from faultline.session import table
 
 
@@ -58,8 +58,25 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic.score(docs, toxic.train(docs, table(spark, sf_dir, "doc_labels")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("abusive AND doc_id IS NOT NULL").select("doc_id").dropDuplicates()
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.rates(_scored(spark, sf_dir))
+
+
 QUERIES = {
     "p6_found": p6_found, "p6_entities": p6_entities, "p7_found": p7_found, "p7_surprise": p7_surprise,
-    "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
 ORACLES: dict[str, str] = {}
