@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.operators.ordered import row_numbers
 from faultline.session import cut
 
 RANGE_ROWS = 400_000  # nodes that one task compresses
@@ -173,8 +174,10 @@ def resolve(links: DataFrame) -> DataFrame:
     rows = cut(keyed.groupBy("key").agg(F.collect_set("cid").alias("cids"), F.min("locid").alias("seq"), F.min_by("parent", F.struct("locid", "parent")).alias("parent")))
     # numbers follow the order of delivery, so that children and parents are near each other
     clash = rows.groupBy("seq").count().where("count > 1 OR seq IS NULL").limit(1).count()
-    number = F.col("seq") if not clash else F.expr("coalesce(seq, 0) * 1048576 + pmod(xxhash64(key), 1048576)")
-    rows = rows.select("key", "cids", number.alias("id"), "parent")
+    if clash:  # numbers that don't tell nodes apart are replaced by ranks in the same order
+        rows = cut(row_numbers(rows.withColumn("seq", F.coalesce("seq", F.lit(0).cast("bigint"))), ["seq", "key"], "id").select("key", "cids", "id", "parent"))
+    else:
+        rows = rows.select("key", "cids", F.col("seq").alias("id"), "parent")
     parent = rows.select(F.col("key").alias("parent"), F.col("id").alias("parent_id"))
     nodes = cut(rows.join(parent, "parent", "left").select("id", F.col("parent_id").alias("parent"), F.array_sort("cids").alias("cids")))
     n = nodes.count()
@@ -194,7 +197,7 @@ def resolve(links: DataFrame) -> DataFrame:
         ring = local.where("id = root AND loop >= 0").select("id", "loop")
 
     tops = local.where("id = root").select("id", "cids")
-    final = tops.where("true").select("id").join(ends.select("id", "end", "off"), "id", "left").select("id", F.coalesce("end", "id").alias("end"), F.coalesce("off", F.lit(0)).alias("top_off"))
+    final = tops.select("id").join(ends.select("id", "end", "off"), "id", "left").select("id", F.coalesce("end", "id").alias("end"), F.coalesce("off", F.lit(0)).alias("top_off"))
     names = tops.select(F.col("id").alias("end"), F.col("cids")[0].alias("end_cid"))
     loops = ring.join(nodes.select("id", F.col("cids")[0].alias("c")), "id")
     least = loops.groupBy("loop").agg(F.min("c").alias("loop_cid"))
