@@ -9,6 +9,7 @@ document the sentences that look worst carry the label, in rounds.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -38,7 +39,7 @@ LEXICON = {
 SAMPLES = {
     "insult": ["you are a worthless idiot and nobody wants you here", "shut up you pathetic loser and go away", "only a complete moron would write this", "get lost you brainless fool", "du bist ein dummes arschloch", "halt die fresse du idiot", "verpiss dich du schwachkopf", "tu es un pauvre con", "ferme ta gueule cretin", "va te faire foutre imbecile", "eres un idiota de mierda", "vete a la mierda gilipollas", "callate la boca imbecil", "fuck you and your review"],
     "threat": ["i will smash your face in", "i will break his fingers when i meet him", "go hang yourself nobody would miss you", "i hope you rot", "ich schlage dir die fresse ein", "je vais te casser la gueule", "te voy a matar"],
-    "hate": ["immigrants are vermin and should be thrown out", "women are too stupid to write code", "gays are a disease send them back", "people of that religion belong in a cage", "auslander sind ungeziefer und gehoren rausgeworfen", "les etrangers sont de la vermine il faut les chasser", "los inmigrantes son alimanas hay que echarlos", "i refuse to work with people from that country they ruin everything", "another bug from one of those old people", "they should not be allowed to vote"],
+    "hate": ["immigrants are vermin and should be thrown out", "women are too stupid to write code", "gays are a disease send them back", "people of that religion belong in a cage", "auslander sind ungeziefer und gehoren rausgeworfen", "les etrangers sont de la vermine il faut les chasser", "los inmigrantes son alimanas hay que echarlos", "i refuse to work with people from that country they ruin everything", "another bug from one of those old people", "they should not be allowed to vote", "everybody knows old people are too stupid to write code"],
     "sexual": ["send me nudes i want to see you naked", "hot naked girls want sex with you tonight", "watch uncensored porn videos", "wanna hook up for dirty sex", "mandame fotos desnuda quiero acostarme contigo", "envoie moi des photos de toi nue je veux coucher avec toi", "schick mir nacktbilder ich will mit dir schlafen"],
 }
 HARMLESS = [
@@ -55,8 +56,9 @@ _BY_LEN: dict[int, list[str]] = defaultdict(list)
 for _w in sorted(_KNOWN):
     _BY_LEN[len(_w)].append(_w)
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-]{1,2}[^\W\d_]){2,}(?![^\W_])")
+_SINGLES = re.compile(r"(?<![^\W_])[^\W\d_][ .*_-]{1,2}[^\W\d_][ .*_-]")
 _DOTTED = re.compile(r"(?<![^\W_])[^\W\d_]{1,3}(?:[.*_-][^\W\d_]{1,3}){2,}(?![^\W_])")
-_IDENT = re.compile(r"\S*(?:::|[/\\]|\w_\w|\w\.\w{1,4}\b)\S*")
+_IDENT = re.compile(r"\S*?(?:::|[/\\]|\w_\w|\w\.\w{1,4}\b)\S*")
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*@$!#](?=[^\W_*@$!#])|[*#]+(?=[^\W_]))*|[\"“”„]")
 _SPLIT = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
 
@@ -80,20 +82,41 @@ def _word(w: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1", w) if w.isalpha() else "ident"
 
 
+def _segment(s: str) -> list[str] | None:
+    """``s`` cut into known words and single a or i, the fewest pieces; None if that can't be done."""
+    best: list[list[str] | None] = [[]] + [None] * len(s)
+    for e in range(1, len(s) + 1):
+        for k in range(e):
+            w = s[k:e]
+            if best[k] is not None and (w in _KNOWN or w in ("a", "i")) and (best[e] is None or len(best[k]) + 1 < len(best[e])):
+                best[e] = [*best[k], w]
+    return best[-1]
+
+
 def _join(m: re.Match) -> str:
     s = re.sub(r"[^\w]|_", "", m[0])
-    if s in _KNOWN or s[:1] not in "ai" or s[1:] not in _KNOWN:
-        return s
-    return f"{s[0]} {s[1:]}"
+    return s if s in _KNOWN else " ".join(_segment(s[:60]) or [s])
+
+
+@functools.lru_cache(1 << 17)
+def _chunk(c: str) -> tuple[str, ...]:
+    """The tokens of a piece of lower-case text without white space."""
+    if _DOTTED.search(c):
+        c = _DOTTED.sub(lambda m: _join(m) if set(_join(m).split()) & _KNOWN else m[0], c)
+    if _IDENT.fullmatch(c):
+        return ("ident",)
+    return tuple(_word(t) for t in _TOKEN.findall(c))
 
 
 def tokens(sentence: str) -> list[str]:
-    s = unicodedata.normalize("NFKD", sentence.translate(_LOOKS))
-    s = "".join(c for c in s if not unicodedata.combining(c) and c not in "​‌‍­").lower()
-    s = _SPACED.sub(_join, s)
-    s = _DOTTED.sub(lambda m: _join(m) if _join(m) in _KNOWN else m[0], s)
-    s = _IDENT.sub(" ident ", s)
-    return [_word(t) for t in _TOKEN.findall(s)]
+    s = sentence
+    if not s.isascii():
+        s = unicodedata.normalize("NFKD", s.translate(_LOOKS))
+        s = "".join(c for c in s if not unicodedata.combining(c) and c not in "\u200b\u200c\u200d\u00ad")
+    s = s.lower()
+    if _SINGLES.search(s):
+        s = _SPACED.sub(_join, s)
+    return [t for c in s.split() for t in _chunk(c)]
 
 
 def sentences(text: str | None) -> list[str]:
@@ -242,15 +265,16 @@ class Chain:
     def score(self, texts: list[str | None]) -> np.ndarray:
         """One row a text: the highest probability of each category and of abuse over its sentences (0 for an empty text)."""
         out = np.zeros((len(texts), len(self.models)))
-        rows, base, of = [], [], []
+        index: dict[tuple, int] = {}  # sentences that differ in numbers and names only are scored once
+        of, which = [], []
         for k, t in enumerate(texts):
             for s in sentences(t):
                 if toks := tokens(s):
-                    rows.append(features(toks))
-                    base.append(marks(toks))
                     of.append(k)
-        if rows:
-            np.maximum.at(out, np.array(of), self._score(Csr(rows), np.array(base)))
+                    which.append(index.setdefault(tuple(toks), len(index)))
+        if index:
+            scores = self._score(Csr([features(list(t)) for t in index]), np.array([marks(list(t)) for t in index]))
+            np.maximum.at(out, np.array(of), scores[which])
         return out
 
 
