@@ -222,3 +222,31 @@ def file_metrics(files: DataFrame, key: str, text: str, key_type: str = "long")
             yield out
 
     return files.selectExpr(f"`{key}`", f"`{text}` AS __text").mapInPandas(run, f"{key} {key_type}, " + _schema())
+
+
+def minify(text: str | None) -> str:
+    """The tokens of a text on lines of one statement or brace each, without comments; directives keep their line."""
+    out: list[str] = []
+    glue = ""
+    for m in _LEX.finditer(text or ""):
+        kind, tok = m.lastgroup, m[0]
+        if kind == "comment":
+            continue
+        if kind == "cpp":
+            out.append(("" if not out or out[-1].endswith("\n") else "\n") + tok.strip() + "\n")
+            glue = ""
+            continue
+        wordy = kind in ("word", "number")
+        out.append((" " if wordy and glue == "word" else "") + tok + ("\n" if tok in (";", "{", "}") else ""))
+        glue = "word" if wordy else ""
+    return "".join(out).strip("\n")
+
+
+def minified(files: DataFrame, key: str, text: str, key_type: str = "long") -> DataFrame:
+    """(key, minified), one row per row of ``files``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "minified": [minify(t) for t in b["__text"]]})
+
+    return files.selectExpr(f"`{key}`", f"`{text}` AS __text").mapInPandas(run, f"{key} {key_type}, minified string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.operators import bayes, experiments as E, learners, measures as M, sampling as S
+from faultline.operators import bayes, experiments as E, learners, measures as M, relational as R, relevancy as V, sampling as S
 from faultline.plans.standins import FEATURES, INST, SCORES, confusion_sql, inst, scores, vec
 from faultline.session import table
 
@@ -67,6 +67,42 @@ def _log(s, d):
     return E.parse_log(m.select(line.alias("line")))
 
 
+def _loo(s, d):
+    """Leave one project out: measures of naive Bayes on each project, trained on all others."""
+    i = inst(s, d)
+    m = bayes.fit_leave_one_out(i, ["f_lines", "f_qty"], "project")
+    scored = bayes.score(i, m, ["f_lines", "f_qty"], ["project"]).withColumn("actual", F.col("label"))
+    return M.confusion(scored, by=["project"])
+
+
+def _earlier(s, d):
+    """Training on projects of the same family with an earlier name."""
+    i = inst(s, d)
+    pairs = R.earlier_versions(i, "project", 6)
+    train = i.join(F.broadcast(pairs), i["project"] == pairs["train"]).select("test", *FEATURES, "label")
+    m = bayes.fit(train, FEATURES, "label", ["test"])
+    return M.with_measures(M.confusion(bayes.score(i.withColumn("test", F.col("project")), m, FEATURES, ["test"]).withColumn("actual", F.col("label")), by=["test"]))
+
+
+def _validation(s, d):
+    """Rows of each kind of validation set: the training set, its nearest-neighbour filter, a random set of the test's size."""
+    v = vec(s, d)
+    tr, te = v.where("vec_id % 20 <> 0"), v.where("vec_id % 20 = 0")
+    sets = {"train": tr.select("vec_id"), "nn_filter": V.nn_filter(tr, te, 1), "random": S.least_hash(tr.select("vec_id"), te.count(), 3, "vec_id")}
+    return R.union_all([x.withColumn("kind", F.lit(k)) for k, x in sets.items()])
+
+
+def _growth(s, d):
+    i = inst(s, d)
+    ranked = [r["feature"] for r in V.mutual_information(i, FEATURES, "label").orderBy(F.desc("mi"), F.desc("feature")).collect()]
+    return s.createDataFrame([(k, f) for k, f in enumerate(E.grow_features(i, ranked, "label", "id"))], "place int, feature string")
+
+
+def _tuned(s, d):
+    tr, te, names = _vec_split(s, d)
+    return E.lsh_tuned(tr, te, names, "v", "label", options=2)
+
+
 _TREE = """tree AS (SELECT id, method, dataset, measure, unnest(range(len(vals)))::INT AS run, unnest(vals) AS value FROM (SELECT id, method, dataset, m.key AS measure, m.value AS vals FROM (SELECT id, method, ds.key AS dataset, unnest(map_entries(ds.value.measures)) AS m
  FROM (SELECT id, me.key AS method, unnest(map_entries(me.value)) AS ds FROM (SELECT id, unnest(map_entries(nullif(results, '')::JSON::MAP(VARCHAR, MAP(VARCHAR, STRUCT(measures MAP(VARCHAR, DOUBLE[]), confs VARCHAR[]))))) AS me FROM experiment)))))"""
 _DRAW = lambda seed, key: f"('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT"
@@ -88,9 +124,16 @@ QUERIES = {
     "pca_variance": _pca,
     "learner_logistic": _learner("Logistic Regression"), "learner_forest": _learner("Random Forest"),
     "learner_counts": _counts,
+    "leave_one_out": _loo, "earlier_version_benchmark": _earlier, "validation_sets": _validation, "feature_growth": _growth, "lsh_tuned": _tuned,
+    "mutation_size": lambda s, d: inst(s, d).groupBy("kind").agg(F.floor(F.stddev_pop("bugs") + 1).cast("bigint").alias("step")),
 }
 _DEN = lambda c: "ln(n%s / (n0 + n1)) + " % c + " + ".join(f"(-0.5 * ln(2 * 3.141592653589793 * greatest(v{c}_{f} + 1e-9 * vmax, 1e-12)) - power(i.{f} - m{c}_{f}, 2) / (2 * greatest(v{c}_{f} + 1e-9 * vmax, 1e-12)))" for f in ("f_lines", "f_qty"))
+_NBF = ("f_lines", "f_qty")
+_LOO = f"WITH {INST}, p AS (SELECT DISTINCT project FROM inst), m AS (SELECT p.project AS held, count(*) FILTER (label = 0)::DOUBLE AS n0, count(*) FILTER (label = 1)::DOUBLE AS n1, greatest(var_pop(f_lines), var_pop(f_qty)) AS vmax, " + ", ".join(f"avg({f}) FILTER (label = {c}) AS m{c}_{f}, var_pop({f}) FILTER (label = {c}) AS v{c}_{f}" for c in "01" for f in _NBF) + f" FROM inst i JOIN p ON i.project <> p.project GROUP BY 1), s AS (SELECT project, label AS actual, 1 / (1 + exp(({_DEN('0')}) - ({_DEN('1')}))) AS score FROM inst i JOIN m ON held = project) {confusion_sql('s', by='project')}"
 ORACLES = {
+    "leave_one_out": _LOO,
+    "mutation_size": f"WITH {INST} SELECT kind, floor(stddev_pop(bugs) + 1)::BIGINT AS step FROM inst GROUP BY 1",
+    "validation_sets": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), t AS (SELECT * FROM v WHERE vec_id % 20 <> 0), q AS (SELECT * FROM v WHERE vec_id % 20 = 0) SELECT vec_id, 'train' AS kind FROM t UNION ALL SELECT DISTINCT nb, 'nn_filter' FROM (SELECT t.vec_id AS nb, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) AS k FROM q, t) WHERE k = 1 UNION ALL SELECT vec_id, 'random' FROM (SELECT vec_id, row_number() OVER (ORDER BY " + _DRAW(3, "vec_id") + ", vec_id) AS k FROM t) WHERE k <= (SELECT count(*) FROM q)",
     "experiment_results_tree": f"WITH {_TREE} SELECT * FROM tree",
     "violin_stats": f"WITH {_TREE}, s AS (SELECT method, measure, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS lo, max(value) AS hi FROM tree GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY measure ORDER BY median, method)::INT AS place FROM s",
     "experiment_log": f"WITH {SCORES}, s2 AS (SELECT *, user_id % 10 AS day FROM scores), k AS ({confusion_sql('s2', by='event_type, day')}) SELECT 'GIS-' || event_type AS method, 'd' || day AS dataset, 'measure' AS kind, 'tp' AS measure, tp AS value FROM k UNION ALL SELECT 'GIS-' || event_type, 'd' || day, 'measure', 'fp', fp FROM k",

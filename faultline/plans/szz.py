@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultline.operators import ordered, relational as R, szz as Z
+from faultline.operators import history as H, ordered, relational as R, szz as Z
 from faultline.session import cut, table
 
 
@@ -103,6 +103,35 @@ _BL = f"{_HIST}, blames AS (SELECT o_orderkey AS blamer, prev AS blamed, o_custk
 STEPS = 4
 
 
+def _typed(s, d):
+    c = _changes(s, d).select("repoId", F.col("revIndex").alias("rev_idx"), "id", "file")
+    return H.with_change_types(c, "repoId", "file", ["rev_idx", "id"])
+
+
+def _range(s, d):
+    c = H.changed_files(_typed(s, d), 10, 60)
+    return c.select("repoId", F.size("added").cast("bigint").alias("n_added"), F.size("modified").cast("bigint").alias("n_modified"), F.md5(F.array_join("added", ",")).alias("added"))
+
+
+def _merges(s, d):
+    c = _commits(s, d).select(F.col("id").alias("commit"), F.split("cid", "a").alias("parents"), "m")
+    return H.merge_blames(c.select(F.col("commit").alias("blamed")), c)
+
+
+def _minified(s, d):
+    from faultline.functions.csource import minified
+
+    return minified(table(s, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
+
+
+def _stored(s, d):
+    """Links of a log that was stored without its last part."""
+    a = _linked(s, d).select("id", "bugs")
+    return H.differences(a.where("id % 50 <> 0"), a)
+
+
+
+
 def _ranks(s, d):
     b = _blames(s, d)
     return Z.pagerank(b.select(F.col("blamer").alias("src"), F.col("blamed").alias("dst")), steps=STEPS)
@@ -152,13 +181,25 @@ QUERIES = {
     "file_component_heat": lambda s, d: Z.heat(_blames(s, d)),
     "component_dominance": lambda s, d: Z.dominance(_blames(s, d).withColumn("component", F.concat(F.lit("c"), F.pmod("blamed", F.lit(4))))),
     "component_imputation": lambda s, d: Z.impute_components(Z.dominance(_blames(s, d).withColumn("component", F.concat(F.lit("c"), F.pmod("blamed", F.lit(4)))), least=0.35)),
+    "changed_files": _range,
+    "revision_files": lambda s, d: H.revision_files(_typed(s, d), 40),
+    "merge_blames": _merges,
+    "reply_tree": lambda s, d: H.replies(table(s, d, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "n", F.md5(F.array_join(F.col("children").cast("array<string>"), ",")).alias("children")),
+    "graph_differences": _stored,
+    "minified_sources": _minified,
     "blame_variants": lambda s, d: Z.variants(_blames(s, d).where("kind = 'removed'"), _blames(s, d).where("kind = 'updated'"), "blamed"),
 }
 _CH = f"WITH {_COMMITS}, ch AS (SELECT repoId, revIndex, id, cid, author, unnest(from_json(fj, '[\"VARCHAR\"]')) AS file FROM commits)"
 _DOM = f"WITH {_BL}, c AS (SELECT file_id, 'c' || (blamed % 4) AS component, count(*) AS n FROM blames GROUP BY 1, 2), w AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY file_id) AS share, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, component) AS k FROM c)"
 _SPAN = f"WITH {_BL}, sp AS (SELECT bug, round((epoch_us(max(blamer_ts)) - epoch_us(min(blamer_ts))) / 86400000000.0, 6) AS days FROM blames GROUP BY 1), b AS (SELECT avg(days) AS mean, stddev_pop(days) AS sd, median(days) AS median, avg(days) FILTER (days > 0) AS mean_nz, stddev_pop(days) FILTER (days > 0) AS sd_nz, median(days) FILTER (days > 0) AS median_nz, mad(days) AS mad FROM sp)"
 _EXT = " OR ".join(f"ends_with(lower(file), '{x}')" for x in R.SOURCE_SUFFIXES)
+_TY = _CH + ", ty AS (SELECT repoId, revIndex AS rev_idx, file, CASE WHEN row_number() OVER (PARTITION BY repoId, file ORDER BY revIndex, id) = 1 THEN 'add' ELSE 'modify' END AS type FROM ch)"
 ORACLES = {
+    "changed_files": f"{_TY} SELECT repoId, count(DISTINCT file) FILTER (type = 'add') AS n_added, count(DISTINCT file) FILTER (type = 'modify') AS n_modified, md5(coalesce(string_agg(DISTINCT file, ',' ORDER BY file) FILTER (type = 'add'), '')) AS added FROM ty WHERE rev_idx > 10 AND rev_idx <= 60 GROUP BY 1",
+    "revision_files": f"{_TY} SELECT DISTINCT repoId, file FROM ty WHERE rev_idx <= 40",
+    "merge_blames": f"WITH {_COMMITS} SELECT count(DISTINCT id) AS blamed, count(*) FILTER (len(string_split(cid, 'a')) > 1) AS merges, count(*) FILTER (contains(lower(m), 'merge')) AS mentions FROM commits",
+    "reply_tree": "SELECT o_custkey, count(*) AS n, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS children FROM orders GROUP BY 1",
+    "graph_differences": f"WITH {_LINKED} SELECT id, bugs, 'source' AS side FROM linked WHERE id % 50 = 0",
     "bug_links": f"WITH {_LINKED} SELECT id, bugs, excluded FROM linked",
     "bug_link_stats": f"WITH {_LINKED}, k AS (SELECT *, CASE WHEN bugs = '' THEN 0 ELSE len(string_split(bugs, ',')) END AS n FROM linked) SELECT count(*) AS commits, count(*) FILTER (n > 0) AS linked, count(*) FILTER (n > 1) AS several, count(*) FILTER (n > 0 AND json_array_length(fj) > 100) AS large, sum(n)::BIGINT AS links, count(excluded) AS excluded FROM k",
     "exclusion_counts": f"WITH {_LINKED} SELECT excluded, count(*) AS n FROM linked WHERE excluded IS NOT NULL GROUP BY 1",
