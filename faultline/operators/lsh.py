@@ -17,13 +17,13 @@ def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def signature_size(stages: int, threshold: float) -> int:
-    """Signature length for which ``stages`` bands meet the threshold."""
-    return stages * int(math.ceil(math.log(1.0 / threshold) / math.log(0.5)) + 1)
+def signature_size(stages: int) -> int:
+    """Signature length for bands that are hit at a similarity of about a half."""
+    return stages * (math.ceil(math.log(1.0 / stages) / math.log(0.5)) + 1)
 
 
 def size_for_error(error: float) -> int:
-    return int(1 / (error * error))
+    return int(round(1 / (error * error), 9))
 
 
 def minhash_coefficients(size: int, dictionary: int, seed: int) -> list[tuple[int, int]]:
