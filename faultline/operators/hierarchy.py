@@ -87,6 +87,33 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from t.to_batches(max_chunksize=10_000)
 
 
+def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id`` and ``lpath``: the nodes above it in its range, nearest first. Written out in slices of nodes, so memory follows a slice and not the range."""
+    batches = list(batches)
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    ids, parents = t["id"].to_numpy(), t["parent"].fill_null(-1).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    spot = np.searchsorted(ids, parents, sorter=order)
+    spot[spot == len(ids)] = 0
+    up = np.where((parents >= 0) & (ids[order[spot]] == parents), order[spot], -1)
+    for s in range(0, len(ids), 5_000):
+        at = np.arange(s, min(s + 5_000, len(ids)))
+        who, steps = [], []
+        row, now = np.arange(len(at)), up[at]
+        while len(now):  # one step up for all nodes of the slice at once
+            live = now >= 0
+            row, now = row[live], now[live]
+            who.append(row)
+            steps.append(ids[now])
+            now = up[now]
+        row, val = np.concatenate(who), np.concatenate(steps)
+        by_row = np.argsort(row, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(at)))]).astype(np.int32)
+        yield pa.record_batch([pa.array(ids[at]), pa.ListArray.from_arrays(pa.array(ends), pa.array(val[by_row]))], names=["id", "lpath"])
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     batches = list(batches)
     if not batches:
@@ -161,9 +188,33 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pa.table({"id": ids[keys] if len(keys) else ids[:0], "loop": pa.array(list(found.values()), pa.int64())}).to_batches()
 
 
-def resolve(links: DataFrame) -> DataFrame:
+def _full_paths(open_nodes: DataFrame, n: int, local: DataFrame, ends: DataFrame) -> DataFrame:
+    """(id, path): all nodes above each node, nearest first; range by range, then segments of root-to-root links are doubled."""
+    ranges = max(1, -(-n // RANGE_ROWS))
+    placed = open_nodes.select("id", "parent").repartitionByRange(ranges, "id") if ranges > 1 else open_nodes.select("id", "parent").coalesce(1)
+    own = cut(placed.mapInArrow(_local_paths, "id long, lpath array<long>"))
+    if ranges == 1:
+        return own.withColumnRenamed("lpath", "path")
+    via = own.select(F.col("id").alias("via"), F.col("lpath").alias("vpath"))
+    seg = cut(ends.join(via, "via").select("id", F.concat(F.array("via"), "vpath").alias("seg"), "next"))
+    for _ in range(n.bit_length() + 1):
+        far = seg.select(F.col("id").alias("next"), F.col("seg").alias("seg2"), F.col("next").alias("next2"))
+        both = cut(seg.join(far, "next", "left").select("id", F.concat("seg", F.coalesce("seg2", F.array().cast("array<bigint>"))).alias("seg"), F.col("next2").alias("next")))
+        seg = both
+        if not both.where("next IS NOT NULL").limit(1).count():
+            break
+    tops = seg.select(F.col("id").alias("root"), "seg")
+    joined = own.join(local.select("id", "root"), "id").join(tops, "root", "left")
+    return joined.select("id", F.concat("lpath", F.coalesce("seg", F.array().cast("array<bigint>"))).alias("path"))
+
+
+def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
     """(cid, kind, root_cid, depth), one row per distinct cid of ``links`` (cid, locid, parent).
 
+    ``with_paths`` adds ``locid`` (the least of the cid; a rank where those don't tell nodes apart), ``path``
+    (the numbers of all nodes above it, nearest first; up to the loop for a tail, empty on a loop) and
+    ``n_descendants`` (how many rows have it on their path). Paths are as long as the tree is deep.
+
     ``parent`` is the lower-case 12-digit prefix of the parent's cid, or null. A parent that isn't a row
     counts as none. cids equal in their first 12 digits (any letter case) are one node; each keeps its
     row. If a cid's rows name different parents, that of the least locid holds. kind ``tree``: the root
@@ -192,8 +243,10 @@ def resolve(links: DataFrame) -> DataFrame:
         ring = cut(flagged.repartitionByRange(ranges, "id").mapInArrow(_mark, "id long, loop long"))
         ring = cut(ring.unionByName(local.where("id = root AND loop >= 0").select("id", "loop")).dropDuplicates(["id"]))
         open_nodes = nodes.join(ring, "id", "left").select("id", F.when(F.col("loop").isNull(), F.col("parent")).alias("parent"), "cids")
-        local, ends = _forest(cut(open_nodes), n)
+        open_nodes = cut(open_nodes)
+        local, ends = _forest(open_nodes, n)
     else:
+        open_nodes = nodes
         ring = local.where("id = root AND loop >= 0").select("id", "loop")
 
     tops = local.where("id = root").select("id", "cids")
@@ -206,4 +259,10 @@ def resolve(links: DataFrame) -> DataFrame:
     depth = F.col("off") + F.col("top_off")
     kind = F.when(F.col("loop_cid").isNull(), "tree").when((F.col("id") == F.col("end")), "cycle").otherwise("tail")
     found = local.select("id", "root", "off", "cids").join(roots, "root")
+    if with_paths:
+        ringed = open_nodes.join(ring.select("id", F.lit(1).alias("on")), "id", "left").select("id", F.when(F.col("on").isNull(), F.col("parent")).alias("parent"))
+        paths = cut(_full_paths(ringed, n, local, ends))
+        below = paths.select(F.explode("path").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        found = found.join(paths, "id").join(below, "id", "left")
+        return found.select(F.explode("cids").alias("cid"), kind.alias("kind"), F.coalesce("loop_cid", "end_cid").alias("root_cid"), depth.cast("bigint").alias("depth"), F.col("id").alias("locid"), "path", F.coalesce("n", F.lit(0)).alias("n_descendants"))
     return found.select(F.explode("cids").alias("cid"), kind.alias("kind"), F.coalesce("loop_cid", "end_cid").alias("root_cid"), depth.cast("bigint").alias("depth"))

@@ -71,21 +71,21 @@ def p2_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _P2_SQL = """
 WITH refs AS (
-  SELECT ref_table, ref_id, ref_key, min(at) AS at FROM (
-    SELECT 'repolog' AS ref_table, id AS ref_id, try_cast(nullif(regexp_replace(e, '[^0-9]', '', 'g'), '') AS BIGINT) AS ref_key, loaded_at AS at
+  SELECT ref_table, ref_id, ref_key, min(seen) AS seen FROM (
+    SELECT 'repolog' AS ref_table, id AS ref_id, try_cast(nullif(regexp_replace(e, '[^0-9]', '', 'g'), '') AS BIGINT) AS ref_key, loaded_at AS seen
     FROM (SELECT id, unnest(string_split(bugs, ',')) AS e, loaded_at FROM repolog)
     UNION ALL SELECT 'experimentprediction', id, CAST(expId AS BIGINT), loaded_at FROM experimentprediction
     UNION ALL SELECT 'experiment', id, CAST(userId AS BIGINT), loaded_at FROM experiment)
   WHERE ref_key IS NOT NULL GROUP BY 1, 2, 3),
 parents AS (
-  SELECT ref_table, ref_key, min(at) AS first_seen FROM (
-    SELECT 'repolog' AS ref_table, bug AS ref_key, loaded_at AS at FROM validbugs
+  SELECT ref_table, ref_key, min(seen) AS first_seen FROM (
+    SELECT 'repolog' AS ref_table, bug AS ref_key, loaded_at AS seen FROM validbugs
     UNION ALL SELECT 'experimentprediction', id, loaded_at FROM experiment
     UNION ALL SELECT 'experiment', id, loaded_at FROM users)
   GROUP BY 1, 2),
 broken AS (
-  SELECT r.ref_table, r.ref_id, r.ref_key, CASE WHEN p.ref_key IS NULL THEN 'missing' ELSE 'late' END AS kind, strftime(r.at, '%Y-%m') AS ref_month
-  FROM refs r LEFT JOIN parents p USING (ref_table, ref_key) WHERE p.ref_key IS NULL OR p.first_seen > r.at)
+  SELECT r.ref_table, r.ref_id, r.ref_key, CASE WHEN p.ref_key IS NULL THEN 'missing' ELSE 'late' END AS kind, strftime(r.seen, '%Y-%m') AS ref_month
+  FROM refs r LEFT JOIN parents p USING (ref_table, ref_key) WHERE p.ref_key IS NULL OR p.first_seen > r.seen)
 """
 
 
@@ -126,7 +126,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.resolve(_links(spark, sf_dir)).select("cid", "kind", "root_cid", "depth")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_monthly": p2_monthly, "p3_found": p3_found, "p4_found": p4_found, "p4_profiles": p4_profiles, "p5_found": p5_found}
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.resolve(_links(spark, sf_dir), with_paths=True)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_monthly": p2_monthly, "p3_found": p3_found, "p4_found": p4_found, "p4_profiles": p4_profiles, "p5_found": p5_found, "p5_paths": p5_paths}
 ORACLES = {
     "p2_found": _P2_SQL + "SELECT * FROM broken",
     "p2_monthly": _P2_SQL + "SELECT ref_table, kind, ref_month, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys FROM broken GROUP BY 1, 2, 3",

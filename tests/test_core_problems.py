@@ -159,6 +159,18 @@ def test_hierarchy(spark, monkeypatch, rows, links):
     got = {x["cid"]: (x["kind"], x["root_cid"], x["depth"]) for x in hierarchy.resolve(spark.createDataFrame(rows_, "cid string, locid bigint, parent string")).collect()}
     par[cid(999)] = None
     assert got == _walk(par)
+    full = hierarchy.resolve(spark.createDataFrame(rows_, "cid string, locid bigint, parent string"), with_paths=True).collect()
+    number = {x["locid"]: x["cid"] for x in full}
+    below = {}
+    for x in full:
+        y, want = x["cid"], []
+        while par.get(y) in par and got[y][0] != "cycle":
+            y = par[y]
+            want.append(y)
+        assert [number[k] for k in x["path"]] == want and len(want) == x["depth"]
+        for a in want:
+            below[a] = below.get(a, 0) + 1
+    assert all(x["n_descendants"] == below.get(x["cid"], 0) for x in full)
 
 
 def test_hierarchy_without_numbers(spark):
