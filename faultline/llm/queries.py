@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.packed import infer_delimiters, split_column
 from faultline.llm import cooccur, leak, mixing, names, toxic
+from faultline.plans.packed_sql import PIECES
 from faultline.session import table
 
 
@@ -79,4 +80,7 @@ QUERIES = {
     "p6_found": p6_found, "p6_entities": p6_entities, "p7_found": p7_found, "p7_surprise": p7_surprise,
     "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
-ORACLES: dict[str, str] = {}
+P7_FOUND = f"""WITH {PIECES}, f AS (SELECT DISTINCT cid, item FROM pieces JOIN (SELECT DISTINCT locid, cid FROM logs) USING (locid) WHERE field_name = 'files'), k AS (SELECT item, count(*) AS n FROM f GROUP BY 1), t AS (SELECT count(DISTINCT cid) AS n FROM f),
+ p AS (SELECT a.item AS file_a, b.item AS file_b, count(*) AS n FROM f a JOIN f b ON a.cid = b.cid AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 8)
+ SELECT file_a, file_b FROM p JOIN k ka ON ka.item = file_a JOIN k kb ON kb.item = file_b, t WHERE p.n * t.n >= 10 * ka.n * kb.n"""
+ORACLES = {"p7_found": P7_FOUND}
