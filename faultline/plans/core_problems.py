@@ -10,7 +10,7 @@ from faultline.functions.packed import explode_packed, infer_delimiters, split_c
 from faultline.operators import hierarchy
 from faultline.operators.balanced import balanced_aggregate
 from faultline.operators.orphans import OrphanLedger
-from faultline.plans import packed_sql
+from faultline.plans import dates_sql, packed_sql
 from faultline.session import cut, stay, table
 
 PACKED = ["files", "parents", "tags", "branches"]
@@ -133,6 +133,7 @@ def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_monthly": p2_monthly, "p3_found": p3_found, "p4_found": p4_found, "p4_profiles": p4_profiles, "p5_found": p5_found, "p5_paths": p5_paths}
 ORACLES = {
+    "p1_found": dates_sql.P1_FOUND,
     "p3_found": packed_sql.P3_FOUND,
     "p4_found": packed_sql.P4_FOUND,
     "p5_found": packed_sql.P5_FOUND,
