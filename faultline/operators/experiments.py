@@ -188,3 +188,49 @@ def parse_log(lines: DataFrame, line: str = "line") -> DataFrame:
     cells = F.regexp_extract_all(body, F.lit(r"'(\w+)':\s*([-+0-9.eE]+)"), F.lit(0))
     rows = lines.where(known).select(F.split_part(body, F.lit(":"), F.lit(1)).alias("method"), F.split_part(body, F.lit(":"), F.lit(2)).alias("dataset"), F.when(conf, "conf").otherwise("measure").alias("kind"), F.explode(cells).alias("c"))
     return rows.select("method", "dataset", "kind", F.regexp_extract("c", r"'(\w+)'", 1).alias("measure"), F.expr("try_cast(trim(split_part(c, ':', 2)) AS double)").alias("value"))
+
+
+class RejectTracker:
+    """History of accepted and rejected datasets: the threshold follows the mean of the last scores."""
+
+    def __init__(self, threshold: float = 0.0, window: int = 10):
+        self.start = threshold
+        self.window = window
+        self.reset()
+
+    def reset(self) -> None:
+        self.threshold, self.scores, self.rejected = self.start, [], 0
+
+    def accept(self, score: float) -> bool:
+        ok = score >= self.threshold
+        self.rejected += not ok
+        self.scores = [*self.scores, score][-self.window :]
+        self.threshold = max(self.start, sum(self.scores) / len(self.scores) if self.rejected else self.start)
+        return ok
+
+
+def run(datasets: DataFrame, project: str, features: list[str], label: str, methods: list[str], mode: str = "all", repeats: int = 1) -> DataFrame:
+    """(method, dataset, run, measures): every project tested by each named learner trained on all others.
+
+    ``mode``: ``all`` features, ``gain`` the top half by mutual information, ``pca`` components of 95 % of the
+    variance. Fits run one after the other on the cluster; there are projects * methods * repeats of them.
+    """
+    from faultline.operators import learners
+
+    names = [r[0] for r in datasets.select(project).distinct().orderBy(project).collect()]
+    out = None
+    for name in names:
+        train, test = datasets.where(F.col(project) != name), datasets.where(F.col(project) == name)
+        use = features
+        if mode == "gain":
+            use = [r["feature"] for r in V.mutual_information(train, features, label).orderBy(F.desc("mi"), "feature").limit(max(1, len(features) // 2)).collect()]
+        elif mode == "pca":
+            mean, comp, _ = pca(train, features)
+            train, test = (apply_pca(x, features, mean, comp, [label]) for x in (train, test))
+            use = [f"pc{k}" for k in range(comp.shape[1])]
+        for method in methods:
+            for k in range(repeats):
+                scored = learners.fit_score(method, train, test, use, label).select(F.col(label).cast("double").alias("actual"), "score")
+                row = M.with_measures(M.confusion(scored)).select(F.lit(method).alias("method"), F.lit(name).alias("dataset"), F.lit(k).alias("run"), "*")
+                out = row if out is None else out.unionByName(row)
+    return out

@@ -199,3 +199,20 @@ def test_catalogue_names_and_separation():
     # nothing outside the llm subpackage needs it
     code = "import sys; sys.modules['faultline.llm'] = None; import __spark_entry__ as e; assert 'p5_found' in e.queries() and not any(n.startswith(('p6', 'p7', 'p8', 'p9', 'p10')) for n in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=entry.__file__.rsplit("/", 1)[0]).returncode == 0
+
+
+def test_runner_and_helpers(spark, tmp_path):
+    from faultline.functions import misc
+
+    r = random.Random(8)
+    d = [(k, r.gauss(k % 2 * 4, 1), r.gauss(0, 1), float(k % 2), f"p{k % 2 + k % 3 // 2}") for k in range(200)]
+    df = spark.createDataFrame(d, "id long, a double, b double, label double, project string")
+    for mode in ("all", "pca"):
+        got = E.run(df, "project", ["a", "b"], "label", ["Naive Bayes"], mode).collect()
+        assert len(got) == df.select("project").distinct().count() and all(x["accu"] > 0.8 for x in got)
+    t = E.RejectTracker(0.2)
+    assert t.accept(0.5) and not t.accept(0.1) and t.threshold > 0.2
+    t.reset()
+    assert t.threshold == 0.2 and misc.fresh_name(".png").endswith(".png") and misc.now_millis() > 10**12
+    (tmp_path / "q.csv").write_text("component,n\nLayout,3\nAudio,1\n")
+    assert rows(misc.read_components(spark, str(tmp_path / "q.csv"))) == [("Audio",), ("Layout",)]
