@@ -88,7 +88,7 @@ def test_tail_is_poisson_binomial():
         dist = np.convolve(dist, [1 - p, p])
     for n in (4, 8, 15):
         exact = np.log10(dist[n:].sum())
-        got = cooccur._lower_tail_log(np.array([float(n)]), np.array([scale]), sq, m)[0]
+        got = cooccur._upper_tail_log10(np.array([float(n)]), np.array([scale]), sq, m)[0]
         assert abs(got - exact) < 0.05
 
 
