@@ -24,19 +24,18 @@ def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.resolve(_names(spark, sf_dir))
 
 
-def _together(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = table(spark, sf_dir, "logs").select("cid", "files")
     plan = infer_delimiters(logs, ["files"])["files"]
-    files = logs.select("cid", F.explode(split_column("files", plan)).alias("file"))
-    return cooccur.cooccurrence(files, "cid", "file", min_count=8, min_lift=10.0)
+    return logs.select("cid", F.explode(split_column("files", plan)).alias("file"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _together(spark, sf_dir).select(F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"))
+    return cooccur.pairs(_files(spark, sf_dir), "cid", "file", min_count=8, min_lift=10.0).select(F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"))
 
 
 def p7_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _together(spark, sf_dir)
+    return cooccur.cooccurrence(_files(spark, sf_dir), "cid", "file")
 
 
 def _index(spark: SparkSession, sf_dir: str) -> leak.LeakIndex:
