@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from faultline.llm import queries
+from faultline.llm import cooccur, queries
 
 
 def test_surprise_reports_every_pair(spark, tmp_path):
@@ -25,3 +25,34 @@ def test_surprise_reports_every_pair(spark, tmp_path):
     assert all(x["surprising"] == (x["log10_p"] <= most) for x in rows) and [(x["item_a"], x["item_b"]) for x in rows if x["surprising"]] == [("u.c", "v.c")]
     found = {tuple(x) for x in queries.p7_found(spark, str(tmp_path)).collect()}
     assert found == {("u.c", "v.c")}
+
+
+def test_null_is_fitted(spark):
+    r = random.Random(8)
+    # skewed on both sides: the products n * s / S pass 1; "all" is in every basket
+    sets = [{"all", *(f"i{int(40 * r.random() ** 3)}" for _ in range(30 if b < 6 else 3))} for b in range(80)]
+    items, sizes = sorted(set().union(*sets)), [len(x) for x in sets]
+    freq = {i: sum(i in x for x in sets) for i in items}
+    n, k = map(np.array, zip(*sorted((f, list(freq.values()).count(f)) for f in set(freq.values()))))
+    s, m = map(np.array, zip(*sorted((f, sizes.count(f)) for f in set(sizes))))
+    p = cooccur.fit_null(n.astype(float), k, s.astype(float), m)
+    assert max(a * b for a in n for b in s) / sum(sizes) > 1 and p.min() >= 0 and p.max() <= 1
+    assert np.allclose(p @ m, n, rtol=1e-6) and np.allclose(k @ p, s, rtol=1e-6)
+    got = cooccur.cooccurrence(spark.createDataFrame([(f"b{c}", i) for c, x in enumerate(sets) for i in x], "basket string, item string"), "basket", "item").collect()
+    for x in got:
+        q = p[list(n).index(x["n_a"])] * p[list(n).index(x["n_b"])]
+        assert abs(x["expected"] - q @ m) < 1e-6
+        if x["item_a"] == "all":
+            assert abs(x["expected"] - x["n_b"]) < 1e-4  # no more than the other item has
+
+
+def test_tail_of_small_counts():
+    for m in ([500, 80, 3], [3, 2, 1], [2000, 0, 2]):
+        for scale in (1e-7, 1e-5, 1e-3, 0.02):
+            q = scale * np.array([1.0, 4.0, 30.0])
+            mass = np.array([1.0])
+            for x in np.repeat(q, m):
+                mass = np.convolve(mass, [1 - x, x])[:60]
+            for n in (1, 2, 3, 5):
+                got = cooccur._upper_tail_log10(np.array([float(n)]), np.ones(1), q[None, :], np.array(m, float))[0]
+                assert abs(got - np.log10(mass[n:].sum())) < 0.05, (n, scale, m)
