@@ -2,13 +2,14 @@
 
 Both sides are canonicalised to templates: numbers, hashes, quantities with units and names become
 typed placeholders, words that many items share stay. Five-word template windows are hash-joined; a
-pair of windows also agrees in its slots if the values behind the placeholders are equal. Pairs of
-document and item with agreeing windows are then verified word by word. Windows that fit a template
+pair of windows also agrees in its slots if the values behind the placeholders are equal, or if it has
+none. Pairs of document and item with agreeing windows are then verified word by word. Windows that fit a template
 but none of its items tell re-parameterised questions.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -122,27 +123,31 @@ def contains(doc: list[str], passage: list[str]) -> bool:
     n = len(passage)
     if not n or not doc:
         return False
-    if n >= MIN_RUN:
+    need, have = -(-n * MIN_SHARE[0] // MIN_SHARE[1]), set(doc)
+    held = [w in have for w in passage]
+    run, longest = 0, 0
+    for h in held:
+        run = run + 1 if h else 0
+        longest = max(longest, run)
+    if sum(held) < need and longest < MIN_RUN:
+        return False  # too few of the words are there, in whatever order
+    if longest >= MIN_RUN:
         runs = {tuple(passage[k : k + MIN_RUN]) for k in range(n - MIN_RUN + 1)}
         if any(tuple(doc[k : k + MIN_RUN]) in runs for k in range(len(doc) - MIN_RUN + 1)):
             return True
     masks: dict[str, int] = {}
     for k, w in enumerate(passage):
         masks[w] = masks.get(w, 0) | 1 << k
-    need, span, hop = -(-n * MIN_SHARE[0] // MIN_SHARE[1]), 2 * n, max(1, n // 4)
-    if sum(w in masks for w in doc) < need:
+    span, hop = 2 * n, max(1, n // 4)
+    if sum(held) < need or sum(w in masks for w in doc) < need:
         return False
     return any(lcs(masks, n, doc[k : k + span]) >= need for k in range(0, max(1, len(doc) - span + hop), hop))
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    split = functools.lru_cache(4096)(words)  # a text comes with many items and a passage with many texts
     for b in batches:
-        docs: dict = {}
-        ok = []
-        for d, t, p in zip(b["doc_id"], b["text"], b["passage"]):
-            if d not in docs:
-                docs = {d: words(t)}
-            ok.append(contains(docs[d], words(p)))
+        ok = [contains(split(t), split(p)) for t, p in zip(b["text"], b["passage"])]
         yield b.loc[ok, ["doc_id", "item_id"]]
 
 
@@ -166,9 +171,8 @@ class LeakIndex:
         return docs.select("doc_id", "text").mapInPandas(_window_rows("doc_id", self.literals, self.templates), "doc_id long, pos long, template long, slots long")
 
     def candidates(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, item_id, n_windows): pairs with windows equal in template and slots. Windows without a slot fit every item of the template and are left out."""
-        index = self.windows.where("slots <> 0")
-        return self.doc_windows(docs).where("slots <> 0").join(self._hint(index), ["template", "slots"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+        """(doc_id, item_id, n_windows): pairs with windows equal in template and slots, that is word by word. Windows without a slot pair with every item of the template."""
+        return self.doc_windows(docs).join(self._hint(self.windows), ["template", "slots"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"))
 
     def leaks(self, docs: DataFrame) -> DataFrame:
         """(doc_id, item_id): documents that hold an item's passage wholly or in part, see ``contains``.

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from faultline.llm import cooccur, queries
+from faultline.llm import cooccur, leak, queries
 
 
 def test_surprise_reports_every_pair(spark, tmp_path):
@@ -56,3 +56,13 @@ def test_tail_of_small_counts():
             for n in (1, 2, 3, 5):
                 got = cooccur._upper_tail_log10(np.array([float(n)]), np.ones(1), q[None, :], np.array(m, float))[0]
                 assert abs(got - np.log10(mass[n:].sum())) < 0.05, (n, scale, m)
+
+
+def test_leaks_without_slots(spark):
+    shared = "the quiet river bends around seven old mills before it meets the wide grey sea and slows down at last"
+    tail = "but number {0} of gorut{0} was never told which bulen{0} had taken pelat{0} away"
+    # three items share the wording, so none of its words is a slot
+    items = spark.createDataFrame([(k, f"{shared} {tail.format(k)}") for k in (1, 2, 3)] + [(9, shared)] * 3 + [(5, "an unrelated item about paper boats " * 4)], "item_id long, passage string")
+    docs = spark.createDataFrame([(1, f"As they say: {shared.title()}, or so."), (2, " ".join(shared.split()[3:18])), (3, " ".join(shared.split()[3:13])), (4, f"{shared} {tail.format(2)}")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in leak.LeakIndex(items).leaks(docs).collect())
+    assert got == sorted((d, i) for d in (1, 2, 4) for i in (1, 2, 3, 9))
