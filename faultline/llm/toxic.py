@@ -152,6 +152,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 BIAS = -3.5  # log odds of a sentence that shows nothing known
+THRESHOLD = 0.25  # probability from which a document counts as abusive, however many labels there are
 
 
 def fit(x: Csr, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +188,7 @@ def marks(toks: list[str]) -> list[float]:
 class Chain:
     """Insult, threat, hate, sexual, then abuse; each model sees the probabilities of those before."""
 
-    def __init__(self, models: list, threshold: float):
+    def __init__(self, models: list, threshold: float = THRESHOLD):
         self.models, self.threshold = models, threshold
 
     @classmethod
@@ -246,15 +247,7 @@ class Chain:
                 out = np.where(inside, out, predict(model, x, probs))
             models.append(fit(x, probs, t, weight))
             probs = np.hstack([probs, out[:, None]])
-        chain = cls(models, 0.25)
-        final = chain._score(x, base)[:, -1]
-        doc = np.array([final[o].max() if len(o) else 0.0 for o in of_doc])
-        grid = np.linspace(0.15, 0.75, 25)
-        known = verdict != 0.5
-        if known.sum() >= 200:  # the middle of the best thresholds; with fewer labels a fixed one
-            right = np.array([((doc[known] >= g) == (verdict[known] > 0.5)).mean() for g in grid])
-            chain.threshold = float(np.median(grid[right >= right.max() - 1e-9]))
-        return chain
+        return cls(models)
 
     def _score(self, x: Csr, base: np.ndarray) -> np.ndarray:
         probs = base

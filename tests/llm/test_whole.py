@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from faultline.llm import cooccur, leak, queries
+from faultline.llm import cooccur, leak, queries, toxic
 
 
 def test_surprise_reports_every_pair(spark, tmp_path):
@@ -66,3 +66,8 @@ def test_leaks_without_slots(spark):
     docs = spark.createDataFrame([(1, f"As they say: {shared.title()}, or so."), (2, " ".join(shared.split()[3:18])), (3, " ".join(shared.split()[3:13])), (4, f"{shared} {tail.format(2)}")], "doc_id long, text string")
     got = sorted(tuple(r) for r in leak.LeakIndex(items).leaks(docs).collect())
     assert got == sorted((d, i) for d in (1, 2, 4) for i in (1, 2, 3, 9))
+
+
+def test_one_threshold_at_every_size():
+    docs = [("You are a worthless idiot and nobody wants you here.", 1.0), ("The cache flushes the page twice.", 0.0), ("Build 7 fails with an unresolved symbol.", 0.0)]
+    assert {toxic.Chain.train(docs * k).threshold for k in (1, 20, 66, 67, 150)} == {toxic.THRESHOLD}
