@@ -55,6 +55,8 @@ _KNOWN = {w for ws in LEXICON.values() for w in ws.split()} | {"stupid", "dirty"
 _BY_LEN: dict[int, list[str]] = defaultdict(list)
 for _w in sorted(_KNOWN):
     _BY_LEN[len(_w)].append(_w)
+# Known words that hardly stand in other letters by chance, the longest first; the letters between them stay tokens.
+_LONG = re.compile("(" + "|".join(w for n in sorted(_BY_LEN, reverse=True) if n >= 6 for w in _BY_LEN[n]) + ")")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-]{1,2}[^\W\d_]){2,}(?![^\W_])")
 _SINGLES = re.compile(r"(?<![^\W_])[^\W\d_][ .*_-]{1,2}[^\W\d_][ .*_-]")
 _DOTTED = re.compile(r"(?<![^\W_])[^\W\d_]{1,3}(?:[.*_-][^\W\d_]{1,3}){2,}(?![^\W_])")
@@ -86,7 +88,7 @@ def _segment(s: str) -> list[str] | None:
     """``s`` cut into known words and single a or i, the fewest pieces; None if that can't be done."""
     best: list[list[str] | None] = [[]] + [None] * len(s)
     for e in range(1, len(s) + 1):
-        for k in range(e):
+        for k in range(max(0, e - max(_BY_LEN)), e):
             w = s[k:e]
             if best[k] is not None and (w in _KNOWN or w in ("a", "i")) and (best[e] is None or len(best[k]) + 1 < len(best[e])):
                 best[e] = [*best[k], w]
@@ -95,7 +97,9 @@ def _segment(s: str) -> list[str] | None:
 
 def _join(m: re.Match) -> str:
     s = re.sub(r"[^\w]|_", "", m[0])
-    return s if s in _KNOWN else " ".join(_segment(s[:60]) or [s])
+    if s in _KNOWN:
+        return s
+    return " ".join(_segment(s) or [w for w in _LONG.split(s) if w])
 
 
 @functools.lru_cache(1 << 17)

@@ -71,3 +71,11 @@ def test_leaks_without_slots(spark):
 def test_one_threshold_at_every_size():
     docs = [("You are a worthless idiot and nobody wants you here.", 1.0), ("The cache flushes the page twice.", 0.0), ("Build 7 fails with an unresolved symbol.", 0.0)]
     assert {toxic.Chain.train(docs * k).threshold for k in (1, 20, 66, 67, 150)} == {toxic.THRESHOLD}
+
+
+def test_long_disguised_runs():
+    said = ["worthless", "pathetic", "idiot", "moron", "loser", "stupid", "arrogant", "scumbag", "imbecile", "parasite"]
+    assert toxic.tokens(" ".join("".join(said))) == said  # 72 letters
+    got = toxic.tokens("you " + " ".join("areaworthlessfoolandyourcodeneverdidanythingforanybodyhereyoupatheticthing"))
+    assert {"worthless", "pathetic"} <= set(got) and got[1:] == ["area", "worthless", "foolandyourcodeneverdidanythingforanybodyhereyou", "pathetic", "thing"]
+    assert toxic.tokens("q w e r t z") == ["qwertz"]
