@@ -151,6 +151,49 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[ok, ["doc_id", "item_id"]]
 
 
+def _slotted(text: list[str], literals: set[str]) -> tuple[list[str], list[str], list[tuple[int, tuple, tuple]]]:
+    """The words, their kinds, and the windows with a slot: position, template, words."""
+    kinds = [slot(w, literals) for w in text]
+    spans = ((k, tuple(kinds[k : k + WINDOW]), tuple(text[k : k + WINDOW])) for k in range(len(text) - WINDOW + 1))
+    return text, kinds, [x for x in spans if any(w[0] == "\x01" for w in x[1])]
+
+
+def _places(doc: tuple, items: list[tuple[int, tuple]], min_windows: int | None, share: float) -> list[tuple[int, int, int, int]]:
+    """(item_id, pos, n_windows, n_agreeing) of a document's places that fit an item with other values; places don't overlap."""
+    own = {w for _, it in items for _, _, w in it[2]}
+    found = []
+    for item_id, (passage, kinds, spans) in items:
+        at: dict[tuple, list[int]] = {}
+        for j, t, _ in spans:
+            at.setdefault(t, []).append(j)
+        hits = [(i, t, w in own) for i, t, w in doc[2] if t in at]
+        need = min_windows if min_windows is not None else max(3, int(np.ceil(share * len(spans))))
+        start = 0
+        for e in range(1, len(hits) + 1):
+            if e < len(hits) and hits[e][0] - hits[e - 1][0] <= WINDOW * 2 and hits[e][2] == hits[e - 1][2]:
+                continue
+            part, start = hits[start:e], e
+            fresh = [(i, t) for i, t, agrees in part if not agrees]
+            if len(fresh) < need:
+                continue
+            middle = np.median([i - j for i, t in fresh for j in at[t]])
+            to: dict[str, set[str]] = {}
+            for i, t in fresh:
+                j = min(at[t], key=lambda j: abs(i - j - middle))
+                for o in range(WINDOW):
+                    if kinds[j + o][0] == "\x01":
+                        to.setdefault(passage[j + o], set()).add(doc[0][i + o])
+            if all(len(v) == 1 for v in to.values()):
+                last = part[-1][0] + WINDOW
+                n_agreeing = sum(agrees for i, _, agrees in hits if part[0][0] - WINDOW < i < last)
+                found.append((-len(fresh), item_id, part[0][0], last, len(fresh) + n_agreeing, n_agreeing))
+    kept: list[tuple] = []
+    for f in sorted(found):
+        if all(f[3] <= k[2] or f[2] >= k[3] for k in kept):
+            kept.append(f)
+    return [(k[1], k[2], k[4], k[5]) for k in kept]
+
+
 class LeakIndex:
     """Template windows of the evaluation items (item_id, passage)."""
 
@@ -188,11 +231,23 @@ class LeakIndex:
         texts = texts.join(F.broadcast(hit) if few else hit, "doc_id", "left_semi")
         return texts.join(pairs, "doc_id").select("doc_id", "item_id", "text", "passage").mapInPandas(_verified, "doc_id long, item_id long").dropDuplicates()
 
-    def reparameterised(self, docs: DataFrame, min_windows: int = 20, max_agreeing: float = 0.2) -> DataFrame:
-        """(doc_id, n_windows, n_agreeing): documents full of an item template whose slots hold other values."""
-        known = self.windows.where("slots <> 0").select("template", "slots", F.lit(1).alias("agrees")).distinct()
-        seen = self.doc_windows(docs).where("slots <> 0")
-        if not self.small:
-            seen = seen.join(self.windows.select("template").distinct(), "template", "left_semi")
-        per = seen.join(self._hint(known), ["template", "slots"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"), F.count("agrees").alias("n_agreeing"))
-        return per.where((F.col("n_windows") >= min_windows) & (F.col("n_agreeing") <= max_agreeing * F.col("n_windows")))
+    def reparameterised(self, docs: DataFrame, min_windows: int | None = None, share: float = 0.15) -> DataFrame:
+        """(doc_id, item_id, pos, n_windows, n_agreeing): places of documents that fit an item's template with other values in its slots.
+
+        A place has at least ``min_windows`` slotted windows that agree with no item (by default ``share`` of the
+        item's own, three at least) and replaces each value of the item by one value throughout. Of items that fit the same
+        place the one with the most windows is given; ``n_agreeing`` windows of the place hold some item's own values.
+        """
+        index = self.windows.where("slots <> 0").select("item_id", "template").distinct()
+        pairs = cut(self.doc_windows(docs.where("doc_id IS NOT NULL")).where("slots <> 0").select("doc_id", "template").distinct().join(self._hint(index), "template").select("doc_id", "item_id").distinct())
+        passages = self.items.withColumnRenamed("text", "passage")
+        held = pairs.join(F.broadcast(passages) if self.small else passages, "item_id").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("item_id", "passage"))).alias("items"))
+        literals = self.literals
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cut_up = functools.lru_cache(4096)(lambda t: _slotted(words(t), literals))
+            for b in batches:
+                rows = [(d, *r) for d, t, its in zip(b["doc_id"], b["text"], b["items"]) for r in _places(cut_up(t), [(x["item_id"], cut_up(x["passage"])) for x in its], min_windows, share)]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "pos", "n_windows", "n_agreeing"])
+
+        return docs.select("doc_id", "text").join(held, "doc_id").mapInPandas(run, "doc_id long, item_id long, pos long, n_windows long, n_agreeing long").dropDuplicates()

@@ -79,3 +79,13 @@ def test_long_disguised_runs():
     got = toxic.tokens("you " + " ".join("areaworthlessfoolandyourcodeneverdidanythingforanybodyhereyoupatheticthing"))
     assert {"worthless", "pathetic"} <= set(got) and got[1:] == ["area", "worthless", "foolandyourcodeneverdidanythingforanybodyhereyou", "pathetic", "thing"]
     assert toxic.tokens("q w e r t z") == ["qwertz"]
+
+
+def test_reparameterised_fragments(spark):
+    made = lambda k, a, b: f"Line {k}88 of zuyom{k}/file{k}.cc was born in cb5{k}a7df, moved by {a} in step {k}3, and last changed when plutak{k} took over from {b}."
+    items = [(k, made(k, f"vacuz{k}", f"vacuz{k}")) for k in range(1, 5)]
+    other = made(7, "gorut", "gorut")
+    docs = [(1, " ".join(other.split()[4:])), (2, items[0][1] + " word" * 40 + " " + other), (3, items[1][1]), (4, made(7, "gorut", "bulen"))]
+    got = leak.LeakIndex(spark.createDataFrame(items, "item_id long, passage string")).reparameterised(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    # a fragment, a whole one beside a verbatim item; not the verbatim item and not the one with two values for one
+    assert [(r["doc_id"], r["item_id"]) for r in sorted(got)] == [(1, 1), (2, 1)]
