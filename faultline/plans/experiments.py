@@ -8,7 +8,7 @@ from faultline.operators import bayes, experiments as E, learners, measures as M
 from faultline.plans.standins import FEATURES, INST, SCORES, confusion_sql, inst, scores, vec
 from faultline.session import table
 
-NX = 8
+NX = 64  # all entries of an embedding
 
 
 def _vec_split(s, d):
@@ -100,7 +100,7 @@ def _growth(s, d):
 
 def _tuned(s, d):
     tr, te, names = _vec_split(s, d)
-    return E.lsh_tuned(tr, te, names, "v", "label", options=2)
+    return E.lsh_tuned(tr, te, names, "v", "label")
 
 
 _TREE = """tree AS (SELECT id, method, dataset, measure, unnest(range(len(vals)))::INT AS run, unnest(vals) AS value FROM (SELECT id, method, dataset, m.key AS measure, m.value AS vals FROM (SELECT id, method, ds.key AS dataset, unnest(map_entries(ds.value.measures)) AS m
