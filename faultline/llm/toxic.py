@@ -1,10 +1,13 @@
 """Abusive, hateful or sexual passages, by a classifier chain over sentences.
 
 Sentences are undisguised (look-alike letters, digits for letters, spaced, dotted, stretched and
-masked words) and turned into hashed word features. Linear models predict insult, threat, hate and
-sexual content one after the other and at last abuse as a whole; each gets the probabilities of those
-before it, taken out of fold in training. Labels are verdicts on whole documents: within an abusive
-document the sentences that look worst carry the label, in rounds.
+masked words) with the vocabulary of the reviewed documents and turned into hashed word features.
+Nothing but the reviewers' verdicts says what is abusive: there is no word list and no sample sentence.
+Verdicts are on whole documents, so the sentences that carry them are found by expectation
+maximisation: a document is abusive if any of its sentences is, and reviewers err. The sentences found
+are divided into categories by their words; one linear model after the other predicts these, and at
+last abuse as a whole, and each gets the probabilities of those before it, taken out of fold in
+training. The labels name no categories, so they are numbered; ``Chain.words`` tells what each is about.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import functools
 import re
 import unicodedata
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,102 +28,113 @@ from pyspark.sql import functions as F
 MAX_TRAIN_DOCS = 20_000
 DIM = 1 << 17
 FOLDS = 3
-CATEGORIES = ["insult", "threat", "hate", "sexual"]
-
-# Words that mark a category, marks and umlauts folded.
-LEXICON = {
-    "insult": "idiot idiots moron morons imbecile imbeciles loser losers scumbag scumbags asshole assholes dumbass dumbasses fool fools clown clowns parasite parasites pig pigs liar liars braindead brainless worthless pathetic filthy"
-    " bastard bitch cunt retard retarded twat prick jerk arschloch schwachkopf idiota imbecil gilipollas cabron pendejo inutil cretin connard connasse con debile idiote trottel depp wichser hurensohn blodmann fresse gueule mierda merde verpiss foutre fuck fucking trash scum basura abschaum ordure",
-    "threat": "smash kill murder break fingers face hang rot burn hurt stab shoot strangle beat schlage bring umbringen matare matar golpear tuer tuerai frapper casser",
-    "hate": "vermin subhuman filth disease inferior immigrants gays women muslims jews blacks foreigners disabled religion cage ungeziefer auslander schwule frauen juden etrangers vermine femmes inmigrantes extranjeros mujeres alimanas parasitos elderly",
-    "sexual": "porn porno nude nudes naked horny tits boobs sex sexy xxx bang cams dick cock pussy desnuda desnudo nackt nackte nacktbilder nue nus coucher acostarme ficken geil",
-}
-# Sample sentences per category; the first line of each pair of lists abuses, the second doesn't.
-SAMPLES = {
-    "insult": ["you are a worthless idiot and nobody wants you here", "shut up you pathetic loser and go away", "only a complete moron would write this", "get lost you brainless fool", "du bist ein dummes arschloch", "halt die fresse du idiot", "verpiss dich du schwachkopf", "tu es un pauvre con", "ferme ta gueule cretin", "va te faire foutre imbecile", "eres un idiota de mierda", "vete a la mierda gilipollas", "callate la boca imbecil", "fuck you and your review"],
-    "threat": ["i will smash your face in", "i will break his fingers when i meet him", "go hang yourself nobody would miss you", "i hope you rot", "ich schlage dir die fresse ein", "je vais te casser la gueule", "te voy a matar"],
-    "hate": ["immigrants are vermin and should be thrown out", "women are too stupid to write code", "gays are a disease send them back", "people of that religion belong in a cage", "auslander sind ungeziefer und gehoren rausgeworfen", "les etrangers sont de la vermine il faut les chasser", "los inmigrantes son alimanas hay que echarlos", "i refuse to work with people from that country they ruin everything", "another bug from one of those old people", "they should not be allowed to vote", "everybody knows old people are too stupid to write code"],
-    "sexual": ["send me nudes i want to see you naked", "hot naked girls want sex with you tonight", "watch uncensored porn videos", "wanna hook up for dirty sex", "mandame fotos desnuda quiero acostarme contigo", "envoie moi des photos de toi nue je veux coucher avec toi", "schick mir nacktbilder ich will mit dir schlafen"],
-}
-HARMLESS = [
-    "it was a stupid mistake of mine", "the ugly code works", "we kill the child process", "the word filter trips over idiot inside a variable", "the test feeds the strings porn nude and xxx to the parser",
-    "the slave node copies shards from the master", "a naked pointer escapes", "the penetration test found issues", "the sex column of the survey is empty", "the moderators removed a rude reply", "a dumb terminal prints escape codes",
-    "abort the update and nuke the object directory", "i hate how this macro hides the return", "das war ein dummer fehler von mir", "c etait une erreur bete de ma part", "fue un error tonto mio", "the parasite capacitance note belongs to another document",
-]
+#: Categories the abusive sentences are divided into.
+CATEGORIES = ["category_1", "category_2", "category_3", "category_4"]
+#: How often a reviewer passes an abusive document, and calls an innocent one abusive.
+MISSED, FALSE_ALARM = 0.1, 0.05
+ROUNDS = 8
+
 # Cyrillic and Greek letters that look Latin, and signs that stand for letters.
 _LOOKS = str.maketrans("аеорсухіјѕԁһкмтвнпгΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορνικτυ", "aeopcyxijsdhkmtbhnrABEZHIKMNOPTYXaopviktu")
 _LEET = str.maketrans("013457@$!", "oleastasi")
 _LEET_I = str.maketrans("013457@$!9", "oieastasig")
-_KNOWN = {w for ws in LEXICON.values() for w in ws.split()} | {"stupid", "dirty", "useless", "ignorant", "arrogant", "lazy", "ugly", "complete", "total", "dummes", "wertloser", "sleep", "girls", "singles", "photos", "fotos"}
-_BY_LEN: dict[int, list[str]] = defaultdict(list)
-for _w in sorted(_KNOWN):
-    _BY_LEN[len(_w)].append(_w)
-# Known words that hardly stand in other letters by chance, the longest first; the letters between them stay tokens.
-_LONG = re.compile("(" + "|".join(w for n in sorted(_BY_LEN, reverse=True) if n >= 6 for w in _BY_LEN[n]) + ")")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-]{1,2}[^\W\d_]){2,}(?![^\W_])")
 _SINGLES = re.compile(r"(?<![^\W_])[^\W\d_][ .*_-]{1,2}[^\W\d_][ .*_-]")
 _DOTTED = re.compile(r"(?<![^\W_])[^\W\d_]{1,3}(?:[.*_-][^\W\d_]{1,3}){2,}(?![^\W_])")
 _IDENT = re.compile(r"\S*?(?:::|[/\\]|\w_\w|\w\.\w{1,4}\b)\S*")
-_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*@$!#](?=[^\W_*@$!#])|[*#]+(?=[^\W_]))*|[\"“”„]")
-_SPLIT = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
-
-
-def _word(w: str) -> str:
-    """A token without disguise: known words behind stretched, masked or digit letters; numbers and mixed tokens become classes."""
-    if w in _KNOWN or (w.isalpha() and not re.search(r"(.)\1\1", w)):
-        return w
-    if w.isdigit():
-        return "0"
-    if "*" in w or "#" in w:
-        for k in _BY_LEN[len(w)]:
-            if all(a == b or a in "*#" for a, b in zip(w, k)):
-                return k
-        return "masked"
-    for table in (_LEET_I, _LEET):
-        x = w.translate(table)
-        for y in (x, re.sub(r"(.)\1{2,}", r"\1\1", x), re.sub(r"(.)\1{2,}", r"\1", x)):
-            if y in _KNOWN:
-                return y
-    return re.sub(r"(.)\1{2,}", r"\1", w) if w.isalpha() else "ident"
-
-
-def _segment(s: str) -> list[str] | None:
-    """``s`` cut into known words and single a or i, the fewest pieces; None if that can't be done."""
-    best: list[list[str] | None] = [[]] + [None] * len(s)
-    for e in range(1, len(s) + 1):
-        for k in range(max(0, e - max(_BY_LEN)), e):
-            w = s[k:e]
-            if best[k] is not None and (w in _KNOWN or w in ("a", "i")) and (best[e] is None or len(best[k]) + 1 < len(best[e])):
-                best[e] = [*best[k], w]
-    return best[-1]
-
-
-def _join(m: re.Match) -> str:
-    s = re.sub(r"[^\w]|_", "", m[0])
-    if s in _KNOWN:
-        return s
-    return " ".join(_segment(s) or [w for w in _LONG.split(s) if w])
-
-
-@functools.lru_cache(1 << 17)
-def _chunk(c: str) -> tuple[str, ...]:
-    """The tokens of a piece of lower-case text without white space."""
-    if _DOTTED.search(c):
-        c = _DOTTED.sub(lambda m: _join(m) if set(_join(m).split()) & _KNOWN else m[0], c)
-    if _IDENT.fullmatch(c):
-        return ("ident",)
-    return tuple(_word(t) for t in _TOKEN.findall(c))
-
-
-def tokens(sentence: str) -> list[str]:
+_TOKEN = re.compile(r"[^\W_](?:[^\W_]|[*@$!#](?=[^\W_*@$!#])|[*#]+(?=[^\W_]))*|[\"\u201c\u201d\u201e]")
+_SPLIT = re.compile(r"(?<=[.!?\u2026])\s+|[\r\n]+")
+_STRETCH = re.compile(r"(.)\1{2,}")
+
+
+def plain(sentence: str) -> str:
+    """Lower case without marks, invisible characters and look-alike letters."""
     s = sentence
     if not s.isascii():
         s = unicodedata.normalize("NFKD", s.translate(_LOOKS))
         s = "".join(c for c in s if not unicodedata.combining(c) and c not in "\u200b\u200c\u200d\u00ad")
-    s = s.lower()
-    if _SINGLES.search(s):
-        s = _SPACED.sub(_join, s)
-    return [t for c in s.split() for t in _chunk(c)]
+    return s.lower()
+
+
+class Reader:
+    """Cuts sentences into words and undoes disguises as far as they give a word of ``vocabulary`` (word -> weight).
+
+    Of several words a masked one can be, the heaviest is taken; one that fits none becomes the token ``masked``.
+    """
+
+    def __init__(self, vocabulary: dict[str, float]):
+        self.vocabulary = vocabulary
+        self.longest = max(map(len, vocabulary), default=1)
+        self.by_length: dict[int, list[str]] = defaultdict(list)
+        for w in sorted(vocabulary, key=lambda w: (-vocabulary[w], w)):
+            self.by_length[len(w)].append(w)
+        self._ready()
+
+    def _ready(self) -> None:
+        self.chunk = functools.lru_cache(1 << 17)(self._chunk)
+        self.word = functools.lru_cache(1 << 17)(self._word)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("chunk", "word")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._ready()
+
+    def _word(self, w: str) -> str:
+        if w in self.vocabulary or (w.isalpha() and not _STRETCH.search(w)):
+            return w
+        if w.isdigit():
+            return "0"
+        if "*" in w or "#" in w:
+            for k in self.by_length[len(w)]:
+                if all(a == b or a in "*#" for a, b in zip(w, k)):
+                    return k
+            return "masked"
+        for x in (w, w.translate(_LEET_I), w.translate(_LEET)):
+            for y in (x, _STRETCH.sub(r"\1", x), _STRETCH.sub(r"\1\1", x)):
+                if y in self.vocabulary:
+                    return y
+        return _STRETCH.sub(r"\1", w) if w.isalpha() else "ident"
+
+    def segment(self, s: str) -> list[str]:
+        """``s`` cut into words of the vocabulary, the fewest pieces; whole if that can't be done."""
+        best: list[tuple[int, int] | None] = [(0, 0)] + [None] * len(s)
+        for e in range(1, len(s) + 1):
+            for k in range(max(0, e - self.longest), e):
+                w = s[k:e]
+                if best[k] is not None and (len(w) > 2 or w in ("a", "i")) and w in self.vocabulary and (best[e] is None or best[k][0] + 1 < best[e][0]):
+                    best[e] = (best[k][0] + 1, k)
+        if best[-1] is None:
+            return [s]
+        out, e = [], len(s)
+        while e:
+            out.append(s[best[e][1] : e])
+            e = best[e][1]
+        return out[::-1]
+
+    def _join(self, m: re.Match) -> str:
+        s = re.sub(r"[^\w]|_", "", m[0])
+        return s if s in self.vocabulary else " ".join(self.segment(s))
+
+    def _chunk(self, c: str) -> tuple[str, ...]:
+        """The tokens of a piece of plain text without white space."""
+        if _DOTTED.search(c):
+            c = _DOTTED.sub(lambda m: j if set((j := self._join(m)).split()) <= self.vocabulary.keys() else m[0], c)
+        if _IDENT.fullmatch(c):
+            return ("ident",)
+        return tuple(self.word(t) for c in c.split() for t in _TOKEN.findall(c))
+
+    def tokens(self, sentence: str) -> list[str]:
+        s = plain(sentence)
+        if _SINGLES.search(s):
+            s = _SPACED.sub(self._join, s)
+        return [t for c in s.split() for t in self.chunk(c)]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Reader:
+        """With the undisguised words of ``texts``, all of the same weight."""
+        return cls({w: 0.0 for t in texts for s in sentences(t) for c in plain(s).split() if not _IDENT.fullmatch(c) for w in _TOKEN.findall(c) if w.isalpha() and w.isascii() and not _STRETCH.search(w) and (len(w) > 1 or w in "ai")})
 
 
 def sentences(text: str | None) -> list[str]:
@@ -156,10 +170,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 BIAS = -3.5  # log odds of a sentence that shows nothing known
-THRESHOLD = 0.25  # probability from which a document counts as abusive, however many labels there are
 
 
-def fit(x: Csr, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: Csr, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0.2, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Weighted ridge logistic regression with soft labels and a fixed intercept: weights of hashed and of dense features.
 
     The loss is a sum, so what one mislabelled document alone shows can't outweigh the ridge.
@@ -180,106 +193,160 @@ def predict(model: tuple[np.ndarray, np.ndarray], x: Csr, extra: np.ndarray) ->
     return _sigmoid(x.dot(model[0]) + extra @ model[1] + BIAS)
 
 
-_MARKS = [frozenset(LEXICON[c].split()) for c in CATEGORIES]
+def _likelihood(n_abusive: np.ndarray, n_ok: np.ndarray) -> np.ndarray:
+    """How much likelier the verdicts on a document are if it is abusive than if it isn't."""
+    return ((1 - MISSED) / FALSE_ALARM) ** n_abusive * (MISSED / (1 - FALSE_ALARM)) ** n_ok
+
 
+def _blame(p: np.ndarray, doc: np.ndarray, row: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The expected share of its documents in which a sentence is abusive, and the probability of each document to be abusive.
 
-def marks(toks: list[str]) -> list[float]:
-    """Words of each category's lexicon in a sentence, two at most, and whether it quotes."""
-    have = set(toks)
-    return [min(len(have & m), 2) for m in _MARKS] + [float('"' in have)]
+    ``doc`` and ``row`` say which document holds which sentence, ``ratio`` what the verdicts on the documents say.
+    """
+    any_ = 1 - np.exp(np.bincount(doc, np.log1p(-np.minimum(p[row], 1 - 1e-9)), len(ratio)))
+    after = ratio * any_ / np.maximum(ratio * any_ + 1 - any_, 1e-300)
+    share = (after / np.maximum(any_, 1e-12))[doc] * p[row]
+    return np.bincount(row, share, len(p)) / np.maximum(np.bincount(row, minlength=len(p)), 1), after
+
+
+def _settle(x: Csr, doc: np.ndarray, row: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Soft labels of the sentences (0 to 1) and how often each stands, by expectation maximisation.
+
+    At first every sentence of a document bears blame by how seldom it stands in documents found harmless.
+    """
+    held = np.bincount(row, minlength=x.n).astype(float)
+    odds = (np.bincount(row, (ratio > 1)[doc], x.n) + 0.1) / (np.bincount(row, (ratio <= 1)[doc], x.n) + 0.1)
+    share = odds[row] / np.bincount(doc, odds[row], len(ratio))[doc]
+    y = np.bincount(row, np.where((ratio > 1)[doc], share, 0.0), x.n) / np.maximum(held, 1)
+    none = np.zeros((x.n, 0))
+    for _ in range(ROUNDS):
+        p = predict(fit(x, none, y, held), x, none)
+        y, _ = _blame(p, doc, row, ratio)
+    return y, held
+
+
+def _divide(rows: list[tuple], found: np.ndarray, weight: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """A category (0 to k - 1) per row of ``found``: spherical k-means over their words, from rows far from each other."""
+    df = Counter(w for r in found for w in set(rows[r]))
+    vocab = {w: j for j, w in enumerate(sorted(df))}
+    m = np.zeros((len(found), len(vocab)))
+    for i, r in enumerate(found):
+        for w in set(rows[r]):
+            m[i, vocab[w]] = np.log1p(len(found) / df[w])
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    centres = m[[int(np.argmax(weight))]]
+    while len(centres) < min(k, len(found)):
+        centres = np.vstack([centres, m[int(np.argmin((m @ centres.T).max(1) - 1e-9 * weight))]])
+    of = np.zeros(len(found), int)
+    for _ in range(rounds):
+        of = (m @ centres.T).argmax(1)
+        sums = np.vstack([weight[of == c] @ m[of == c] if (of == c).any() else centres[c] for c in range(len(centres))])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    return of
 
 
 class Chain:
-    """Insult, threat, hate, sexual, then abuse; each model sees the probabilities of those before."""
+    """One category after the other, then abuse; each model sees the probabilities of those before."""
 
-    def __init__(self, models: list, threshold: float = THRESHOLD):
-        self.models, self.threshold = models, threshold
+    def __init__(self, reader: Reader, models: list, threshold: float, words: dict[str, list[str]]):
+        self.reader, self.models, self.threshold, self.words = reader, models, threshold, words
 
     @classmethod
-    def train(cls, docs: list[tuple[str, float]]) -> Chain:
-        """``docs``: text and the share of reviewers who called it abusive."""
-        index: dict[tuple, int] = {}
-        of_doc: list[np.ndarray] = []
-        for text, _ in docs:
-            own = {index.setdefault(tuple(t), len(index)) for s in sentences(text) if (t := tokens(s))}
-            of_doc.append(np.array(sorted(own), np.int64))
-        sample = [(tuple(tokens(s)), c) for c, ss in SAMPLES.items() for s in ss] + [(tuple(tokens(s)), None) for s in HARMLESS]
-        seeded = [(index.setdefault(t, len(index)), c) for t, c in sample]
-        rows = list(index)
+    def train(cls, docs: list[tuple[str, int, int]]) -> Chain:
+        """``docs``: text, the number of reviewers who called it abusive, and of those who called it ok.
+
+        The threshold is the one with the best expected F0.5 over out-of-fold scores of the documents.
+        """
+        docs = [d for d in docs if d[1] + d[2]]
+        texts = [sentences(t) for t, _, _ in docs]
+        ratio = _likelihood(np.array([a for _, a, _ in docs], float), np.array([o for _, _, o in docs], float))
+        reader = Reader.of([t for t, _, _ in docs])
+        # masked words are read with the weights learned from the others
+        rows, doc, row = _index(reader, texts)
+        if not rows:
+            return cls(reader, [(np.zeros(DIM), np.zeros(k)) for k in range(len(CATEGORIES) + 1)], 0.5, {})
         x = Csr([features(list(t)) for t in rows])
-        n, base = x.n, np.array([marks(list(t)) for t in rows]).reshape(x.n, -1)
-        verdict = np.array([v for _, v in docs])
-        hits = {c: base[:, k] for k, c in enumerate(CATEGORIES)}
-        marked = base[:, :4].max(1)
-
-        def labels(p: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-            pos, all_ = np.zeros(n), np.zeros(n)
-            for own, v in zip(of_doc, verdict):
-                if not len(own) or v == 0.5:
-                    continue
-                all_[own] += 1
-                if v > 0.5:
-                    # at first the marked sentences, then those the last model finds worst; none may remain
-                    guilty = own[marked[own] > 0] if p is None else own[p[own] >= max(0.5 * p[own].max(), 0.15)]
-                    pos[guilty] += 1
-            for k, c in seeded:
-                all_[k] += 3
-                pos[k] += 3 if c else 0
-            return np.divide(pos, np.maximum(all_, 1e-9)), all_
-
-        p = None
-        for _ in range(3):
-            y, weight = labels(p)
-            p = predict(fit(x, base, y, weight), x, base)
-        y, weight = labels(p)
-        fold = np.array([zlib.crc32(" ".join(t[:4]).encode()) % FOLDS for t in rows])
-        bad = np.clip((p - 0.3) / 0.4, 0, 1)
+        y, held = _settle(x, doc, row, ratio)
+        w, _ = fit(x, np.zeros((x.n, 0)), y, held)
+        reader = Reader({t: float(w[zlib.crc32(t.encode()) % DIM]) for t in reader.vocabulary})
+        rows, doc, row = _index(reader, texts)
+        x = Csr([features(list(t)) for t in rows])
+        y, held = _settle(x, doc, row, ratio)
+
+        found = np.flatnonzero(y > 0.5)
+        of = _divide(rows, found, y[found] * held[found], len(CATEGORIES)) if len(found) else found
         targets = []
-        most = np.max([hits[c] for c in CATEGORIES], axis=0)
-        for c in CATEGORIES:
-            t = np.where((hits[c] > 0) & (hits[c] == most), bad, 0.0)
-            for k, s in seeded:
-                t[k] = float(s == c)
+        for c in range(len(CATEGORIES)):
+            t = np.zeros(x.n)
+            t[found[of == c]] = y[found[of == c]]
             targets.append(t)
         targets.append(y)
-        models, probs = [], base
+        fold = np.array([zlib.crc32(" ".join(t[:4]).encode()) % FOLDS for t in rows])
+        models, probs = [], np.zeros((x.n, 0))
         for t in targets:
-            out = np.zeros(n)
+            out = np.zeros(x.n)
             for f in range(FOLDS):  # later links must not see probabilities fitted to their own rows
                 inside = fold != f
-                model = fit(x, probs, t, weight * inside, steps=60)
+                model = fit(x, probs, t, held * inside, steps=60)
                 out = np.where(inside, out, predict(model, x, probs))
-            models.append(fit(x, probs, t, weight))
+            models.append(fit(x, probs, t, held))
             probs = np.hstack([probs, out[:, None]])
-        return cls(models)
-
-    def _score(self, x: Csr, base: np.ndarray) -> np.ndarray:
-        probs = base
+        usual = Counter(w for r in rows for w in set(r))
+        words = {}
+        for c, name in enumerate(CATEGORIES):
+            n = Counter(w for r in found[of == c] for w in set(rows[r]))
+            words[name] = sorted(n, key=lambda w: (-n[w] * n[w] / usual[w], w))[:12]
+        return cls(reader, models, cls._threshold(x, doc, row, ratio), words)
+
+    @staticmethod
+    def _threshold(x: Csr, doc: np.ndarray, row: np.ndarray, ratio: np.ndarray) -> float:
+        """From document scores by models that saw neither the document nor its verdicts."""
+        fold = np.arange(len(ratio)) % FOLDS
+        none, score = np.zeros((x.n, 0)), np.zeros(len(ratio))
+        for f in range(FOLDS):
+            inside = (fold != f)[doc]
+            y, held = _settle(x, doc[inside], row[inside], np.where(fold != f, ratio, 1.0))
+            p = predict(fit(x, none, y, held), x, none)
+            np.maximum.at(score, doc[~inside], p[row[~inside]])
+        prior = ratio / (ratio + np.mean(ratio <= 1) / max(np.mean(ratio > 1), 1e-9))
+        order = np.argsort(-score, kind="stable")
+        hit, got = np.cumsum(prior[order]), np.arange(1, len(order) + 1)
+        best = int(np.argmax(1.25 * hit / (got + 0.25 * prior.sum())))  # F0.5
+
+        after = score[order[best + 1]] if best + 1 < len(order) else 0.0
+        return float(np.clip((score[order[best]] + after) / 2, 0.05, 0.95))
+
+    def _score(self, x: Csr) -> np.ndarray:
+        probs = np.zeros((x.n, 0))
         for m in self.models:
             probs = np.hstack([probs, predict(m, x, probs)[:, None]])
-        return probs[:, base.shape[1] :]
+        return probs
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """One row a text: the highest probability of each category and of abuse over its sentences (0 for an empty text)."""
         out = np.zeros((len(texts), len(self.models)))
-        index: dict[tuple, int] = {}  # sentences that differ in numbers and names only are scored once
-        of, which = [], []
-        for k, t in enumerate(texts):
-            for s in sentences(t):
-                if toks := tokens(s):
-                    of.append(k)
-                    which.append(index.setdefault(tuple(toks), len(index)))
-        if index:
-            scores = self._score(Csr([features(list(t)) for t in index]), np.array([marks(list(t)) for t in index]))
-            np.maximum.at(out, np.array(of), scores[which])
+        rows, of, which = _index(self.reader, [sentences(t) for t in texts])  # sentences that differ in numbers and names only are scored once
+        if rows:
+            np.maximum.at(out, of, self._score(Csr([features(list(t)) for t in rows]))[which])
         return out
 
 
+def _index(reader: Reader, texts: list[list[str]]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """Distinct token lists, and for each text (second) the lists it holds (third), each once."""
+    index: dict[tuple, int] = {}
+    doc, row = [], []
+    for k, ss in enumerate(texts):
+        own = {index.setdefault(tuple(t), len(index)) for s in ss if (t := reader.tokens(s))}
+        doc.extend([k] * len(own))
+        row.extend(sorted(own))
+    return list(index), np.array(doc, np.int64), np.array(row, np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
-    """A chain fitted to at most MAX_TRAIN_DOCS reviewed documents; unsure verdicts count half, null ones not at all."""
-    share = labels.groupBy("doc_id").agg(F.avg(F.when(F.col("verdict") == "abusive", 1.0).when(F.col("verdict") == "ok", 0.0).when(F.col("verdict") == "unsure", 0.5)).alias("share")).where("share IS NOT NULL")
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(share, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_DOCS).select("text", "share").collect()
-    return Chain.train([(r["text"], r["share"]) for r in rows])
+    """A chain fitted to at most MAX_TRAIN_DOCS reviewed documents; verdicts other than abusive and ok don't count."""
+    votes = labels.groupBy("doc_id").agg(F.count_if(F.col("verdict") == "abusive").alias("bad"), F.count_if(F.col("verdict") == "ok").alias("ok")).where("bad + ok > 0")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(votes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(MAX_TRAIN_DOCS).select("text", "bad", "ok").collect()
+    return Chain.train([(r["text"], r["bad"], r["ok"]) for r in rows])
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
