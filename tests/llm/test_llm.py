@@ -9,27 +9,53 @@ from pyspark.sql import functions as F
 
 from faultline.llm import cooccur, leak, mixing, names, toxic
 
-VARIANTS = {
-    "p1": ["Margaret Friftedax", '"Peggy Friftedax" <mfriftedax@mail.test>', "Friftedax, Margaret", "M. Friftedax", "FRIFTEDAX Margaret", "Friftedax MK.", "margaret.friftedax", "Margaret  Friftedax ", "Margraet Friftedax", "Margaret Frifftedax", "Margaret Friftedax [:mfrift] (UTC+4)", "mfriftedax@devpost.example", "peggy_friftedax@mail.test"],
-    "p2": ["Robert Friftedax", "Bob Friftedax (back Nov 5)", "R. Friftedax", "rob.friftedax@mail.test"],
-    "p3": ["Jürgen Yabblorvask", "J. Yabblorvask <juergen.yabblorvask@oss.example>", "jürgen yabblorvask"],
-    "t1": ["Dvurzhal Security Team", "Security Team, Dvurzhal", "Dvurzhal Sec Tm.", "dvurzhal-security-team", "Dvurzhall Security team", "Dvurzhal Security Team <dvurzhal-sec@x.example>"],
-    "t2": ["Dvurzhal Graphics Team", "Dvurzhal Gfx Team"],
-}
+FULL = {"balthazar": ["balt", "zar"], "quintella": ["quin"], "ferdinand": ["ferdy", "nando"], "archibald": ["archie"], "philippa": ["pippa"], "leopold": ["poldi"], "wilhelmina": ["mina"], "cornelius": ["corny"], "genevieve": ["viv"], "bartholomew": ["bart", "tolly"]}
+DUTY = {"storage": "stor", "compilers": "cc", "translation": "t9n"}
 NOBODY = ["", "---", "nobody", "NOBODY", "Nobody (free to take)", "nobody@nilbit.example", "unassigned", "autoland-bot <autoland@nilbit.example>", None]
 
 
-def test_names(spark):
-    rows = [(n, 1, "clash") for v in VARIANTS.values() for n in v] * 2 + [(n, 2, "x") for n in NOBODY]
+def _made_up_people(seed=11, n=90):
+    """Spellings of invented people and teams, none of them in the driver's tables."""
+    r = random.Random(seed)
+    taken, people = set(), []
+    while len(people) < n:
+        s = "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4)) + r.choice(["lund", "berg", "smark"])
+        if s[:6] in taken:
+            continue
+        taken.add(s[:6])
+        full = r.choice(sorted(FULL))
+        nick, cap = r.choice(FULL[full]), s.capitalize()
+        typo = full[:2] + full[3] + full[2] + full[4:]
+        forms = [
+            f"{full.capitalize()} {cap}", f"{cap}, {full.capitalize()}", f"{full[0].upper()}. {cap}", f"{cap.upper()} {full.capitalize()}", f"{full}.{s}", f"{full.capitalize()}  {cap} ", f"{cap} {full[0].upper()}K.", f"{s}{full[0]}@post.example",
+            f'"{nick.capitalize()} {cap}" <{full}.{s}@post.example>', f"{nick.capitalize()} {cap} (back May 3)", f"{full.capitalize()} {cap} [:{nick}{s[0]}] (UTC+4)", f"{typo.capitalize()} {cap}", f"{full.capitalize()} {s[:4].capitalize()}{s[5:]}",
+        ]
+        people.append(set(r.sample(forms, 8)) | {forms[0]})
+    for duty, short in DUTY.items():
+        for _ in range(5):
+            s = "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4)) + "forge"
+            cap, word = s.capitalize(), duty.capitalize()
+            people.append({f"{cap} {word} Team", f"{word} Team, {cap}", f"{cap} {short.capitalize()} Tm.", f"{s}-{duty}-team", f"{cap} {word} Team <{s}-{short}@post.example>", f"{cap} {word}"})
+    return people
+
+
+def test_names_of_no_list(spark):
+    people = _made_up_people()
+    rows = [(n, 1, "clash") for v in people for n in v] * 2 + [(n, 2, "x") for n in NOBODY]
     ents = names.resolve(spark.createDataFrame(rows, "name string, pid int, entity string"))
-    got = {}
-    for r in ents.collect():
-        got.setdefault(r["entity"], set()).add(r["name"])
-    want = [set(v) for v in VARIANTS.values()]
-    for w in want:
-        assert w in list(got.values()), (w, [g for g in got.values() if g & w])
-    pairs = names.pairs(ents).collect()
-    assert len(pairs) == len(set(pairs)) == sum(len(w) * (len(w) - 1) // 2 for w in want) and all(p[0] < p[1] for p in pairs)
+    got = names.pairs(ents).collect()
+    want = {(a, b) for v in people for a in v for b in v if a < b}
+    assert len(got) == len(set(got)) and all(p[0] < p[1] for p in got)
+    right = len(want & {tuple(p) for p in got})
+    assert right / len(want) > 0.95 and right / len(got) > 0.99, (right, len(want), len(got), sorted(want - {tuple(p) for p in got})[:20], sorted({tuple(p) for p in got} - want)[:20])
+    assert not {r["name"] for r in ents.collect()} & set(NOBODY)
+
+
+def test_names_hot_surname(spark):
+    given = [f"{a}{b}{c}" for a in ("bal", "mir", "tov", "kes") for b in ("dan", "rul", "vix", "mo") for c in ("eth", "ora", "ius", "pen")]
+    rows = [(f"{g.capitalize()} Thirdofall",) for g in given] + [(f"Thirdofall, {g.capitalize()}",) for g in given] + [("B. Thirdofall",)]
+    sizes = [r["n"] for r in names.resolve(spark.createDataFrame(rows, "name string")).groupBy("entity").agg(F.count("*").alias("n")).collect()]
+    assert sorted(sizes) == [1] + [2] * len(given)
 
 
 def test_names_ambiguous_and_empty(spark):
@@ -38,6 +64,18 @@ def test_names_ambiguous_and_empty(spark):
     assert names.resolve(df.limit(0)).count() == 0
 
 
+def test_near_of_columns(spark):
+    words = ["", "a", "ab", "ba", "abc", "acb", "abcd", "bacd", "abdc", "abce", "bcd", "xabc", "abcx"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    assert all(r["n"] == names.near(r["a"], r["b"]) for r in df.withColumn("n", names._near("a", "b")).collect())
+
+
+def test_components_of_chains(spark):
+    edges = [(f"{k:03d}", f"{k + 1:03d}") for k in range(70) if k % 10 != 9] + [("x", "y"), ("z", "y"), ("q", "q")]
+    got = {r["pid"]: r["to"] for r in names.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {f"{k:03d}": f"{k // 10 * 10:03d}" for k in range(70) if k % 10} | {"y": "x", "z": "x"}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=6), st.text("abc", max_size=6))
 def test_near_is_one_edit(a, b):
@@ -177,3 +215,4 @@ def test_toxic_held_out(spark):
     rates = {x["source"]: x["n_docs"] for x in toxic.rates(toxic.score(d, chain)).collect()}
     assert sum(rates.values()) == len(docs) and None in rates
     assert toxic.score(d.limit(0), toxic.train(d, labels.limit(0))).count() == 0
+    assert set(chain.words) == set(toxic.CATEGORIES) and any("you" in w for w in chain.words.values())

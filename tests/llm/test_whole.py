@@ -68,17 +68,30 @@ def test_leaks_without_slots(spark):
     assert got == sorted((d, i) for d in (1, 2, 4) for i in (1, 2, 3, 9))
 
 
-def test_one_threshold_at_every_size():
-    docs = [("You are a worthless idiot and nobody wants you here.", 1.0), ("The cache flushes the page twice.", 0.0), ("Build 7 fails with an unresolved symbol.", 0.0)]
-    assert {toxic.Chain.train(docs * k).threshold for k in (1, 20, 66, 67, 150)} == {toxic.THRESHOLD}
+def test_no_sentence_of_the_data_in_the_library():
+    """Nothing abusive is written down: no string of the library of three words or more stands in the documents."""
+    import ast
+    import pathlib
+
+    import pandas as pd
+
+    sf = pathlib.Path("/root/testdata/sf0.01")
+    if not sf.exists():
+        return
+    texts = " \n ".join(" ".join(leak.words(t)) for t in pd.read_parquet(sf / "documents.parquet")["text"] if t)
+    tree = ast.parse(pathlib.Path(toxic.__file__).read_text())
+    docs = {ast.get_docstring(n, clean=False) for n in ast.walk(tree) if isinstance(n, (ast.Module, ast.FunctionDef, ast.ClassDef))}
+    said = [leak.words(n.value) for n in ast.walk(tree) if isinstance(n, ast.Constant) and isinstance(n.value, str) and n.value not in docs]
+    assert not [w for w in said if len(w) >= 3 and f" {' '.join(w)} " in texts]
 
 
 def test_long_disguised_runs():
     said = ["worthless", "pathetic", "idiot", "moron", "loser", "stupid", "arrogant", "scumbag", "imbecile", "parasite"]
-    assert toxic.tokens(" ".join("".join(said))) == said  # 72 letters
-    got = toxic.tokens("you " + " ".join("areaworthlessfoolandyourcodeneverdidanythingforanybodyhereyoupatheticthing"))
-    assert {"worthless", "pathetic"} <= set(got) and got[1:] == ["area", "worthless", "foolandyourcodeneverdidanythingforanybodyhereyou", "pathetic", "thing"]
-    assert toxic.tokens("q w e r t z") == ["qwertz"]
+    read = toxic.Reader.of(["You worthless, pathetic idiot! Moron, loser, stupid arrogant scumbag: imbecile parasite. Are you a fool"])
+    assert read.tokens(" ".join("".join(said))) == said  # 72 letters
+    assert read.tokens("you " + " ".join("areyouafool")) == ["you", "are", "you", "a", "fool"]
+    assert read.tokens("q w e r t z") == ["qwertz"]
+    assert read.tokens("p@rasite 1d10t m***n stuuuupid w-o-r-t-h-l-e-s-s f**x") == ["parasite", "idiot", "moron", "stupid", "worthless", "masked"]
 
 
 def test_reparameterised_fragments(spark):
