@@ -1,10 +1,14 @@
-"""Parent-child links -> root, depth and loops of every node.
+"""Parent-child links -> root, depth, path, descendants and loops of every node.
 
 Weighted disjoint-set forests, merged in levels. Rows are ranged by their number, so most parents lie
 in the same range; each range compresses its links to (local root, offset) on its own. Links that
 leave a range are contracted to root-to-root links that carry the offset, a far smaller forest, which
 is compressed the same way; offsets add up. Loops are recognised in the range or in the contracted
 forest, their links are cut, and what leads into them is measured again.
+
+Descendants are an interval: nodes are numbered in pre-order within their tree, and those below a node
+have the numbers after its own, as many as it has descendants. The same forests give the numbers, with a
+link weighing one more than the subtrees of the siblings before; subtree sizes come bottom-up over them.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators.ordered import row_numbers
+from faultline.operators.ordered import prefix_sums, row_numbers
 from faultline.session import cut
 
 RANGE_ROWS = 400_000  # nodes that one task compresses
@@ -70,7 +74,7 @@ def compress(ids: np.ndarray, parents: np.ndarray, weights: np.ndarray) -> tuple
     return ptr, dist, loop
 
 
-_LOCAL = "id long, parent long, cids array<string>, root long, off long, ext long, loop long"
+_LOCAL = "id long, parent long, w long, cids array<string>, root long, off long, ext long, loop long"
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +82,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if t is None or not t.num_rows:
         return
     ids, parents = t["id"].to_numpy(), t["parent"].fill_null(-1).to_numpy()
-    root, off, loop = compress(ids, parents, np.ones(len(ids), np.int64))
+    root, off, loop = compress(ids, parents, t["w"].to_numpy())
     inside = np.isin(parents, ids)
     ext = np.where((loop[root] < 0) & ~inside[root] & (parents[root] >= 0), parents[root], -1)
     number = np.where(loop[root] >= 0, ids[loop[root]], -1)
@@ -149,7 +153,7 @@ def _double(links: DataFrame, most: int) -> DataFrame:
 
 
 def _forest(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(local, ends): every node with its local root, and where each local root that leaves its range ends.
+    """(local, ends): every node (id, parent, w: weight of that link, cids) with its local root, and where each local root that leaves its range ends.
 
     ``local``: _LOCAL. ``ends``: (id, via, end, off, loop) for roots with an outside parent ``via``; loop
     is -1 or the number of the contracted loop the root leads into.
@@ -157,11 +161,11 @@ def _forest(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     ranges = max(1, -(-n // RANGE_ROWS))
     placed = nodes.repartitionByRange(ranges, "id") if ranges > 1 else nodes.coalesce(1)
     local = cut(placed.mapInArrow(_local, _LOCAL))
-    out = local.where("id = root AND ext >= 0").select("id", F.col("ext").alias("via"))
+    out = local.where("id = root AND ext >= 0").select("id", F.col("ext").alias("via"), F.col("w").alias("own"))
     if ranges == 1:
-        return local, out.select("id", "via", F.col("id").alias("end"), F.lit(0).cast("bigint").alias("off"), F.lit(-1).cast("bigint").alias("loop")).limit(0)
-    target = local.select(F.col("id").alias("via"), F.col("root").alias("parent"), (F.col("off") + 1).alias("w"))
-    links = cut(out.join(target, "via"))  # a parent number always exists: the caller drops the others
+        return local, out.select("id", "via", F.col("id").alias("next"), F.col("id").alias("end"), F.lit(0).cast("bigint").alias("off"), F.lit(-1).cast("bigint").alias("loop")).limit(0)
+    target = local.select(F.col("id").alias("via"), F.col("root").alias("parent"), F.col("off"))
+    links = cut(out.join(target, "via").select("id", "via", "parent", (F.col("off") + F.col("own")).alias("w")))  # a parent number always exists: the caller drops the others
     many = links.count()
     if many <= ONE_TASK_LINKS:
         ends = links.select("id", "parent", "w").coalesce(1).mapInArrow(_contract, "id long, end long, off long, loop long")
@@ -188,6 +192,53 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pa.table({"id": ids[keys] if len(keys) else ids[:0], "loop": pa.array(list(found.values()), pa.int64())}).to_batches()
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id`` and ``size``: the sum of the weights ``v`` of a node and all below it in its range."""
+    batches = list(batches)
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    ids, parents = t["id"].to_numpy(), t["parent"].fill_null(-1).to_numpy()
+    order = np.argsort(ids, kind="stable")
+    spot = np.searchsorted(ids, parents, sorter=order)
+    spot[spot == len(ids)] = 0
+    up = np.where((parents >= 0) & (ids[order[spot]] == parents), order[spot], -1)
+    size = t["v"].to_numpy().astype(np.int64)
+    while (up >= 0).any():  # what lies less than 2^k steps below moves up 2^k steps
+        live = np.flatnonzero(up >= 0)
+        more = np.zeros(len(ids), np.int64)
+        np.add.at(more, up[live], size[live])
+        size = size + more
+        up = np.where(up >= 0, up[up], -1)
+    yield from pa.table({"id": ids, "size": size}).to_batches(max_chunksize=50_000)
+
+
+def _subtrees(ringed: DataFrame, n: int, local: DataFrame, ends: DataFrame) -> DataFrame:
+    """(id, n_descendants, pre): how many nodes are below each, and its number in pre-order within its tree, children by id."""
+    ranges = max(1, -(-n // RANGE_ROWS))
+    nodes = ringed.select("id", "parent")
+    if ranges > 1:
+        # contracted forest: the sum of what lies less than 2^k root-to-root links below moves up 2^k links
+        total = cut(local.groupBy(F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("s")).join(ends.select("id", F.col("next").alias("up")), "id", "left"))
+        while total.where("up IS NOT NULL").limit(1).count():
+            more = total.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("s").alias("more"))
+            higher = total.select(F.col("id").alias("up"), F.col("up").alias("up2"))
+            total = cut(total.join(more, "id", "left").join(higher, "up", "left").select("id", (F.col("s") + F.coalesce("more", F.lit(0))).alias("s"), F.col("up2").alias("up")))
+        hung = ends.select("id", F.col("via")).join(total.select("id", "s"), "id").groupBy(F.col("via").alias("id")).agg(F.sum("s").alias("hung"))
+        nodes = nodes.join(hung, "id", "left").select("id", "parent", (F.coalesce("hung", F.lit(0)) + 1).alias("v"))
+        placed = nodes.repartitionByRange(ranges, "id")
+    else:
+        placed = nodes.withColumn("v", F.lit(1).cast("bigint")).coalesce(1)
+    size = cut(placed.mapInArrow(_sizes, "id long, size long"))
+    held = cut(ringed.select("id", "parent").join(size, "id"))
+    before = prefix_sums(held.where("parent IS NOT NULL"), ["id"], {"before": "size"}, ["parent"]).select("id", (F.col("before") + 1).alias("w"))
+    weighed = held.join(before, "id", "left").select("id", "parent", F.coalesce("w", F.lit(0)).cast("bigint").alias("w"), F.array().cast("array<string>").alias("cids"))
+    inner, outer = _forest(cut(weighed), n)
+    top = outer.select(F.col("id").alias("root"), F.col("off").alias("top"))
+    pre = inner.select("id", "root", "off").join(top, "root", "left").select("id", (F.col("off") + F.coalesce("top", F.lit(0))).alias("pre"))
+    return held.select("id", (F.col("size") - 1).alias("n_descendants")).join(pre, "id")
+
+
 def _full_paths(open_nodes: DataFrame, n: int, local: DataFrame, ends: DataFrame) -> DataFrame:
     """(id, path): all nodes above each node, nearest first; range by range, then segments of root-to-root links are doubled."""
     ranges = max(1, -(-n // RANGE_ROWS))
@@ -208,12 +259,13 @@ def _full_paths(open_nodes: DataFrame, n: int, local: DataFrame, ends: DataFrame
     return joined.select("id", F.concat("lpath", F.coalesce("seg", F.array().cast("array<bigint>"))).alias("path"))
 
 
-def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
+def resolve(links: DataFrame, with_paths: bool = False, with_descendants: bool = False) -> DataFrame:
     """(cid, kind, root_cid, depth), one row per distinct cid of ``links`` (cid, locid, parent).
 
-    ``with_paths`` adds ``locid`` (the least of the cid; a rank where those don't tell nodes apart), ``path``
-    (the numbers of all nodes above it, nearest first; up to the loop for a tail, empty on a loop) and
-    ``n_descendants`` (how many rows have it on their path). Paths are as long as the tree is deep.
+    Both options add ``locid`` (the least of the cid; a rank where those don't tell nodes apart). ``with_paths`` adds ``path``
+    (the numbers of all nodes above it, nearest first; up to the loop for a tail, empty on a loop), as long as the tree
+    is deep. ``with_descendants`` adds ``root_id``, ``pre`` and ``n_descendants``: the nodes below it are those of the same root_id with
+    the numbers pre + 1 to pre + n_descendants; see ``descendants``. Nodes of a loop are roots of what leads into them.
 
     ``parent`` is the lower-case 12-digit prefix of the parent's cid, or null. A parent that isn't a row
     counts as none. cids equal in their first 12 digits (any letter case) are one node; each keeps its
@@ -230,7 +282,7 @@ def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
     else:
         rows = rows.select("key", "cids", F.col("seq").alias("id"), "parent")
     parent = rows.select(F.col("key").alias("parent"), F.col("id").alias("parent_id"))
-    nodes = cut(rows.join(parent, "parent", "left").select("id", F.col("parent_id").alias("parent"), F.array_sort("cids").alias("cids")))
+    nodes = cut(rows.join(parent, "parent", "left").select("id", F.col("parent_id").alias("parent"), F.lit(1).cast("bigint").alias("w"), F.array_sort("cids").alias("cids")))
     n = nodes.count()
     local, ends = _forest(nodes, n)
 
@@ -242,7 +294,7 @@ def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
         flagged = nodes.select("id", "parent").join(flags, "id", "left").select("id", "parent", F.coalesce("flag", F.lit(-1)).alias("flag"))
         ring = cut(flagged.repartitionByRange(ranges, "id").mapInArrow(_mark, "id long, loop long"))
         ring = cut(ring.unionByName(local.where("id = root AND loop >= 0").select("id", "loop")).dropDuplicates(["id"]))
-        open_nodes = nodes.join(ring, "id", "left").select("id", F.when(F.col("loop").isNull(), F.col("parent")).alias("parent"), "cids")
+        open_nodes = nodes.join(ring, "id", "left").select("id", F.when(F.col("loop").isNull(), F.col("parent")).alias("parent"), "w", "cids")
         open_nodes = cut(open_nodes)
         local, ends = _forest(open_nodes, n)
     else:
@@ -259,10 +311,21 @@ def resolve(links: DataFrame, with_paths: bool = False) -> DataFrame:
     depth = F.col("off") + F.col("top_off")
     kind = F.when(F.col("loop_cid").isNull(), "tree").when((F.col("id") == F.col("end")), "cycle").otherwise("tail")
     found = local.select("id", "root", "off", "cids").join(roots, "root")
+    shown = [F.explode("cids").alias("cid"), kind.alias("kind"), F.coalesce("loop_cid", "end_cid").alias("root_cid"), depth.cast("bigint").alias("depth")]
+    if with_paths or with_descendants:
+        shown.append(F.col("id").alias("locid"))
+        ringed = cut(open_nodes.join(ring.select("id", F.lit(1).alias("on")), "id", "left").select("id", F.when(F.col("on").isNull(), F.col("parent")).alias("parent")))
     if with_paths:
-        ringed = open_nodes.join(ring.select("id", F.lit(1).alias("on")), "id", "left").select("id", F.when(F.col("on").isNull(), F.col("parent")).alias("parent"))
-        paths = cut(_full_paths(ringed, n, local, ends))
-        below = paths.select(F.explode("path").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        found = found.join(paths, "id").join(below, "id", "left")
-        return found.select(F.explode("cids").alias("cid"), kind.alias("kind"), F.coalesce("loop_cid", "end_cid").alias("root_cid"), depth.cast("bigint").alias("depth"), F.col("id").alias("locid"), "path", F.coalesce("n", F.lit(0)).alias("n_descendants"))
-    return found.select(F.explode("cids").alias("cid"), kind.alias("kind"), F.coalesce("loop_cid", "end_cid").alias("root_cid"), depth.cast("bigint").alias("depth"))
+        found = found.join(_full_paths(ringed, n, local, ends), "id")
+        shown.append("path")
+    if with_descendants:
+        found = found.join(_subtrees(ringed, n, local, ends), "id")
+        shown += [F.col("end").alias("root_id"), "pre", "n_descendants"]
+    return found.select(*shown)
+
+
+def descendants(resolved: DataFrame, of: DataFrame) -> DataFrame:
+    """(locid, descendant): all nodes below those of ``of`` (locid), from a result ``with_descendants``; its size is the cost."""
+    nodes = resolved.select("locid", "root_id", "pre", "n_descendants").distinct()
+    below = nodes.join(of.select("locid").distinct(), "locid").where("n_descendants > 0").select("locid", "root_id", F.explode(F.sequence(F.col("pre") + 1, F.col("pre") + F.col("n_descendants"))).alias("pre"))
+    return below.join(nodes.select("root_id", "pre", F.col("locid").alias("descendant")), ["root_id", "pre"]).select("locid", "descendant")

@@ -44,22 +44,22 @@ def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of("repolog", "validbugs", "bug").unionByName(of("experimentprediction", "experiment", "id")).unionByName(of("experiment", "users", "id")).where("ref_key IS NOT NULL")
 
 
-P2_BATCHES = 2
+P2_BATCHES = 8
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> OrphanLedger:
-    """The ledger after replaying all arrivals in P2_BATCHES batches of loading time."""
+def _ledger(spark: SparkSession, sf_dir: str, deletions: DataFrame | None = None) -> OrphanLedger:
+    """The ledger after replaying all arrivals in P2_BATCHES batches of loading time, and at last the deletions."""
     refs, parents = cut(_references(spark, sf_dir)), cut(_parents(spark, sf_dir))
     probs = [k / P2_BATCHES for k in range(1, P2_BATCHES)]
     cuts = refs.agg(F.percentile_approx("at", probs, 1000)).first()[0] or []
     edges = [None, *cuts, None]
-    ledger = OrphanLedger.empty(refs, parents)
+    ledger = OrphanLedger.empty(spark, follow_deletions=deletions is not None)
     for lo, hi in zip(edges, edges[1:]):
         # rows without a time belong to the first batch
         during = (F.col("at").isNull() if lo is None else F.col("at") > F.lit(lo)) | (F.lit(False) if lo is not None else F.lit(True) if hi is None else F.col("at") <= F.lit(hi))
         during = during if hi is None or lo is None else during & (F.col("at") <= F.lit(hi))
         ledger = ledger.apply(refs.where(during), parents.where(during))
-    return ledger
+    return ledger if deletions is None else ledger.apply(refs.limit(0), parents.limit(0), deletions)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,12 @@ def p2_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir).snapshot()
 
 
+def p2_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken references per table and kind once the bugs that were duplicates are deleted."""
+    gone = table(spark, sf_dir, "validbugs").where("status = 'RESOLVED DUPLICATE'").select(F.lit("repolog").alias("ref_table"), F.col("bug").alias("ref_key"))
+    return _ledger(spark, sf_dir, gone).broken().groupBy("ref_table", "kind").agg(F.count(F.lit(1)).alias("n_refs"), F.countDistinct("ref_key").alias("n_keys"))
+
+
 _P2_SQL = """
 WITH refs AS (
   SELECT ref_table, ref_id, ref_key, min(seen) AS seen FROM (
@@ -106,7 +112,7 @@ P4_SHARE = 0.04
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "logs").count()
-    return balanced_aggregate(cut(_keyed(spark, sf_dir)), ["key_kind", "key_text"], "locid").where(F.col("n_rows") >= P4_SHARE * n).select("key_kind", "key_text")
+    return p4_profiles(spark, sf_dir).where(F.col("n_rows") >= P4_SHARE * n).select("key_kind", "key_text")
 
 
 def p4_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,15 +134,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.resolve(_links(spark, sf_dir), with_paths=True)
+    """Every commit with the locids above it, nearest first, joined by slashes."""
+    return hierarchy.resolve(_links(spark, sf_dir), with_paths=True).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
+
+
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every commit with the number of those below it, and its number in pre-order, which names them."""
+    return hierarchy.resolve(_links(spark, sf_dir), with_descendants=True).select("cid", "locid", "root_id", "pre", "n_descendants")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_monthly": p2_monthly, "p3_found": p3_found, "p4_found": p4_found, "p4_profiles": p4_profiles, "p5_found": p5_found, "p5_paths": p5_paths}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_monthly": p2_monthly, "p3_found": p3_found, "p4_found": p4_found, "p4_profiles": p4_profiles, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants, "p2_deleted": p2_deleted}
 ORACLES = {
     "p1_found": dates_sql.P1_FOUND,
     "p3_found": packed_sql.P3_FOUND,
     "p4_found": packed_sql.P4_FOUND,
+    "p4_profiles": packed_sql.P4_PROFILES,
     "p5_found": packed_sql.P5_FOUND,
+    "p5_paths": packed_sql.P5_PATHS,
+    "p5_descendants": packed_sql.P5_DESCENDANTS,
     "p2_found": _P2_SQL + "SELECT * FROM broken",
+    "p2_deleted": _P2_SQL.replace("FROM validbugs", "FROM validbugs WHERE bug NOT IN (SELECT bug FROM validbugs WHERE status = 'RESOLVED DUPLICATE' AND bug IS NOT NULL)") + "SELECT ref_table, kind, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys FROM broken GROUP BY 1, 2",
     "p2_monthly": _P2_SQL + "SELECT ref_table, kind, ref_month, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys FROM broken GROUP BY 1, 2, 3",
 }

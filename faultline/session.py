@@ -32,9 +32,39 @@ def shared_dir(spark: SparkSession) -> str:
     if d:
         return d
     held = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    if not held and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return held or "file://" + os.path.join(tempfile.gettempdir(), "faultline-shared")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one step: whoever reads ``path`` sees the old text or the new."""
+    jvm = spark.sparkContext._jvm
+    to, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, to, overwrite)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
@@ -59,8 +89,8 @@ def drop_cuts() -> None:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session is gone; the cluster's own clean-up removes the folder
-            pass
+        except (AttributeError, OSError):  # the session is gone; the cluster's own clean-up removes the folder
+            return
 
 
 def stay(condition: Column) -> Column:
