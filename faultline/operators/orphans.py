@@ -25,7 +25,7 @@ REF = ["ref_table", "ref_id", "ref_key", "at"]
 ONE = ["ref_table", "ref_id", "ref_key"]
 #: A key with more references than this share of a task's load is spread over several tasks.
 MIN_SHARD_ROWS = 200_000
-DIVISIONS = 32
+DIVISIONS = 8
 #: So many segments of one tier are merged into one of the next.
 TIER = 6
 
