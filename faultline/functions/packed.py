@@ -1,10 +1,11 @@
 """Several values packed into one text field -> one row per value with its position.
 
 Per source (a field, and within it the set of separators its texts show outside quotes) every
-candidate delimiter is scored over all rows: how regular the pieces are (no piece may still hold a
-separator) and how steady the number of pieces is. A source keeps its best single delimiter only if
-every piece of every row comes out regular; otherwise all separators it shows cut. Bracketed lists
-are read as JSON (single quotes allowed); quotes and escapes are taken off at the end.
+candidate delimiter, each separator by itself and all that are shown together, is scored over all rows:
+how many of its pieces are regular (hold no other separator), how much one type of piece (identifier,
+path, word) prevails among them, and how steady the number of pieces is. The best candidate cuts the
+source, the simplest of equally good ones; a row it leaves irregular pieces in is cut at all separators.
+Bracketed lists are read as JSON (single quotes allowed); quotes and escapes are taken off at the end.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_QUOTED = r""""(?:[^"\\]|\\.|"")*"|'(?:[^'\\]|\\.|'')*'"""
+# runs are taken whole: an alternative per character would recurse as deep as the text is long
+_QUOTED = r""""(?:[^"\\]++|\\.|"")*"|'(?:[^'\\]++|\\.|'')*'"""
 # name -> regex of the delimiter
 DELIMITERS = {"dashes": r"---", "comma": r",", "semicolon": r";", "bar": r"\|", "space": r"\s", "any": r"---|[,;|\s]"}
-_PIECE = r"""(?:[^"'\s,;|-]|-(?!--))+"""
+_PIECE = r"""(?:[^"'\s,;|-]++|-(?!--))+"""
 _BLANKS = " \t\n\r\f\u000b"
 _SINGLE = [n for n in DELIMITERS if n != "any"]
 
@@ -41,27 +43,62 @@ def _mask(bare: Column) -> Column:
     return reduce(lambda a, b: a + b, (F.when(t, 1 << k).otherwise(0) for k, t in enumerate(tests)))
 
 
-def infer_delimiters(df: DataFrame, fields: list[str]) -> dict[str, dict[int, str]]:
-    """For each field the delimiter chosen for each separator mask, scored over all rows of ``df``.
+# Private letters: a quoted value, each type of piece, three dashes.
+_QUOTE, _ID, _PATH, _WORD, _DASHES = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+_IN = r"[^\s,;|\ue000-\ue004]"
+_TYPES = [(_ID, rf"(?<!{_IN})(?:\d+:)?[0-9a-fA-F]{{12,40}}(?!{_IN})"), (_PATH, rf"(?<!{_IN})[^\s,;|/.\ue000-\ue004]*+[/.]{_IN}*+"), (_WORD, _IN + "+")]
+#: Scores that differ by less are equal, and the simpler candidate is taken.
+TIE = 0.01
+
+
+def _shape(x: Column) -> Column:
+    """The text with every piece replaced by the letter of its type."""
+    out = F.when(x.contains('"') | x.contains("'"), F.regexp_replace(x, _QUOTED, _QUOTE)).otherwise(x)
+    out = F.replace(out, F.lit("---"), F.lit(_DASHES))
+    for letter, pattern in _TYPES:
+        out = F.regexp_replace(out, pattern, letter)
+    return _strip(F.replace(out, F.lit(_DASHES), F.lit("---")))
+
+
+def _is(letter: str):
+    return lambda p: p == letter
 
-    One pass with map-side aggregation; what reaches the driver is at most 32 rows a field.
+
+def score_delimiters(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, mask, candidate, n_rows, regular, purity, steadiness, score) of every candidate of every source, over all rows of ``df``.
+
+    Texts are reduced to shapes and counted (map-side combined) before the candidates are tried on the distinct shapes.
     """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("x")) for f in fields])).alias("v")).select("v.*")
-    long = long.where(F.col("x").isNotNull() & (F.col("x") != "") & ~_bracketed(F.col("x"))).select("field", _bare(F.col("x")).alias("b"))
-    long = long.select("field", "b", _mask(F.col("b")).alias("mask")).where("mask <> 0")
-    aggs = []
-    for k, name in enumerate(_SINGLE):
-        d = DELIMITERS[name]
-        shown = F.col("mask").bitwiseAND(F.lit(1 << k)) != 0
-        # once this delimiter and its padding are cut out, no separator may be left
-        left = F.regexp_replace("b", r"\s+" if name == "space" else rf"\s*{d}\s*", "Q")
-        regular = F.when(F.col("mask") == (1 << k), 1.0).when(shown, F.when(left.rlike(DELIMITERS["any"]), 0.0).otherwise(1.0))
-        pieces = F.when(shown, F.regexp_count("b", F.lit(d)) + 1)
-        aggs += [F.avg(regular).alias(f"r_{name}"), (F.avg(pieces) / (F.avg(pieces) + F.stddev_pop(pieces))).alias(f"c_{name}")]
+    long = long.where(F.col("x").isNotNull() & (F.col("x") != "") & ~_bracketed(F.col("x")))
+    shapes = long.groupBy("field", _shape(F.col("x")).alias("shape")).agg(F.count(F.lit(1)).alias("k")).withColumn("mask", _mask(F.col("shape"))).where("mask <> 0")
+    tried = []
+    for k, name in enumerate([*_SINGLE, "any"]):
+        pieces = F.filter(F.transform(F.split("shape", DELIMITERS[name]), _strip), lambda p: p != "")
+        shown = F.lit(True) if name == "any" else F.col("mask").bitwiseAND(F.lit(1 << k)) != 0
+        tried.append(F.when(shown, F.struct(F.lit(name).alias("candidate"), pieces.alias("pieces"))))
+    rows = shapes.select("field", "mask", "k", F.explode(F.array_compact(F.array(*tried))).alias("t")).select("field", "mask", "k", "t.candidate", "t.pieces")
+    count = lambda c: F.size(F.filter("pieces", c))
+    rows = rows.select("field", "mask", "candidate", F.col("k").cast("double").alias("k"), F.size("pieces").alias("n"), count(lambda p: F.length(p) == 1).alias("r"), *[count(_is(t)).alias(f"t{j}") for j, t in enumerate((_QUOTE, _ID, _PATH, _WORD))])
+    total = lambda c: F.sum(F.col(c) * F.col("k"))
+    sums = rows.groupBy("field", "mask", "candidate").agg(F.sum("k").alias("n_rows"), total("n").alias("n"), F.sum(F.col("n") * F.col("n") * F.col("k")).alias("nn"), total("r").alias("r"), *[total(f"t{j}").alias(f"t{j}") for j in range(4)])
+    mean = F.col("n") / F.col("n_rows")
+    spread = F.sqrt(F.greatest(F.col("nn") / F.col("n_rows") - mean * mean, F.lit(0.0)))
+    # a quoted value can be of any type
+    known = F.greatest(F.col("t1") + F.col("t2") + F.col("t3"), F.lit(1.0))
+    found = sums.select("field", "mask", "candidate", F.col("n_rows").cast("bigint").alias("n_rows"), (F.col("r") / F.greatest("n", F.lit(1.0))).alias("regular"), (F.greatest("t1", "t2", "t3") / known).alias("purity"), (mean / (mean + spread)).alias("steadiness"))
+    return found.withColumn("score", F.col("regular") * (F.col("purity") + F.col("steadiness")) / 2)
+
+
+def infer_delimiters(df: DataFrame, fields: list[str]) -> dict[str, dict[int, str]]:
+    """For each field the delimiter chosen for each separator mask; what reaches the driver is at most 192 rows a field."""
     plan: dict[str, dict[int, str]] = {f: {} for f in fields}
-    for row in long.groupBy("field", "mask").agg(*aggs).collect():
-        regular, _, _, name = max((row[f"r_{n}"], row[f"c_{n}"] or 0.0, -k, n) for k, n in enumerate(_SINGLE) if row["mask"] >> k & 1)
-        plan[row["field"]][row["mask"]] = name if regular == 1.0 else "any"
+    sources: dict[tuple[str, int], dict[str, float]] = {}
+    for row in score_delimiters(df, fields).collect():
+        sources.setdefault((row["field"], row["mask"]), {})[row["candidate"]] = row["score"]
+    for (f, mask), scores in sources.items():
+        top = max(scores.values())
+        plan[f][mask] = next(n for n in DELIMITERS if scores.get(n, -1.0) >= top - TIE)
     return plan
 
 
@@ -78,7 +115,8 @@ def split_column(field: str, plan: dict[int, str]) -> Column:
     """Array of the values packed in ``field``: empty pieces left out, repeats kept, order kept.
 
     Null or empty text gives an empty array. A bracketed text that isn't a readable list is cut at all
-    separators, brackets included. Separator masks missing from ``plan`` are cut at all separators.
+    separators, brackets included. Separator masks missing from ``plan``, and rows in which the chosen delimiter leaves
+    a piece with another separator, are cut at all separators.
     """
     x = F.col(field).cast("string")
     masks: dict[str, list[int]] = {}
@@ -90,11 +128,14 @@ def split_column(field: str, plan: dict[int, str]) -> Column:
     if names:
         mask = _mask(bare)
         plain = reduce(lambda c, n: c.when(mask.isin(masks[n]), cut(n)), names[1:], F.when(mask.isin(masks[names[0]]), cut(names[0]))).otherwise(cut("any"))
+        mixed = [m for n in names for m in masks[n] if m & (m - 1)]
+        if mixed:
+            plain = F.when(mask.isin(mixed) & F.exists(plain, lambda p: _strip(p).rlike(DELIMITERS["any"])), cut("any")).otherwise(plain)
     else:
         plain = cut("any")
     quoted = F.transform(F.array_remove(F.regexp_extract_all(x, F.lit(f"({_QUOTED}|---|{_PIECE})"), F.lit(1)), "---"), _clean)
     json = F.from_json(x, "array<string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
-    loose = F.transform(F.array_remove(F.regexp_extract_all(x, F.lit(rf"""({_QUOTED}|---|(?:[^"'\s,;|\[\]-]|-(?!--))+)"""), F.lit(1)), "---"), _clean)
+    loose = F.transform(F.array_remove(F.regexp_extract_all(x, F.lit(rf"""({_QUOTED}|---|(?:[^"'\s,;|\[\]-]++|-(?!--))+)"""), F.lit(1)), "---"), _clean)
     values = F.when(bare.startswith("[") & bare.endswith("]"), F.coalesce(F.transform(json, _strip), loose)).when(x.contains('"') | x.contains("'"), quoted).otherwise(plain)
     return F.array_remove(F.array_compact(F.coalesce(values, F.array().cast("array<string>"))), "")
 

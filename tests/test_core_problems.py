@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions.instants import with_instants
-from faultline.functions.packed import explode_packed, infer_delimiters, split_column
+from faultline.functions.packed import explode_packed, infer_delimiters, score_delimiters, split_column
 from faultline.operators import balanced, hierarchy, orphans, ordered
 from faultline.operators.balanced import balanced_aggregate, pack
 from faultline.operators.orphans import OrphanLedger
@@ -55,9 +55,22 @@ def test_packed(spark):
 
 
 def test_delimiters_are_inferred_per_source(spark):
-    df = spark.createDataFrame([("a, b", "p q"), ("c,d", "r,s t")], "u string, w string")
+    df = spark.createDataFrame([("a, b", "p q")] * 300 + [("c,d", "r,s t"), ("one of,many", "u v")], "u string, w string")
     plan = infer_delimiters(df, ["u", "w"])
-    assert set(plan["u"].values()) == {"comma"} and plan["w"][16] == "space" and plan["w"][18] == "any"
+    assert plan["u"] == {2: "comma", 18: "comma"} and plan["w"] == {16: "space", 18: "any"}
+    # the plan cuts; a row that doesn't fit it is cut at all it shows
+    got = {r["item"] for r in explode_packed(df.where("u LIKE 'one%'"), ["u"], ["u"], plan).collect()}
+    assert got == {"one", "of", "many"}
+    assert {tuple(r["a"]) for r in df.select(split_column("w", {16: "comma"}).alias("a")).collect()} == {("p q",), ("u v",), ("r", "s", "t")}
+
+
+def test_delimiter_scores(spark):
+    paths = [(f"lib/a{k}.c;lib/b {k}.c;x.h" if k % 2 else f"lib/a{k}.c;y/b {k}.c;z.h;w.h",) for k in range(40)]
+    rows = {r["candidate"]: r for r in score_delimiters(spark.createDataFrame(paths, "f string"), ["f"]).collect()}
+    assert rows["semicolon"]["n_rows"] == 40 and rows["any"]["regular"] == 1.0
+    assert abs(rows["semicolon"]["regular"] - 5 / 7) < 1e-9 and rows["space"]["regular"] == 0.0
+    steady = 3.5 / (3.5 + 0.5)
+    assert abs(rows["semicolon"]["steadiness"] - steady) < 1e-9 and rows["semicolon"]["purity"] == rows["any"]["purity"] == 1.0
 
 
 REFS = "ref_table string, ref_id bigint, ref_key bigint, at bigint"
@@ -74,7 +87,7 @@ def _brute(refs, parents):
     return {(t, i, k, "missing" if (t, k) not in first else "late") for (t, i, k), at in seen.items() if (t, k) not in first or first[t, k] > at}
 
 
-@pytest.mark.parametrize("batches", [1, 4])
+@pytest.mark.parametrize("batches", [1, 7])
 def test_orphans(spark, batches, monkeypatch):
     monkeypatch.setattr(orphans, "MIN_SHARD_ROWS", 20)
     r = random.Random(4)
@@ -82,7 +95,7 @@ def test_orphans(spark, batches, monkeypatch):
     refs += refs[:30]
     parents = [("t", k, r.randrange(1000)) for k in range(25) if k != 7] + [("t", 3, 2)]
     rd, pd_ = spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, "ref_table string, ref_key bigint, at bigint")
-    ledger = OrphanLedger.empty(rd, pd_)
+    ledger = OrphanLedger.empty(spark, at_type="bigint")
     for b in range(batches):
         lo, hi = 1000 * b // batches, 1000 * (b + 1) // batches
         ledger = ledger.apply(rd.where(f"at >= {lo} AND at < {hi}"), pd_.where(f"at >= {lo} AND at < {hi}"))
@@ -93,7 +106,7 @@ def test_orphans(spark, batches, monkeypatch):
 def test_orphans_deletions_and_empty(spark):
     none = spark.createDataFrame([], REFS)
     parent = spark.createDataFrame([("t", 1, 0)], "ref_table string, ref_key bigint, at bigint")
-    ledger = OrphanLedger.empty(none, parent.limit(0), follow_deletions=True).apply(spark.createDataFrame([("t", 5, 1, 3)], REFS), parent)
+    ledger = OrphanLedger.empty(spark, follow_deletions=True, at_type="bigint").apply(spark.createDataFrame([("t", 5, 1, 3)], REFS), parent)
     assert ledger.broken().count() == 0
     ledger = ledger.apply(none, parent.limit(0), parent.select("ref_table", "ref_key"))
     assert [(r["ref_id"], r["kind"]) for r in ledger.broken().collect()] == [(5, "missing")]
@@ -101,16 +114,63 @@ def test_orphans_deletions_and_empty(spark):
     assert [r["kind"] for r in ledger.broken().collect()] == ["late"]
 
 
+@pytest.mark.parametrize("deletions", [False, True])
+def test_orphans_redelivered_and_early(spark, deletions):
+    none = spark.createDataFrame([], REFS)
+    ref = lambda *rows: spark.createDataFrame(list(rows), REFS)
+    parent = lambda *rows: spark.createDataFrame(list(rows), "ref_table string, ref_key bigint, at bigint")
+    ledger = OrphanLedger.empty(spark, follow_deletions=deletions, at_type="bigint").apply(ref(("t", 1, 9, 5), ("t", 2, 8, 5)), parent(("t", 7, 0)).limit(0))
+    ledger = ledger.apply(ref(("t", 1, 9, 6), ("t", 1, 9, 4), ("t", 3, 8, 50)), parent(("t", 8, 10)))  # delivered again; a parent after one and before the other
+    assert {(r["ref_id"], r["at"], r["kind"]) for r in ledger.broken().collect()} == {(1, 4, "missing"), (2, 5, "late")}
+    counts = {(r["kind"], r["n_refs"], r["n_keys"]) for r in ledger.broken().groupBy("kind").agg(F.count("*").alias("n_refs"), F.countDistinct("ref_key").alias("n_keys")).collect()}
+    assert counts == {("missing", 1, 1), ("late", 1, 1)}
+    ledger = ledger.apply(none, parent(("t", 8, 3)))  # it was there before both
+    assert {(r["ref_id"], r["kind"]) for r in ledger.broken().collect()} == {(1, "missing")}
+    ledger = ledger.apply(ref(("t", 3, 8, 2)), parent(("t", 9, 1)))  # an earlier delivery of a settled reference
+    assert {(r["ref_id"], r["at"], r["kind"]) for r in ledger.broken().collect()} == {(3, 2, "late")}
+
+
+@pytest.mark.parametrize("tier", [2, 3, 50])
+def test_orphans_replayed_with_deletions(spark, monkeypatch, tier):
+    monkeypatch.setattr(orphans, "TIER", tier)
+    r = random.Random(tier)
+    alive, seen = {}, {}
+    ledger = OrphanLedger.empty(spark, follow_deletions=True, at_type="bigint")
+    for b in range(6):
+        refs = [("t", r.randrange(25), r.randrange(8), r.randrange(100)) for _ in range(12)]
+        parents, gone = [("t", r.randrange(8), r.randrange(100)) for _ in range(2)], [("t", r.randrange(8))] if b % 2 else []
+        for k in gone:
+            alive.pop(k, None)
+        for t, k, at in parents:
+            alive[t, k] = min(alive.get((t, k), at), at)
+        for t, i, k, at in refs:
+            seen[t, i, k] = min(seen.get((t, i, k), at), at)
+        ledger = ledger.apply(spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, "ref_table string, ref_key bigint, at bigint"), spark.createDataFrame(gone, "ref_table string, ref_key bigint"))
+    want = {(t, i, k, "missing" if (t, k) not in alive else "late") for (t, i, k), at in seen.items() if (t, k) not in alive or alive[t, k] > at}
+    assert {(x["ref_table"], x["ref_id"], x["ref_key"], x["kind"]) for x in ledger.broken().collect()} == want
+    assert len(ledger.refs) < 6 or tier == 50
+
+
 def test_orphan_stream(spark, tmp_path):
     from faultline.streaming.orphans import LedgerStream
 
     schema = "event string, ref_table string, ref_id bigint, ref_key bigint, at bigint"
-    for k, rows in enumerate([[("ref", "t", 1, 5, 10), ("ref", "t", 2, 6, 11)], [("parent", "t", None, 5, 20)]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    sink = LedgerStream(spark, str(tmp_path / "state"))
-    q = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).writeStream.foreachBatch(sink.write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {(r["ref_id"], r["kind"]) for r in sink.ledger().broken().collect()} == {(1, "late"), (2, "missing")}
+
+    def run(*files):
+        for rows in files:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        sink = LedgerStream(spark, str(tmp_path / "state"), True, "bigint")  # a new object each time, as after a restart
+        q = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).writeStream.foreachBatch(sink.write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sink
+
+    run([("ref", "t", 1, 5, 10), ("ref", "t", 2, 6, 11)], [("parent", "t", None, 5, 20)])
+    sink = run([("ref", "t", 3, 7, 30), ("parent", "t", None, 6, 1), ("parent", "t", None, 7, 2)])
+    assert {(r["ref_id"], r["kind"]) for r in sink.ledger().broken().collect()} == {(1, "late")}
+    sink = run([("delete", "t", None, 7, 40)])
+    assert {(r["ref_id"], r["kind"]) for r in sink.ledger().broken().collect()} == {(1, "late"), (3, "missing")}
+    sink.write(spark.createDataFrame([("parent", "t", None, 7, 2)], schema), 1)  # a batch long done
+    assert sink.ledger().broken().count() == 2
 
 
 def test_balanced(spark):
@@ -159,7 +219,9 @@ def test_hierarchy(spark, monkeypatch, rows, links):
     got = {x["cid"]: (x["kind"], x["root_cid"], x["depth"]) for x in hierarchy.resolve(spark.createDataFrame(rows_, "cid string, locid bigint, parent string")).collect()}
     par[cid(999)] = None
     assert got == _walk(par)
-    full = hierarchy.resolve(spark.createDataFrame(rows_, "cid string, locid bigint, parent string"), with_paths=True).collect()
+    full = hierarchy.resolve(spark.createDataFrame(rows_, "cid string, locid bigint, parent string"), with_paths=True, with_descendants=True)
+    every = {(x["locid"], x["descendant"]) for x in hierarchy.descendants(full, full).collect()}
+    full = full.collect()
     number = {x["locid"]: x["cid"] for x in full}
     below = {}
     for x in full:
@@ -171,6 +233,8 @@ def test_hierarchy(spark, monkeypatch, rows, links):
         for a in want:
             below[a] = below.get(a, 0) + 1
     assert all(x["n_descendants"] == below.get(x["cid"], 0) for x in full)
+    assert every == {(k, x["locid"]) for x in full for k in x["path"]}
+    assert len({(x["root_id"], x["pre"]) for x in full}) == len(full)
 
 
 def test_hierarchy_without_numbers(spark):
