@@ -1,10 +1,10 @@
 """Passages of evaluation items inside corpus documents.
 
 Both sides are canonicalised to templates: numbers, hashes, quantities with units and names become
-typed placeholders, words that many items share stay. Five-word template windows are hash-joined; a
-pair of windows also agrees in its slots if the values behind the placeholders are equal, or if it has
-none. Pairs of document and item with agreeing windows are then verified word by word. Windows that fit a template
-but none of its items tell re-parameterised questions.
+typed placeholders, words that many items share stay. Five-word template windows are hash-joined, on the
+template alone; then the values behind the placeholders are compared. Pairs of document and item that
+agree in some window's values are verified word by word. Pairs whose windows fit with other values are
+checked for consistent replacement and tell re-parameterised questions.
 """
 
 from __future__ import annotations
@@ -213,16 +213,21 @@ class LeakIndex:
         """(doc_id, pos, template, slots) of documents, only of known templates while the index is small enough to travel."""
         return docs.select("doc_id", "text").mapInPandas(_window_rows("doc_id", self.literals, self.templates), "doc_id long, pos long, template long, slots long")
 
-    def candidates(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, item_id, n_windows): pairs with windows equal in template and slots, that is word by word. Windows without a slot pair with every item of the template."""
-        return self.doc_windows(docs).join(self._hint(self.windows), ["template", "slots"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    def matches(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, item_id, n_agreeing, n_differing): pairs of windows of one template, by whether the values agree too.
+
+        Windows without a placeholder agree by their template.
+        """
+        index = self.windows.withColumnRenamed("slots", "values")
+        agrees = (F.col("slots") == F.col("values")).cast("int")
+        return self.doc_windows(docs).join(self._hint(index), "template").groupBy("doc_id", "item_id").agg(F.sum(agrees).alias("n_agreeing"), F.sum(1 - agrees).alias("n_differing"))
 
     def leaks(self, docs: DataFrame) -> DataFrame:
         """(doc_id, item_id): documents that hold an item's passage wholly or in part, see ``contains``.
 
         Null texts and ids and null passages are in no pair; repeated rows give one pair.
         """
-        found = cut(self.candidates(docs.where("doc_id IS NOT NULL")).select("doc_id", "item_id"))
+        found = cut(self.matches(docs.where("doc_id IS NOT NULL")).where("n_agreeing > 0").select("doc_id", "item_id"))
         few = found.count() <= BROADCAST_WINDOWS
         passages = self.items.withColumnRenamed("text", "passage")
         pairs = found.join(F.broadcast(passages) if self.small else passages, "item_id")
@@ -238,8 +243,12 @@ class LeakIndex:
         item's own, three at least) and replaces each value of the item by one value throughout. Of items that fit the same
         place the one with the most windows is given; ``n_agreeing`` windows of the place hold some item's own values.
         """
-        index = self.windows.where("slots <> 0").select("item_id", "template").distinct()
-        pairs = cut(self.doc_windows(docs.where("doc_id IS NOT NULL")).where("slots <> 0").select("doc_id", "template").distinct().join(self._hint(index), "template").select("doc_id", "item_id").distinct())
+        # a place needs so many windows that differ, so only pairs with as many are looked at
+        need = F.greatest(F.lit(3), F.ceil(F.lit(share) * F.col("n_slotted"))) if min_windows is None else F.lit(min_windows)
+        size = self.items.mapInPandas(_window_rows("item_id", self.literals, None), "item_id long, pos long, template long, slots long").where("slots <> 0").groupBy("item_id").agg(F.countDistinct("pos").alias("n_slotted"))
+        found = cut(self.matches(docs.where("doc_id IS NOT NULL")).join(self._hint(size), "item_id").select("doc_id", "item_id", "n_agreeing", (F.col("n_differing") >= need).alias("enough")))
+        # items the document holds word by word stay beside them: their windows are nobody's variant
+        pairs = found.where("enough OR n_agreeing > 0").join(found.where("enough").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "item_id")
         passages = self.items.withColumnRenamed("text", "passage")
         held = pairs.join(F.broadcast(passages) if self.small else passages, "item_id").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("item_id", "passage"))).alias("items"))
         literals = self.literals

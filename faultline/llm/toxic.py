@@ -38,7 +38,7 @@ ROUNDS = 8
 _LOOKS = str.maketrans("аеорсухіјѕԁһкмтвнпгΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορνικτυ", "aeopcyxijsdhkmtbhnrABEZHIKMNOPTYXaopviktu")
 _LEET = str.maketrans("013457@$!", "oleastasi")
 _LEET_I = str.maketrans("013457@$!9", "oieastasig")
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-]{1,2}[^\W\d_]){2,}(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ .*_-]{1,2})[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
 _SINGLES = re.compile(r"(?<![^\W_])[^\W\d_][ .*_-]{1,2}[^\W\d_][ .*_-]")
 _DOTTED = re.compile(r"(?<![^\W_])[^\W\d_]{1,3}(?:[.*_-][^\W\d_]{1,3}){2,}(?![^\W_])")
 _IDENT = re.compile(r"\S*?(?:::|[/\\]|\w_\w|\w\.\w{1,4}\b)\S*")

@@ -25,7 +25,8 @@ def _made_up_people(seed=11, n=90):
         taken.add(s[:6])
         full = r.choice(sorted(FULL))
         nick, cap = r.choice(FULL[full]), s.capitalize()
-        typo = full[:2] + full[3] + full[2] + full[4:]
+        at = r.randrange(1, len(full) - 1)
+        typo = full[:at] + r.choice([full[at + 1] + full[at], full[at] + full[at : at + 2], "q" + full[at + 1]]) + full[at + 2 :]
         forms = [
             f"{full.capitalize()} {cap}", f"{cap}, {full.capitalize()}", f"{full[0].upper()}. {cap}", f"{cap.upper()} {full.capitalize()}", f"{full}.{s}", f"{full.capitalize()}  {cap} ", f"{cap} {full[0].upper()}K.", f"{s}{full[0]}@post.example",
             f'"{nick.capitalize()} {cap}" <{full}.{s}@post.example>', f"{nick.capitalize()} {cap} (back May 3)", f"{full.capitalize()} {cap} [:{nick}{s[0]}] (UTC+4)", f"{typo.capitalize()} {cap}", f"{full.capitalize()} {s[:4].capitalize()}{s[5:]}",

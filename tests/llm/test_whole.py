@@ -91,7 +91,7 @@ def test_long_disguised_runs():
     assert read.tokens(" ".join("".join(said))) == said  # 72 letters
     assert read.tokens("you " + " ".join("areyouafool")) == ["you", "are", "you", "a", "fool"]
     assert read.tokens("q w e r t z") == ["qwertz"]
-    assert read.tokens("p@rasite 1d10t m***n stuuuupid w-o-r-t-h-l-e-s-s f**x") == ["parasite", "idiot", "moron", "stupid", "worthless", "masked"]
+    assert read.tokens("f**x p@rasite 1d10t m***n stuuuupid w-o-r-t-h-l-e-s-s") == ["masked", "parasite", "idiot", "moron", "stupid", "worthless"]
 
 
 def test_reparameterised_fragments(spark):
@@ -102,3 +102,24 @@ def test_reparameterised_fragments(spark):
     got = leak.LeakIndex(spark.createDataFrame(items, "item_id long, passage string")).reparameterised(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     # a fragment, a whole one beside a verbatim item; not the verbatim item and not the one with two values for one
     assert [(r["doc_id"], r["item_id"]) for r in sorted(got)] == [(1, 1), (2, 1)]
+
+
+def test_reparameterised_recall(spark):
+    """Planted variants of whole and cut items, with production parameters."""
+    r = random.Random(21)
+    name = lambda: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4))
+    forms = [
+        "between tags {n} and {n} the class {a} gained {n} methods, its coupling went from {n} to {n}, and {b} became abstract after {a} was cut.",
+        "a report numbered {n} says that {a} loses {n} bytes whenever {b} is resized while {c} holds the lock of {a} and {n} readers wait.",
+        "dataset {a} holds {n} classes of which {n} are faulty; removing column {b} lowers the score of learner {c} by {n} points on {a}.",
+    ]
+
+    def fill(form):
+        value = {x: name() for x in "abc"}
+        return "".join(str(r.randrange(10, 9999)) if x == "{n}" else value[x[1]] if x[0] == "{" else x for x in __import__("re").split(r"(\{.\})", form) if x)
+
+    items = [(k, " ".join(fill(f) for f in r.sample(forms, 2))) for k in range(40)]
+    docs = [(k, "unrelated words stand here " * 5 + fill(forms[k % 3]) + " and some more of them") for k in range(60)] + [(100 + k, items[k][1]) for k in range(20)] + [(200 + k, "nothing of the kind is in this text " * 9) for k in range(20)]
+    got = leak.LeakIndex(spark.createDataFrame(items, "item_id long, passage string")).reparameterised(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {x["doc_id"] for x in got}
+    assert len(found & set(range(60))) >= 54 and not found - set(range(60))
