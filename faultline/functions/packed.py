@@ -46,7 +46,9 @@ def _mask(bare: Column) -> Column:
 # Private letters: a quoted value, each type of piece, three dashes.
 _QUOTE, _ID, _PATH, _WORD, _DASHES = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 _IN = r"[^\s,;|\ue000-\ue004]"
-_TYPES = [(_ID, rf"(?<!{_IN})(?:\d+:)?[0-9a-fA-F]{{12,40}}(?!{_IN})"), (_PATH, rf"(?<!{_IN})[^\s,;|/.\ue000-\ue004]*+[/.]{_IN}*+"), (_WORD, _IN + "+")]
+# One match a piece, never starting within one: an identifier leaves its last digit, a path its first slash or dot, a word nothing.
+_ANY_PIECE = rf"(?:\d++:)?[0-9a-fA-F]{{11,39}}([0-9a-fA-F])(?!{_IN})|(?={_IN})[^\s,;|/.\ue000-\ue004]*+([/.]?){_IN}*+"
+_LEFT = "0123456789abcdefABCDEF/."
 #: Scores that differ by less are equal, and the simpler candidate is taken.
 TIE = 0.01
 
@@ -54,14 +56,11 @@ TIE = 0.01
 def _shape(x: Column) -> Column:
     """The text with every piece replaced by the letter of its type."""
     out = F.when(x.contains('"') | x.contains("'"), F.regexp_replace(x, _QUOTED, _QUOTE)).otherwise(x)
-    out = F.replace(out, F.lit("---"), F.lit(_DASHES))
-    for letter, pattern in _TYPES:
-        out = F.regexp_replace(out, pattern, letter)
-    return _strip(F.replace(out, F.lit(_DASHES), F.lit("---")))
-
-
-def _is(letter: str):
-    return lambda p: p == letter
+    out = F.regexp_replace(F.replace(out, F.lit("---"), F.lit(_DASHES)), _ANY_PIECE, _WORD + "$1$2")
+    out = F.translate(out, _LEFT, "I" * 22 + "PP")
+    for was, now in ((_WORD + "I", _ID), (_WORD + "P", _PATH), (_DASHES, "---")):
+        out = F.replace(out, F.lit(was), F.lit(now))
+    return _strip(out)
 
 
 def score_delimiters(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -70,16 +69,18 @@ def score_delimiters(df: DataFrame, fields: list[str]) -> DataFrame:
     Texts are reduced to shapes and counted (map-side combined) before the candidates are tried on the distinct shapes.
     """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("x")) for f in fields])).alias("v")).select("v.*")
-    long = long.where(F.col("x").isNotNull() & (F.col("x") != "") & ~_bracketed(F.col("x")))
-    shapes = long.groupBy("field", _shape(F.col("x")).alias("shape")).agg(F.count(F.lit(1)).alias("k")).withColumn("mask", _mask(F.col("shape"))).where("mask <> 0")
-    tried = []
+    long = long.where(F.col("x").rlike(r"[\s,;|]|---") & ~_bracketed(F.col("x")))
+    shapes = long.groupBy("field", _shape(F.col("x")).alias("shape")).agg(F.count(F.lit(1)).alias("k")).withColumn("mask", _mask(F.col("shape")))
+    # few short rows, but each is tried with every candidate; a filter on the mask would be pushed below the count and find the shape anew
+    shapes = shapes.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    tried, lone = [], F.col("mask").bitwiseAND(F.col("mask") - 1) == 0
     for k, name in enumerate([*_SINGLE, "any"]):
-        pieces = F.filter(F.transform(F.split("shape", DELIMITERS[name]), _strip), lambda p: p != "")
-        shown = F.lit(True) if name == "any" else F.col("mask").bitwiseAND(F.lit(1 << k)) != 0
-        tried.append(F.when(shown, F.struct(F.lit(name).alias("candidate"), pieces.alias("pieces"))))
-    rows = shapes.select("field", "mask", "k", F.explode(F.array_compact(F.array(*tried))).alias("t")).select("field", "mask", "k", "t.candidate", "t.pieces")
-    count = lambda c: F.size(F.filter("pieces", c))
-    rows = rows.select("field", "mask", "candidate", F.col("k").cast("double").alias("k"), F.size("pieces").alias("n"), count(lambda p: F.length(p) == 1).alias("r"), *[count(_is(t)).alias(f"t{j}") for j, t in enumerate((_QUOTE, _ID, _PATH, _WORD))])
+        d = DELIMITERS[name]
+        pieces = F.regexp_count("shape", F.lit(rf"(?:^|{d})\s*+(?!{d}|\s|$)"))
+        of_type = [F.regexp_count("shape", F.lit(rf"(?:^|{d})\s*+{t}\s*+(?={d}|$)" if name not in ("space", "any") else rf"(?:^|(?<={d})){t}(?={d}|$)")) for t in (_QUOTE, _ID, _PATH, _WORD)]
+        shown = ~lone if name == "any" else F.col("mask").bitwiseAND(F.lit(1 << k)) != 0
+        tried.append(F.when(shown, F.struct(F.lit(name).alias("candidate"), pieces.alias("n"), *[c.alias(f"t{j}") for j, c in enumerate(of_type)])))
+    rows = shapes.select("field", "mask", F.col("k").cast("double").alias("k"), F.explode(F.array_compact(F.array(*tried))).alias("t")).select("field", "mask", "k", "t.*").withColumn("r", F.expr("t0 + t1 + t2 + t3"))
     total = lambda c: F.sum(F.col(c) * F.col("k"))
     sums = rows.groupBy("field", "mask", "candidate").agg(F.sum("k").alias("n_rows"), total("n").alias("n"), F.sum(F.col("n") * F.col("n") * F.col("k")).alias("nn"), total("r").alias("r"), *[total(f"t{j}").alias(f"t{j}") for j in range(4)])
     mean = F.col("n") / F.col("n_rows")
@@ -111,33 +112,58 @@ def _clean(p: Column) -> Column:
     return F.when(p.startswith('"') & p.endswith('"') & (F.length(p) > 1), double).when(p.startswith("'") & p.endswith("'") & (F.length(p) > 1), single).otherwise(p)
 
 
-def split_column(field: str, plan: dict[int, str]) -> Column:
-    """Array of the values packed in ``field``: empty pieces left out, repeats kept, order kept.
+# How a text is cut: at all separators, at one of _SINGLE (by number), at one of them unless white space parts two values, or not at all.
+_ANY, _WHOLE, _LIST, _QUOTES, _NONE = 0, 20, 21, 22, 23
+_CHECKED = 10
 
-    Null or empty text gives an empty array. A bracketed text that isn't a readable list is cut at all
-    separators, brackets included. Separator masks missing from ``plan``, and rows in which the chosen delimiter leaves
-    a piece with another separator, are cut at all separators.
-    """
-    x = F.col(field).cast("string")
-    masks: dict[str, list[int]] = {}
+
+def _how(x: Column, plan: dict[int, str]) -> Column:
+    """The way to cut ``x``; the separators it shows are looked up in the plan once."""
+    codes = [_WHOLE] + [_ANY] * 31
+    space = 1 << _SINGLE.index("space")
     for mask, name in plan.items():
-        masks.setdefault(name, []).append(mask)
+        if name == "any" or mask == 0:
+            continue
+        k = _SINGLE.index(name)
+        if mask == 1 << k:
+            codes[mask] = k + 1
+        elif mask == 1 << k | space and name != "space":
+            codes[mask] = _CHECKED + k + 1  # beside any other separator a piece would always hold one
+    looked_up = F.get(F.array(*map(F.lit, codes)), _mask(_strip(x)))
+    return F.when(x.isNull() | (x == ""), _NONE).when(_bracketed(x), _LIST).when(x.contains('"') | x.contains("'"), _QUOTES).otherwise(looked_up)
+
+
+def _cut(x: Column, how: Column, used: set[int]) -> Column:
     bare = _strip(x)
-    cut = lambda n: F.split(bare, DELIMITERS["any"] if n == "any" else r"\s+" if n == "space" else rf"\s*{DELIMITERS[n]}\s*")
-    names = [n for n in masks if n != "any"]
-    if names:
-        mask = _mask(bare)
-        plain = reduce(lambda c, n: c.when(mask.isin(masks[n]), cut(n)), names[1:], F.when(mask.isin(masks[names[0]]), cut(names[0]))).otherwise(cut("any"))
-        mixed = [m for n in names for m in masks[n] if m & (m - 1)]
-        if mixed:
-            plain = F.when(mask.isin(mixed) & F.exists(plain, lambda p: _strip(p).rlike(DELIMITERS["any"])), cut("any")).otherwise(plain)
-    else:
-        plain = cut("any")
+    split = lambda n: F.split(bare, DELIMITERS["any"] if n == "any" else r"\s+" if n == "space" else rf"\s*{DELIMITERS[n]}\s*")
     quoted = F.transform(F.array_remove(F.regexp_extract_all(x, F.lit(f"({_QUOTED}|---|{_PIECE})"), F.lit(1)), "---"), _clean)
     json = F.from_json(x, "array<string>", {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
     loose = F.transform(F.array_remove(F.regexp_extract_all(x, F.lit(rf"""({_QUOTED}|---|(?:[^"'\s,;|\[\]-]++|-(?!--))+)"""), F.lit(1)), "---"), _clean)
-    values = F.when(bare.startswith("[") & bare.endswith("]"), F.coalesce(F.transform(json, _strip), loose)).when(x.contains('"') | x.contains("'"), quoted).otherwise(plain)
-    return F.array_remove(F.array_compact(F.coalesce(values, F.array().cast("array<string>"))), "")
+    out = F.when(how == _WHOLE, F.array(bare)).when(how == _LIST, F.coalesce(F.transform(json, _strip), loose)).when(how == _QUOTES, quoted).when(how == _ANY, split("any"))
+    for k, n in enumerate(_SINGLE):
+        if k + 1 in used:
+            out = out.when(how == k + 1, split(n))
+        if _CHECKED + k + 1 in used:
+            parted = r"(?<!---)(?<!\s)\s++(?!---)" if n == "dashes" else rf"[^\s{DELIMITERS[n]}]\s++[^{DELIMITERS[n]}]"
+            out = out.when((how == _CHECKED + k + 1) & ~bare.rlike(parted), split(n)).when(how == _CHECKED + k + 1, split("any"))
+    return F.array_remove(F.array_compact(F.coalesce(out, F.array().cast("array<string>"))), "")
+
+
+def _used(plan: dict[int, str]) -> set[int]:
+    return {k + 1 + c for n in plan.values() if n != "any" for k in (_SINGLE.index(n),) for c in (0, _CHECKED)}
+
+
+def split_column(df: DataFrame, field: str, out: str, plan: dict[int, str]) -> DataFrame:
+    """``df`` plus ``out``: the values packed in ``field``: empty pieces left out, repeats kept, order kept.
+
+    Null or empty text gives an empty array. A bracketed text that isn't a readable list is cut at all
+    separators, brackets included. Separator masks missing from ``plan``, and rows in which the chosen delimiter would leave
+    a piece with another separator, are cut at all separators.
+    """
+    x = F.col(field).cast("string")
+    # a generator keeps the optimizer from copying the look-up into every branch
+    held = df.select("*", F.explode(F.array(F.struct(x.alias("x"), _how(x, plan).alias("how")))).alias("__p"))
+    return held.withColumn(out, _cut(F.col("__p.x"), F.col("__p.how"), _used(plan))).drop("__p")
 
 
 def explode_packed(df: DataFrame, ids: list[str], fields: list[str], plan: dict[str, dict[int, str]] | None = None) -> DataFrame:
@@ -146,6 +172,7 @@ def explode_packed(df: DataFrame, ids: list[str], fields: list[str], plan: dict[
     Null or empty fields give no row. Repeated input rows give repeated output rows.
     """
     plan = plan or infer_delimiters(df, fields)
-    held = F.array(*[F.struct(F.lit(f).alias("field_name"), split_column(f, plan[f]).alias("items")) for f in fields])
-    rows = df.select(*ids, F.explode(held).alias("__v"))
-    return rows.select(*ids, F.col("__v.field_name").alias("field_name"), F.posexplode("__v.items").alias("pos", "item")).withColumn("pos", F.col("pos").cast("bigint"))
+    one = lambda f: F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("x"), _how(F.col(f).cast("string"), plan[f]).alias("how"))
+    rows = df.select(*ids, F.explode(F.array(*map(one, fields))).alias("__v")).where(F.col("__v.how") != _NONE)
+    items = _cut(F.col("__v.x"), F.col("__v.how"), set().union(*map(_used, plan.values())))
+    return rows.select(*ids, F.col("__v.field_name").alias("field_name"), F.posexplode(items).alias("pos", "item")).withColumn("pos", F.col("pos").cast("bigint"))

@@ -99,7 +99,8 @@ broken AS (
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key_kind, key_text, locid): one row per stored row of logs and author, and per row and distinct file."""
     logs = table(spark, sf_dir, "logs").select("locid", "author", "files")
-    files = F.array_distinct(split_column("files", infer_delimiters(logs, ["files"])["files"]))
+    logs = split_column(logs, "files", "items", infer_delimiters(logs, ["files"])["files"])
+    files = F.array_distinct("items")
     keys = F.concat(
         F.transform(F.when(F.col("author") != "", F.array("author")).otherwise(F.array().cast("array<string>")), lambda a: F.struct(F.lit("author").alias("key_kind"), a.alias("key_text"))),
         F.transform(files, lambda f: F.struct(F.lit("files").alias("key_kind"), f.alias("key_text"))),
@@ -124,8 +125,8 @@ def p4_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cid, locid, parent): parent is the first 12 lower-case digits of the first parent that isn't the null revision."""
     logs = table(spark, sf_dir, "logs").where("cid IS NOT NULL").select("cid", "locid", "parents")
-    entries = split_column("parents", infer_delimiters(logs, ["parents"])["parents"])
-    first = F.get(F.filter(entries, lambda e: ~e.startswith("-1:")), F.lit(0))
+    logs = split_column(logs, "parents", "entries", infer_delimiters(logs, ["parents"])["parents"])
+    first = F.get(F.filter("entries", lambda e: ~e.startswith("-1:")), F.lit(0))
     return logs.select("cid", "locid", F.lower(F.substring(F.substring_index(first, ":", -1), 1, 12)).alias("parent"))
 
 

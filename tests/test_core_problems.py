@@ -46,7 +46,7 @@ PACKED = [
 def test_packed(spark):
     df = spark.createDataFrame([(k, t, k) for k, (t, _) in enumerate(PACKED)], "id int, v string, pos int")
     plan = infer_delimiters(df, ["v"])["v"]
-    got = {r["id"]: r["a"] for r in df.select("id", split_column("v", plan).alias("a")).collect()}
+    got = {r["id"]: r["a"] for r in split_column(df.select("id", "v"), "v", "a", plan).collect()}
     bad = {PACKED[k][0]: got[k] for k in got if got[k] != PACKED[k][1] and PACKED[k][0] != "'open"}
     assert not bad
     rows = explode_packed(df.select("id", "v").union(df.select("id", "v")), ["id"], ["v"])
@@ -61,7 +61,7 @@ def test_delimiters_are_inferred_per_source(spark):
     # the plan cuts; a row that doesn't fit it is cut at all it shows
     got = {r["item"] for r in explode_packed(df.where("u LIKE 'one%'"), ["u"], ["u"], plan).collect()}
     assert got == {"one", "of", "many"}
-    assert {tuple(r["a"]) for r in df.select(split_column("w", {16: "comma"}).alias("a")).collect()} == {("p q",), ("u v",), ("r", "s", "t")}
+    assert {tuple(r["a"]) for r in split_column(df, "u", "a", {}).collect()} == {("a", "b"), ("c", "d"), ("one", "of", "many")}
 
 
 def test_delimiter_scores(spark):
