@@ -27,7 +27,7 @@ def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = table(spark, sf_dir, "logs").select("cid", "files")
     plan = infer_delimiters(logs, ["files"])["files"]
-    return logs.select("cid", F.explode(split_column("files", plan)).alias("file"))
+    return split_column(logs, "files", "items", plan).select("cid", F.explode("items").alias("file"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
