@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators import bayes, lsh, measures as M, relational as R, relevancy as V, sampling as S
+from faultline.operators import bayes, genetic as G, learners, lsh, measures as M, relational as R, relevancy as V, sampling as S
 from faultline.session import cut
 
 
@@ -16,121 +16,104 @@ def with_features(df: DataFrame, vector: str, n: int) -> tuple[DataFrame, list[s
     return df.select("*", *[F.col(vector)[k].alias(f"x{k}") for k in range(n)]), names
 
 
-def _fitness(scored: DataFrame, by: list[str]) -> DataFrame:
-    """``by`` plus fitness: F * GMean1 of thresholded scores, in thousandths cut off."""
-    m = M.with_measures(M.confusion(scored.withColumn("actual", F.col("label").cast("double")), by=by), None)
-    return m.select(*by, (F.floor(F.coalesce(F.col("f") * F.col("gmean1"), F.lit(0.0)) * 1000) / 1000).alias("fitness"))
+def _measured(scored: DataFrame, label: str) -> DataFrame:
+    final = cut(scored.select(F.col(label).cast("double").alias("actual"), "score"))
+    return M.with_measures(M.confusion(final)).crossJoin(M.auc(final).select("auc"))
 
 
-def lsh_selection(train: DataFrame, test: DataFrame, features: list[str], vector: str, label: str, stages: int = 2, buckets: int = 8, seed: int = 7) -> DataFrame:
-    """Measures on ``test`` of naive Bayes trained on the best hash bucket of ``train``.
+def lsh_selection(train: DataFrame, test: DataFrame, features: list[str], vector: str, label: str, stages: int = 2, buckets: int = 8, seed: int = 7, learner: str = "Naive Bayes", validation: list[DataFrame] | None = None) -> DataFrame:
+    """Measures on ``test`` of ``learner`` trained on the best hash bucket of ``train``, with the bucket and its fitness.
 
     Rows are hashed by Super-Bit on features and label, stage 0 names the bucket; the bucket whose model
-    does best on the whole training set is kept. All bucket models are fitted in one aggregation.
+    does best on the ``validation`` sets (by default the whole training set) is kept. Buckets with one class compete as well.
     """
     dim = len(train.select(vector).first()[0]) + 1
     n, blocks = lsh.superbit_shape(stages, buckets, dim)
     planes = lsh.superbit_planes(dim, n, blocks, seed)
     sig = lsh.superbit_signature(F.concat(F.col(vector), F.array(F.col(label).cast("double"))), planes)
-    hashed = cut(train.withColumn("bucket", lsh.stage_hashes_bool(sig, n * blocks, stages, buckets)[0]))
-    models = cut(bayes.fit(hashed, features, label, ["bucket"]))
-    fit = _fitness(bayes.score(train.withColumn("label", F.col(label)), models, features), ["bucket"])
-    best = fit.orderBy(F.desc("fitness"), "bucket").limit(1)
-    final = bayes.score(test, models.join(F.broadcast(best.select("bucket")), "bucket"), features).withColumn("actual", F.col(label).cast("double"))
-    return M.with_measures(M.confusion(final)).crossJoin(M.auc(final).select("auc")).crossJoin(best)
+    hashed = cut(train.withColumn("chrm", lsh.stage_hashes_bool(sig, n * blocks, stages, buckets)[0]).withColumn("label", F.col(label).cast("double")))
+    fitness = G.assign_fitness(hashed, validation or [train], features, label, learner)
+    best = min(fitness, key=lambda c: (-fitness[c], c))
+    scored = learners.fit_score(learner, hashed.where(F.col("chrm") == best), test, features, "label")
+    return _measured(scored, label).select("*", F.lit(best).alias("bucket"), F.lit(fitness[best]).alias("fitness"))
 
 
-def lsh_tuned(train: DataFrame, test: DataFrame, features: list[str], vector: str, label: str, options: int = 3, min_buckets: int = 6, max_buckets: int = 6, min_stages: int = 2, max_stages: int = 2, seed: int = 7) -> DataFrame:
+def lsh_tuned(train: DataFrame, test: DataFrame, features: list[str], vector: str, label: str, options: int = 3, min_buckets: int = 6, max_buckets: int = 6, min_stages: int = 2, max_stages: int = 2, seed: int = 7, learner: str = "Naive Bayes") -> DataFrame:
     """The best of ``options`` seeded draws of (stages, buckets), each from [min, min + max - 1], by fitness."""
     rng = np.random.default_rng(seed)
     best, kept = -1.0, None
     for k in range(options):
         st, bu = int(rng.integers(min_stages, min_stages + max_stages)), int(rng.integers(min_buckets, min_buckets + max_buckets))
-        out = cut(lsh_selection(train, test, features, vector, label, st, bu, seed + k).withColumn("stages", F.lit(st)).withColumn("buckets", F.lit(bu)))
+        out = cut(lsh_selection(train, test, features, vector, label, st, bu, seed + k, learner).withColumn("stages", F.lit(st)).withColumn("buckets", F.lit(bu)))
         fitness = out.first()["fitness"]
         if fitness > best:  # a tie keeps the earlier draw
             best, kept = fitness, out
     return kept
 
 
-def genetic_selection(train: DataFrame, test: DataFrame, features: list[str], label: str = "label", key: str = "id", population: int = 4, generations: int = 3, size: int = 200, top: int = 1, mutation: float = 0.1, seed: int = 3, by_distribution: bool = False) -> DataFrame:
-    """Measures on ``test`` of naive Bayes trained on the best subset found by genetic search.
+def genetic_selection(train: DataFrame, test: DataFrame, features: list[str], label: str = "label", key: str = "id", by_distribution: bool = False, validation: list[DataFrame] | None = None, **settings) -> DataFrame:
+    """Measures on ``test`` of the learner trained on the best subset found by ``genetic.Search`` (its ``settings``), with the fitness.
 
-    A chromosome is a set of training rows, kept long as (chrm, key, label). Each generation keeps the
-    ``top`` best, fills up with children that take each parent's rows on one side of a cut in draw order,
-    flips labels with odds ``mutation``, gives rows with equal features their majority label, and fits
-    all models in one aggregation. Fitness is F * GMean1 on the training set, or the summed p-values of
-    distribution similarity to the test set. It stops early when the mean fitness stands still.
-    ``population`` * ``size`` rows are all that moves; the population is bounded by its parameters.
+    With ``by_distribution`` fitness is the similarity of each chromosome's feature distributions to the test set.
     """
-    base = cut(train.select(F.col(key).alias("__key"), F.col(label).cast("double").alias("label"), *features))
-    half = max(1, size // 2)
-
-    def sample(c: int) -> DataFrame:
-        quotas = {0.0: half, 1.0: half}
-        return S.class_limited(base, "label", quotas, seed * 1000 + c, "__key").select(F.lit(c).alias("chrm"), "__key", "label")
-
-    pop = sample(0)
-    for c in range(1, population):
-        pop = pop.unionByName(sample(c))
-    pop = cut(pop)
-    rows = base.select("__key", *features)
-
-    def assess(p: DataFrame) -> dict[int, float]:
-        full = p.join(rows, "__key")
-        if by_distribution:
-            return {c: float(V.ks_score(V.ks_similarity(full.where(F.col("chrm") == c), test, features)).first()["score"] or 0.0) for c in range(population)}
-        models = cut(bayes.fit(full, features, "label", ["chrm"]))
-        return {r["chrm"]: r["fitness"] for r in _fitness(bayes.score(base, models, features), ["chrm"]).collect()}
-
-    fitness = assess(pop)
-    for g in range(generations):
-        order = sorted(fitness, key=lambda c: (-fitness[c], c))
-        rng = np.random.default_rng(seed * 100 + g)
-        parts = [pop.where(F.col("chrm") == c).withColumn("chrm", F.lit(k)) for k, c in enumerate(order[:top])]
-        for k in range(top, population):
-            pick = lambda: min(rng.choice(len(order), 2, replace=False))  # noqa: E731, B023
-            a, b = order[pick()], order[pick()]
-            point = float(rng.uniform(0.25, 0.75)) * (1 << 32)
-            d = S.draw(seed + g * 31 + k, "__key")
-            child = pop.where(((F.col("chrm") == a) & (d < point)) | ((F.col("chrm") == b) & (d >= point))).dropDuplicates(["__key"])
-            flip = S.draw(seed + g * 57 + k + 1, "__key") < mutation * 0.1 * (1 << 32)
-            parts.append(child.select(F.lit(k).alias("chrm"), "__key", F.when(flip, 1 - F.col("label")).otherwise(F.col("label")).alias("label")))
-        new = parts[0]
-        for p in parts[1:]:
-            new = new.unionByName(p)
-        pop = cut(R.majority_relabel(new.join(rows, "__key"), features, "label", by=["chrm"]).select("chrm", "__key", "label"))
-        before, fitness = fitness, assess(pop)
-        if abs(np.mean(list(fitness.values())) - np.mean(list(before.values()))) < 1e-6 and max(fitness.values()) > 0:
-            break
-    best = min(fitness, key=lambda c: (-fitness[c], c))
-    model = bayes.fit(pop.where(F.col("chrm") == best).join(rows, "__key"), features, "label")
-    final = bayes.score(test, model, features).withColumn("actual", F.col(label).cast("double"))
-    return M.with_measures(M.confusion(final)).crossJoin(M.auc(final).select("auc")).withColumn("fitness", F.lit(float(fitness[best])))
+    search = G.Search(features, label, key, **settings)
+    if by_distribution:
+        search.extra = lambda pop: similarities(pop, test, features)
+    search.fit(train, validation)
+    return _measured(search.predict(test), label).withColumn("fitness", F.lit(float(search.fitness)))
+
+
+def similarities(pop: DataFrame, test: DataFrame, features: list[str]) -> dict[int, float]:
+    """Score of the Kolmogorov-Smirnov p-values between each chromosome and the test set, all in one pass."""
+    return {r["chrm"]: float(r["score"] or 0.0) for r in V.ks_score(V.ks_similarity(pop, test, features, by="chrm"), "chrm").collect()}
 
 
-def nn_filter_benchmark(train: DataFrame, test: DataFrame, features: list[str], vector: str, label: str, ks: list[int], key: str = "vec_id") -> DataFrame:
-    """(k, cf, fit, measures): naive Bayes on the k-nearest-neighbour filtered training set, k and cut-off picked on the training set."""
+def distribution_selection(train: DataFrame, test: DataFrame, features: list[str], label: str = "label", key: str = "id", parts: int = 1, **settings) -> DataFrame:
+    """``genetic_selection`` by distribution for each of ``parts`` parts of the test set, measured on the pooled predictions."""
+    scored = G.by_parts(train, test, lambda: G.Search(features, label, key, **settings), parts, lambda pop, part: similarities(pop, part, features))
+    return _measured(scored, label)
+
+
+def nn_filter_benchmark(train: DataFrame, test: DataFrame, features: list[str], vector: str, label: str, ks: list[int], key: str = "vec_id", learner: str = "Naive Bayes", metrics: list[str] = ["euclidean"], tune_cut: bool = True) -> DataFrame:
+    """(k, cf, fit, measures): ``learner`` on the training rows among the k nearest of a test row under any of ``metrics``; k and cut-off picked on the training set."""
     best = None
     for k in ks:
-        kept = cut(train.join(V.nn_filter(train, test, k, key=key), key, "left_semi"))
-        model = cut(bayes.fit(kept, features, label))
-        sweep = M.best_threshold(M.threshold_sweep(bayes.score(train, model, features).withColumn("actual", F.col(label).cast("double")))).first()
+        kept = cut(train.join(V.nn_filter(train, test, k, metrics, key), key, "left_semi"))
+        own = learners.fit_score(learner, kept, train, features, label).select(F.col(label).cast("double").alias("actual"), "score")
+        sweep = M.best_threshold(M.threshold_sweep(own)).first()
         if sweep is not None and (best is None or sweep["fit"] > best[1]["fit"]):
-            best = (k, sweep, model)
-    k, sweep, model = best
-    out = bayes.score(test, model, features).select((F.col(label) >= 1).cast("double").alias("actual"), (F.col("score") >= sweep["cf"]).cast("double").alias("score"))
-    return M.with_measures(M.confusion(out)).select(F.lit(k).alias("k"), F.lit(sweep["cf"]).alias("cf"), F.lit(sweep["fit"]).alias("fit"), "*")
+            best = (k, sweep, kept)
+    k, sweep, kept = best
+    cf = sweep["cf"] if tune_cut else 0.5
+    out = learners.fit_score(learner, kept, test, features, label).select((F.col(label) >= 1).cast("double").alias("actual"), (F.col("score") >= cf).cast("double").alias("score"))
+    return M.with_measures(M.confusion(out)).select(F.lit(k).alias("k"), F.lit(cf).alias("cf"), F.lit(sweep["fit"]).alias("fit"), "*")
 
 
-def cross_validation(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5, by: list[str] | None = None, seed: int = 11) -> DataFrame:
-    """Measures of naive Bayes under stratified folds, per ``by``, pooled over folds. All models are fitted in one aggregation."""
+def cross_validation(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5, by: list[str] | None = None, seed: int = 11, learner: str = "Naive Bayes") -> DataFrame:
+    """Measures of ``learner`` under stratified folds, per ``by``, pooled over folds. Naive Bayes models are fitted in one aggregation, others fold by fold."""
     by = by or []
     dealt = cut(S.stratified_folds(df, label, folds, seed, key))
-    use = dealt.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> held")
-    models = bayes.fit(use, features, label, [*by, "held"])
-    scored = bayes.score(dealt.withColumn("held", F.col("fold")), models, features, [*by, "held"]).withColumn("actual", F.col(label).cast("double"))
-    return M.with_measures(M.confusion(scored, by=by))
+    if learner == "Naive Bayes":
+        use = dealt.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold <> held")
+        models = bayes.fit(use, features, label, [*by, "held"])
+        scored = bayes.score(dealt.withColumn("held", F.col("fold")), models, features, [*by, "held"])
+    else:
+        scored = None
+        groups = [dealt.where(" AND ".join(f"`{c}` <=> '{r[c]}'" for c in by)) for r in dealt.select(*by).distinct().collect()] if by else [dealt]
+        for g in groups:
+            for f in range(folds):
+                part = learners.fit_score(learner, g.where(F.col("fold") != f), g.where(F.col("fold") == f), features, label)
+                scored = part if scored is None else scored.unionByName(part)
+    return M.with_measures(M.confusion(scored.withColumn("actual", F.col(label).cast("double")), by=by))
+
+
+def earlier_versions(df: DataFrame, project: str, features: list[str], label: str, prefix: int = 3) -> DataFrame:
+    """(test, measures): naive Bayes on each project, trained on those of its family with an earlier name."""
+    pairs = R.earlier_versions(df, project, prefix)
+    train = df.join(F.broadcast(pairs), df[project] == pairs["train"]).select("test", *features, label)  # a row a pair of projects
+    models = bayes.fit(train, features, label, ["test"])
+    scored = bayes.score(df.withColumn("test", F.col(project)), models, features, ["test"]).withColumn("actual", F.col(label).cast("double"))
+    return M.with_measures(M.confusion(scored, by=["test"]))
 
 
 def pca(df: DataFrame, features: list[str], variance: float = 0.95) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,8 +198,6 @@ def run(datasets: DataFrame, project: str, features: list[str], label: str, meth
     ``mode``: ``all`` features, ``gain`` the top half by mutual information, ``pca`` components of 95 % of the
     variance. Fits run one after the other on the cluster; there are projects * methods * repeats of them.
     """
-    from faultline.operators import learners
-
     names = [r[0] for r in datasets.select(project).distinct().orderBy(project).collect()]
     out = None
     for name in names:

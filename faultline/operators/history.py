@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,8 @@ def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Node and edge tables, split by file."""
     nodes.write.mode("overwrite").partitionBy("file_id").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").partitionBy("file_id").parquet(f"{path}/edges")
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What ``save_graph`` wrote; a filter on file_id reads only its folders."""
+    return tuple(spark.read.parquet(f"{path}/{x}").withColumn("file_id", F.col("file_id").cast("bigint")) for x in ("nodes", "edges"))

@@ -20,19 +20,23 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.stack([np.sqrt(((x - r) ** 2).sum(1)) for r in q])  # minkowski of order 2 is the same
 
 
+def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator:
+    """Broadcast (keys, vectors) of about QUERY_BLOCK queries each, cut by hash; at least one, perhaps empty."""
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).alias("v"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    for b in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toPandas()
+        yield queries.sparkSession.sparkContext.broadcast((part["q"].to_numpy(), np.array(part["v"].tolist(), float).reshape(len(part), -1)))
+
+
 def neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "v", metric: str = "euclidean") -> DataFrame:
     """(query, rank, neighbour, dist): the exact k nearest ``rows`` of each query, ties by key.
 
     The stated query set goes over all rows in blocks: each task keeps its k best per query, and only
     those are shuffled. Null vectors are left out. Queries are held by the driver block by block.
     """
-    spark = rows.sparkSession
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).alias("v"))
     out = None
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    for b in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toPandas()
-        held = spark.sparkContext.broadcast((part["q"].to_numpy(), np.array(part["v"].tolist(), float).reshape(len(part), -1)))
+    for held in _query_blocks(queries, key, vector):
 
         def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             ids, qs = held.value
@@ -70,23 +74,25 @@ def knn_vote(train: DataFrame, test: DataFrame, k: int, label: str, key: str = "
 
 
 def radius_vote(train: DataFrame, test: DataFrame, radius: float, label: str, key: str = "vec_id", vector: str = "v") -> DataFrame:
-    """(key, n, score): neighbours within ``radius`` and their share of positive labels; queries without any give no row."""
-    spark = train.sparkSession
-    q = test.select(F.col(key).alias("q"), F.col(vector).alias("v")).toPandas()
-    held = spark.sparkContext.broadcast((q["q"].to_numpy(), np.array(q["v"].tolist(), float).reshape(len(q), -1)))
+    """(key, n, score): neighbours within ``radius`` and their share of positive labels; queries without any give no row. Null vectors are left out."""
+    out = None
+    rows = train.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"), F.col(label).cast("double").alias("y"))
+    for held in _query_blocks(test, key, vector):
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, qs = held.value
-        for p in batches:
-            if not len(p) or not len(ids):
-                continue
-            x, y = np.array(p["v"].tolist(), float), p["y"].to_numpy(float)
-            for s in range(0, len(ids), 256):
-                near = _distances(qs[s : s + 256], x, "euclidean") <= radius
-                yield pd.DataFrame({"q": ids[s : s + 256], "n": near.sum(1), "pos": (near * y).sum(1)})
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, qs = held.value
+            for p in batches:
+                if not len(p) or not len(ids):
+                    continue
+                x, y = np.array(p["v"].tolist(), float), p["y"].to_numpy(float)
+                for s in range(0, len(ids), 256):
+                    near = _distances(qs[s : s + 256], x, "euclidean") <= radius
+                    yield pd.DataFrame({"q": ids[s : s + 256], "n": near.sum(1), "pos": (near * y).sum(1)})
 
-    local = train.select(F.col(vector).alias("v"), F.col(label).cast("double").alias("y")).mapInPandas(run, "q long, n long, pos double")
-    return local.groupBy(F.col("q").alias(key)).agg(F.sum("n").alias("n"), F.sum("pos").alias("p")).where("n > 0").select(key, "n", F.round(F.col("p") / F.col("n"), 9).alias("score"))
+        local = rows.mapInPandas(run, "q long, n long, pos double")
+        found = local.groupBy(F.col("q").alias(key)).agg(F.sum("n").alias("n"), F.sum("pos").alias("p")).where("n > 0").select(key, "n", F.round(F.col("p") / F.col("n"), 9).alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def mutual_information(df: DataFrame, features: list[str], label: str, digits: int = 9) -> DataFrame:
@@ -101,26 +107,30 @@ def mutual_information(df: DataFrame, features: list[str], label: str, digits: i
     return j.groupBy("feature").agg(F.round(F.sum(term), digits).alias("mi"))
 
 
-def ks_similarity(a: DataFrame, b: DataFrame, features: list[str], digits: int = 9) -> DataFrame:
-    """(feature, d, p): two-sample Kolmogorov-Smirnov distance and its asymptotic p-value per feature.
+def ks_similarity(a: DataFrame, b: DataFrame, features: list[str], digits: int = 9, by: str | None = None) -> DataFrame:
+    """(feature, d, p): two-sample Kolmogorov-Smirnov distance and its asymptotic p-value per feature; of each group ``by`` of ``a`` against ``b``.
 
     Values are counted per feature first; the running counts go over ranges, not over one sorted column.
     """
     from faultline.operators.ordered import prefix_sums
 
-    side = lambda df, w: df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s"), F.lit(1 - w).alias("na"), F.lit(w).alias("nb")).select("s.*", "na", "nb")
-    counts = side(a, 0).unionByName(side(b, 1)).where("x IS NOT NULL").groupBy("feature", "x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    cum = prefix_sums(counts, ["x"], {"ba": "na", "bb": "nb"}, ["feature"])
-    tot = counts.groupBy("feature").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    j = cum.join(F.broadcast(tot), "feature")  # a row a feature
-    d = j.groupBy("feature", "ta", "tb").agg(F.max(F.abs((F.col("ba") + F.col("na")) / F.col("ta") - (F.col("bb") + F.col("nb")) / F.col("tb"))).alias("d"))
+    keys = [by, "feature"] if by else ["feature"]
+    side = lambda df, w, own: df.select(*own, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s"), F.lit(1 - w).alias("na"), F.lit(w).alias("nb")).select(*own, "s.*", "na", "nb").where("x IS NOT NULL")
+    other = side(b, 1, []).groupBy("feature", "x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    if by:  # a row a group
+        other = other.join(F.broadcast(a.select(by).distinct()))
+    counts = side(a, 0, [by] if by else []).groupBy(*keys, "x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")).unionByName(other).groupBy(*keys, "x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    cum = prefix_sums(counts, ["x"], {"ba": "na", "bb": "nb"}, keys)
+    tot = counts.groupBy(*keys).agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    j = cum.join(F.broadcast(tot), keys)  # a row a feature and group
+    d = j.groupBy(*keys, "ta", "tb").agg(F.max(F.abs((F.col("ba") + F.col("na")) / F.col("ta") - (F.col("bb") + F.col("nb")) / F.col("tb"))).alias("d"))
     en = F.sqrt(F.col("ta") * F.col("tb") / (F.col("ta") + F.col("tb")))
     x = (en + 0.12 + F.lit(0.11) / en) * F.col("d")
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x))
-    return d.select("feature", F.round("d", digits).alias("d"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(x < 0.2, 1.0).otherwise(series))), digits).alias("p"))
+    return d.select(*keys, F.round("d", digits).alias("d"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(x < 0.2, 1.0).otherwise(series))), digits).alias("p"))
 
 
-def ks_score(ks: DataFrame) -> DataFrame:
-    """(score): sum of p-values over the number of features with p <= 0.05, or just the sum if there is none."""
+def ks_score(ks: DataFrame, by: str | None = None) -> DataFrame:
+    """(score): sum of p-values over the number of features with p <= 0.05, or just the sum if there is none; per ``by``."""
     low = F.count_if(F.col("p") <= 0.05)
-    return ks.agg((F.sum("p") / F.when(low == 0, 1).otherwise(low)).alias("score"))
+    return ks.groupBy(*([by] if by else [])).agg((F.sum("p") / F.when(low == 0, 1).otherwise(low)).alias("score"))

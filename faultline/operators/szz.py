@@ -224,27 +224,28 @@ def annotation_graph(revisions: DataFrame, rule: str) -> tuple[DataFrame, DataFr
 # ---- traces
 
 
-def trace(starts: DataFrame, nodes: DataFrame, edges: DataFrame, stop_types: list[str], max_steps: int = 10_000) -> DataFrame:
+def trace(starts: DataFrame, nodes: DataFrame, edges: DataFrame, stop_types: list[str] | None = None) -> DataFrame:
     """(start_id, file_id, rev_idx, line_no, steps): where blame from each start ends.
 
-    ``starts``: (start_id, file_id, rev_idx, line_no, report_ts; null report: any time). ``nodes``:
-    (file_id, rev_idx, line_no, type, ts). From a start one goes back a revision at a time over
-    ``edges``; a path ends at the first node of a stop type that is older than the report. Several
-    paths of one start may end; a start without any is absent.
+    ``starts``: (start_id, file_id, rev_idx, line_no, report_ts; null report: any time), and the array ``stops`` unless ``stop_types`` gives one
+    for all. ``nodes``: (file_id, rev_idx, line_no, type, ts). From a start one goes back a revision at a time over
+    ``edges``; a path ends at the first node with a stop type that is older than the report. Several
+    paths of one start may end; a start without any is absent. There are at most as many rounds as revisions.
     """
     key = ["file_id", "rev_idx", "line_no"]
     back = edges.where("to_rev < rev_idx").select(*key, "to_rev", "to_line")
     seen = nodes.select("file_id", F.col("rev_idx").alias("to_rev"), F.col("line_no").alias("to_line"), "type", "ts")
     steps = cut(back.join(seen, ["file_id", "to_rev", "to_line"]))
-    front = cut(starts.select("start_id", *key, "report_ts"))
-    found = None
-    for k in range(1, max_steps + 1):
-        moved = cut(front.join(steps, key).select("start_id", "file_id", F.col("to_rev").alias("rev_idx"), F.col("to_line").alias("line_no"), "report_ts", (F.col("type").isin(stop_types) & (F.col("report_ts").isNull() | (F.col("ts") < F.col("report_ts")))).alias("hit")).distinct())
-        hits = moved.where("hit").select("start_id", *key, F.lit(k).cast("bigint").alias("steps"))
-        found = hits if found is None else found.unionByName(hits)
+    front = cut(starts.select("start_id", *key, "report_ts", F.array(*map(F.lit, stop_types)).alias("stops") if stop_types is not None else F.col("stops")))
+    stop = F.exists("stops", lambda t: F.contains(F.col("type"), t))
+    found, k = front.select("start_id", *key, F.lit(0).cast("bigint").alias("steps")).limit(0), 0
+    while front.limit(1).count():  # every round goes back at least one revision, so this ends
+        k += 1
+        moved = cut(front.join(steps, key).select("start_id", "file_id", F.col("to_rev").alias("rev_idx"), F.col("to_line").alias("line_no"), "report_ts", "stops", (stop & (F.col("report_ts").isNull() | (F.col("ts") < F.col("report_ts")))).alias("hit")).distinct())
+        found = found.unionByName(moved.where("hit").select("start_id", *key, F.lit(k).cast("bigint").alias("steps")))
         front = moved.where("NOT hit").drop("hit")
-        if not front.limit(1).count():
-            break
+        if k % 50 == 0:  # one table instead of a union of fifty
+            found = cut(found)
     return found.groupBy("start_id", *key).agg(F.min("steps").alias("steps"))
 
 
@@ -294,8 +295,8 @@ def span_statistics(spans: DataFrame, digits: int = 6) -> DataFrame:
 def pagerank(edges: DataFrame, alpha: float = 0.1, steps: int | None = None, tolerance: float = 1e-6, max_steps: int = 100) -> DataFrame:
     """(node, rank) over distinct (src, dst); uniform start, dangling mass spread evenly.
 
-    Runs ``steps`` rounds, or until the change is below tolerance * nodes. Every round is written out,
-    so plans don't grow.
+    Runs ``steps`` rounds, or until the change is below tolerance * nodes; an error after ``max_steps`` without that. Every round is written
+    out, so plans don't grow.
     """
     e = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     nodes = cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
@@ -313,7 +314,9 @@ def pagerank(edges: DataFrame, alpha: float = 0.1, steps: int | None = None, tol
         both = cut(new.join(rank, "node"))
         rank = both.select("node", F.col("new").alias("rank"))
         if steps is None and both.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0] < n * tolerance:
-            break
+            return rank
+    if steps is None:
+        raise RuntimeError(f"no convergence within {max_steps} rounds")
     return rank
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.operators import bayes, experiments as E, learners, measures as M, relational as R, relevancy as V, sampling as S
-from faultline.plans.standins import FEATURES, INST, SCORES, confusion_sql, inst, scores, vec
+from faultline.operators import bayes, experiments as E, genetic as G, learners, measures as M, ordered, relational as R, relevancy as V, sampling as S
+from faultline.plans.standins import FEATURES, INST, SCORES, confusion_sql, inst, measures_sql, scores, vec
 from faultline.session import table
 
 NX = 64  # all entries of an embedding
@@ -24,7 +24,7 @@ def _lsh(s, d):
 def _ga(by_distribution):
     def run(s, d):
         i = inst(s, d)
-        return E.genetic_selection(i.where("id % 5 <> 0"), i.where("id % 5 = 0"), FEATURES, generations=1 if by_distribution else 2, by_distribution=by_distribution)
+        return E.genetic_selection(i.where("id % 5 <> 0"), i.where("id % 5 = 0"), FEATURES, by_distribution=by_distribution)
 
     return run
 
@@ -51,14 +51,28 @@ def _learner(name):
 
 def _counts(s, d):
     i = inst(s, d).withColumn("actual", F.col("bugs").cast("double"))
-    out = learners.fit_score("Linear Regression", i.where("id % 5 <> 0"), i.where("id % 5 = 0"), ["f_lines", "f_qty", "f_size"], "actual", True)
+    out = learners.fit_score("Linear Regression", i.where("id % 5 <> 0"), i.where("id % 5 = 0"), FEATURES, "actual")
     return M.count_measures(out)
 
 
 def _nb(s, d):
     i = inst(s, d)
-    m = bayes.fit(i.where("id % 5 <> 0"), ["f_lines", "f_qty"])
-    return bayes.score(i.where("id % 5 = 0"), m, ["f_lines", "f_qty"]).select("id", F.round("score", 6).alias("score"))
+    m = bayes.fit(i.where("id % 5 <> 0"), FEATURES)
+    return bayes.score(i.where("id % 5 = 0"), m, FEATURES).select("id", F.round("score", 6).alias("score"))
+
+
+def _near(name):
+    def run(s, d):
+        v, names = E.with_features(vec(s, d), "v", NX)
+        out = learners.fit_score(name, v.where("vec_id % 5 <> 0"), v.where("vec_id % 5 = 0"), names)
+        return out.select("vec_id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def _fold_scores(s, d):
+    """Predictions of four validation sets for two chromosomes: parity of the user and day."""
+    return scores(s, d).select(F.pmod("user_id", F.lit(2)).cast("int").alias("chrm"), F.pmod(F.floor(F.col("user_id") / 2), F.lit(4)).cast("int").alias("vset"), "actual", "score")
 
 
 def _log(s, d):
@@ -70,18 +84,13 @@ def _log(s, d):
 def _loo(s, d):
     """Leave one project out: measures of naive Bayes on each project, trained on all others."""
     i = inst(s, d)
-    m = bayes.fit_leave_one_out(i, ["f_lines", "f_qty"], "project")
-    scored = bayes.score(i, m, ["f_lines", "f_qty"], ["project"]).withColumn("actual", F.col("label"))
+    m = bayes.fit_leave_one_out(i, FEATURES, "project")
+    scored = bayes.score(i, m, FEATURES, ["project"]).withColumn("actual", F.col("label"))
     return M.confusion(scored, by=["project"])
 
 
 def _earlier(s, d):
-    """Training on projects of the same family with an earlier name."""
-    i = inst(s, d)
-    pairs = R.earlier_versions(i, "project", 6)
-    train = i.join(F.broadcast(pairs), i["project"] == pairs["train"]).select("test", *FEATURES, "label")
-    m = bayes.fit(train, FEATURES, "label", ["test"])
-    return M.with_measures(M.confusion(bayes.score(i.withColumn("test", F.col("project")), m, FEATURES, ["test"]).withColumn("actual", F.col("label")), by=["test"]))
+    return E.earlier_versions(inst(s, d), "project", FEATURES, "label", 6)
 
 
 def _validation(s, d):
@@ -98,6 +107,26 @@ def _growth(s, d):
     return s.createDataFrame([(k, f) for k, f in enumerate(E.grow_features(i, ranked, "label", "id"))], "place int, feature string")
 
 
+def _draws(s, d):
+    """Two hundred draws from all users, numbered without gaps."""
+    users = ordered.row_numbers(table(s, d, "users").groupBy("id").agg(F.min("username").alias("username")), ["id"], "pos")
+    return S.with_replacement(users.select("pos", "username"), 200, 4, "pos", users.count())
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _count_sets(s, d):
+    return inst(s, d).select(F.pmod("id", F.lit(3)).cast("int").alias("chrm"), F.when(F.col("f_size") > 25, 1).otherwise(0).alias("vset"), F.col("bugs").cast("double").alias("actual"), (F.col("f_lines") * 0.31).alias("score"))
+
+
+def _population(s, d, parity):
+    """Customers as chromosomes: the thousandths of their balance are the fitness."""
+    c = table(s, d, "customer").where(F.pmod("c_custkey", F.lit(2)) == parity)
+    return c.select(F.col("c_custkey").alias("chrm"), (F.floor(F.pmod(F.col("c_acctbal"), F.lit(100.0))) / 1000).alias("fitness"))
+
+
 def _tuned(s, d):
     tr, te, names = _vec_split(s, d)
     return E.lsh_tuned(tr, te, names, "v", "label")
@@ -114,7 +143,13 @@ QUERIES = {
     "stratified_folds": lambda s, d: S.stratified_folds(inst(s, d).select("id", "label"), "label", 10, 5, "id"),
     "class_limited_sample": lambda s, d: S.class_limited(inst(s, d).select("id", "label"), "label", {0.0: 30, 1.0: 20}, 5, "id"),
     "unique_sample": lambda s, d: S.least_hash(inst(s, d).select("id", "label"), 100, 9, "id"),
-    "replacement_sample": lambda s, d: S.with_replacement(table(s, d, "users").where("id > 0").select(F.col("id").alias("pos"), "username"), 200, 4, "pos", 400),
+    "replacement_sample": _draws,
+    "chromosome_fitness": lambda s, d: G.binary_fitness(_fold_scores(s, d), ["chrm"]),
+    "chromosome_spread": lambda s, d: _rounded(G.spread(_fold_scores(s, d), ["chrm"])),
+    "count_fitness": lambda s, d: _rounded(G.count_fitness(_count_sets(s, d), ["chrm"])),
+    "population_order": lambda s, d: G.ranked(_population(s, d, 0)),
+    "population_merge": lambda s, d: G.combine(_population(s, d, 0), _population(s, d, 1)),
+    "knn_classifier": _near("K Neighbors Classifier"), "radius_classifier": _near("Radius Neighbors Classifier"),
     "roulette_pick": lambda s, d: S.roulette(inst(s, d).select("id", F.col("f_qty").cast("bigint").alias("w")), "w", "id", 0.37),
     "naive_bayes_scores": _nb,
     "within_project_cv": lambda s, d: E.cross_validation(inst(s, d), FEATURES, "label", "id", 5, ["kind"]),
@@ -122,14 +157,18 @@ QUERIES = {
     "ga_instance_selection": _ga(False), "ks_instance_selection": _ga(True),
     "nnfilter_benchmark": _nnb,
     "pca_variance": _pca,
-    "learner_logistic": _learner("Logistic Regression"), "learner_forest": _learner("Random Forest"),
+    "learner_logistic": _learner("Logistic Regression"), "learner_forest": _learner("Random Forest Classifier"),
     "learner_counts": _counts,
     "leave_one_out": _loo, "earlier_version_benchmark": _earlier, "validation_sets": _validation, "feature_growth": _growth, "lsh_tuned": _tuned,
     "mutation_size": lambda s, d: inst(s, d).groupBy("kind").agg(F.floor(F.stddev_pop("bugs") + 1).cast("bigint").alias("step")),
 }
-_DEN = lambda c: "ln(n%s / (n0 + n1)) + " % c + " + ".join(f"(-0.5 * ln(2 * 3.141592653589793 * greatest(v{c}_{f} + 1e-9 * vmax, 1e-12)) - power(i.{f} - m{c}_{f}, 2) / (2 * greatest(v{c}_{f} + 1e-9 * vmax, 1e-12)))" for f in ("f_lines", "f_qty"))
-_NBF = ("f_lines", "f_qty")
-_LOO = f"WITH {INST}, p AS (SELECT DISTINCT project FROM inst), m AS (SELECT p.project AS held, count(*) FILTER (label = 0)::DOUBLE AS n0, count(*) FILTER (label = 1)::DOUBLE AS n1, greatest(var_pop(f_lines), var_pop(f_qty)) AS vmax, " + ", ".join(f"avg({f}) FILTER (label = {c}) AS m{c}_{f}, var_pop({f}) FILTER (label = {c}) AS v{c}_{f}" for c in "01" for f in _NBF) + f" FROM inst i JOIN p ON i.project <> p.project GROUP BY 1), s AS (SELECT project, label AS actual, 1 / (1 + exp(({_DEN('0')}) - ({_DEN('1')}))) AS score FROM inst i JOIN m ON held = project) {confusion_sql('s', by='project')}"
+_DEN = lambda c: "ln(n%s / (n0 + n1)) + " % c + " + ".join(f"(-0.5 * ln(2 * 3.141592653589793 * greatest(v{c}_{f} + 1e-9 * vmax, 1e-12)) - power(i.{f} - m{c}_{f}, 2) / (2 * greatest(v{c}_{f} + 1e-9 * vmax, 1e-12)))" for f in FEATURES)
+_NBF = FEATURES
+_MODEL = "count(*) FILTER (label = 0)::DOUBLE AS n0, count(*) FILTER (label = 1)::DOUBLE AS n1, greatest(" + ", ".join(f"var_pop({f})" for f in FEATURES) + ") AS vmax, " + ", ".join(f"avg({f}) FILTER (label = {c}) AS m{c}_{f}, var_pop({f}) FILTER (label = {c}) AS v{c}_{f}" for c in "01" for f in FEATURES)
+_POSTERIOR = f"CASE WHEN n1 = 0 THEN 0.0 WHEN n0 = 0 THEN 1.0 ELSE 1 / (1 + exp(least(({_DEN('0')}) - ({_DEN('1')}), 700.0))) END"
+_LOO = f"WITH {INST}, p AS (SELECT DISTINCT project FROM inst), m AS (SELECT p.project AS held, count(*) FILTER (label = 0)::DOUBLE AS n0, count(*) FILTER (label = 1)::DOUBLE AS n1, " + _MODEL[_MODEL.index("greatest"):] + f" FROM inst i JOIN p ON i.project <> p.project GROUP BY 1), s AS (SELECT project, label AS actual, {_POSTERIOR} AS score FROM inst i JOIN m ON held = project) {confusion_sql('s', by='project')}"
+_FOLDS = f"f AS (SELECT (user_id % 2)::INT AS chrm, (user_id // 2 % 4)::INT AS vset, actual, score FROM scores), k AS ({confusion_sql('f', by='chrm, vset')})"
+_POP = "WITH p AS (SELECT c_custkey AS chrm, floor(((c_acctbal % 100) + 100) % 100) / 1000 AS fitness, (c_custkey % 2)::INT AS is_new FROM customer)"
 ORACLES = {
     "leave_one_out": _LOO,
     "mutation_size": f"WITH {INST} SELECT kind, floor(stddev_pop(bugs) + 1)::BIGINT AS step FROM inst GROUP BY 1",
@@ -140,7 +179,16 @@ ORACLES = {
     "stratified_folds": f"WITH {INST}, b AS (SELECT id, label, {_DRAW(5, 'id')} AS d, {_DRAW(6, 'id')} % 64 AS b FROM inst) SELECT id, label, ((row_number() OVER (PARTITION BY label, b ORDER BY d, id) - 1 + b) % 10)::INT AS fold FROM b",
     "class_limited_sample": f"WITH {INST}, b AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {_DRAW(5, 'id')}, id) AS k FROM inst) SELECT id, label FROM b WHERE k <= CASE WHEN label = 0 THEN 30 ELSE 20 END",
     "unique_sample": f"WITH {INST} SELECT id, label FROM inst ORDER BY {_DRAW(9, 'id')}, id LIMIT 100",
-    "replacement_sample": f"WITH p AS (SELECT id AS draw_no, {_DRAW(4, 'id')} % 400 AS pos FROM range(200) t(id)) SELECT pos, draw_no, username FROM p JOIN users u ON u.id = pos",
+    "replacement_sample": f"WITH u AS (SELECT id, min(username) AS username, row_number() OVER (ORDER BY id) - 1 AS pos FROM users GROUP BY id), p AS (SELECT id AS draw_no, {_DRAW(4, 'id')} % (SELECT count(*) FROM u) AS pos FROM range(200) t(id)) SELECT pos, draw_no, username FROM p JOIN u USING (pos)",
+    "chromosome_fitness": f"WITH {SCORES}, {_FOLDS}, m AS ({measures_sql('k', 'chrm, vset, ')}) SELECT chrm, floor(avg(f) * 1000) / 1000 AS fitness FROM m GROUP BY 1",
+    "chromosome_spread": f"WITH {SCORES}, {_FOLDS}, m AS ({measures_sql('k', 'chrm, vset, ')}) SELECT chrm, " + ", ".join(f"round({g}({n}), 6) AS {n}_{k}" for n in G.MEASURES for k, g in (("min", "min"), ("mean", "avg"), ("sd", "stddev_pop"))) + " FROM m GROUP BY 1",
+    "count_fitness": f"WITH {INST}, m AS (SELECT (id % 3)::INT AS chrm, CASE WHEN f_size > 25 THEN 1 ELSE 0 END AS vset, avg(abs(bugs - f_lines * 0.31) / (bugs + 1)) AS are FROM inst GROUP BY 1, 2) SELECT chrm, round(1 / (1 + avg(are)), 6) AS fitness FROM m GROUP BY 1",
+    "population_order": f"{_POP} SELECT chrm, fitness, row_number() OVER (ORDER BY fitness DESC, chrm) - 1 AS place FROM p WHERE is_new = 0",
+    "population_merge": f"{_POP} SELECT chrm, fitness, is_new FROM p ORDER BY fitness DESC, is_new, chrm LIMIT (SELECT count(*) FROM p WHERE is_new = 0)",
+    "knn_classifier": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, (label >= 5)::INT AS y FROM embeddings), n AS (SELECT q.vec_id, t.y, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) AS k FROM v q, v t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0) SELECT vec_id, round(avg(y), 6) AS score FROM n WHERE k <= 5 GROUP BY 1",
+    "radius_classifier": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, (label >= 5)::INT AS y FROM embeddings), n AS (SELECT q.vec_id, avg(t.y) AS score FROM v q, v t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0 AND list_distance(q.v, t.v) <= 1.0 GROUP BY 1) SELECT vec_id, round(coalesce(score, (SELECT avg(y) FROM v WHERE vec_id % 5 <> 0)), 6) AS score FROM v LEFT JOIN n USING (vec_id) WHERE vec_id % 5 = 0",
+    "within_project_cv": f"WITH {INST}, b AS (SELECT *, ((row_number() OVER (PARTITION BY label, {_DRAW(12, 'id')} % 64 ORDER BY {_DRAW(11, 'id')}, id) - 1 + {_DRAW(12, 'id')} % 64) % 5)::INT AS fold FROM inst), m AS (SELECT b.kind AS k, h.held, {_MODEL} FROM b, range(5) h(held) WHERE fold <> held GROUP BY 1, 2), s AS (SELECT kind, label AS actual, {_POSTERIOR} AS score FROM b i JOIN m ON k = kind AND held = fold), c AS ({confusion_sql('s', by='kind')}) {measures_sql('c', 'kind, ')}",
+    "earlier_version_benchmark": f"WITH {INST}, p AS (SELECT DISTINCT project FROM inst), m AS (SELECT a.project AS test, {_MODEL} FROM p a JOIN inst i ON substr(a.project, 1, 6) = substr(i.project, 1, 6) AND i.project < a.project GROUP BY 1), s AS (SELECT test, label AS actual, {_POSTERIOR} AS score FROM inst i JOIN m ON test = project), c AS ({confusion_sql('s', by='test')}) {measures_sql('c', 'test, ')}",
     "roulette_pick": f"WITH {INST}, c AS (SELECT id, f_qty::BIGINT AS w, sum(f_qty::BIGINT) OVER (ORDER BY id) - f_qty::BIGINT AS before, sum(f_qty::BIGINT) OVER () AS t FROM inst) SELECT id, w FROM c WHERE before <= 0.37 * t AND 0.37 * t < before + w",
-    "naive_bayes_scores": f"WITH {INST}, m AS (SELECT count(*) FILTER (label = 0)::DOUBLE AS n0, count(*) FILTER (label = 1)::DOUBLE AS n1, greatest(var_pop(f_lines), var_pop(f_qty)) AS vmax, " + ", ".join(f"avg({f}) FILTER (label = {c}) AS m{c}_{f}, var_pop({f}) FILTER (label = {c}) AS v{c}_{f}" for c in "01" for f in ("f_lines", "f_qty")) + f" FROM inst WHERE id % 5 <> 0) SELECT id, round(1 / (1 + exp(({_DEN('0')}) - ({_DEN('1')}))), 6) AS score FROM inst i, m WHERE id % 5 = 0",
+    "naive_bayes_scores": f"WITH {INST}, m AS (SELECT {_MODEL} FROM inst WHERE id % 5 <> 0) SELECT id, round({_POSTERIOR}, 6) AS score FROM inst i, m WHERE id % 5 = 0",
 }

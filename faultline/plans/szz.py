@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultline.operators import history as H, ordered, relational as R, szz as Z
+from faultline.operators import blame as B, history as H, ordered, relational as R, szz as Z
 from faultline.session import cut, table
 
 
@@ -92,6 +92,41 @@ def _trace_sql(types: str, reported: bool) -> str:
     return f"WITH {_HIST}, l AS (SELECT l_partkey, max(k) AS last, arg_max(o_orderdate, k) AS ts FROM hist GROUP BY 1) SELECT h.l_partkey AS start_id, max(h.k) AS rev_idx, max(l.last) - max(h.k) AS steps FROM hist h JOIN l USING (l_partkey) WHERE h.k < l.last AND h.type IN ({types}){older} GROUP BY 1"
 
 
+# three lines per revision of a part, with branching links: a graph that SQL can build too
+
+
+def _lined(s, d):
+    h = _history(s, d).select("l_partkey", "k", "o_orderkey", "o_orderdate")
+    n = h.select("*", F.explode(F.expr("sequence(0L, 2L)")).alias("j"))
+    kind = F.when(F.expr("k = 0 OR (k * 3 + j + l_partkey) % 5 = 0"), "+").when(F.expr("(k * 3 + j + l_partkey) % 5 = 1"), "*").otherwise("")
+    n = cut(n.select("*", kind.alias("base"), F.expr("(k * 7 + j * 2 + l_partkey) % 6 = 0").alias("gone")))
+    nodes = n.select(F.col("l_partkey").alias("file_id"), F.col("k").alias("rev_idx"), F.col("j").alias("line_no"), F.concat("base", F.when(F.col("gone"), ";-").otherwise("")).alias("type"), F.expr("CASE WHEN j = 2 AND k % 4 = 0 THEN '}' ELSE 'x' || j END").alias("line"), F.col("o_orderkey").cast("string").alias("cm_id"))
+    edges = n.where("base <> '+'").select("l_partkey", "k", "j", F.explode(F.expr("CASE WHEN base = '*' THEN array_distinct(array(cast((j + k) % 3 as bigint), j)) ELSE array(cast((j + k) % 3 as bigint)) END")).alias("t")).where("((k - 1) * 7 + t * 2 + l_partkey) % 6 <> 0")
+    edges = edges.select(F.col("l_partkey").alias("file_id"), F.col("k").alias("rev_idx"), F.col("j").alias("line_no"), (F.col("k") - 1).alias("to_rev"), F.col("t").alias("to_line"))
+    revisions = h.select(F.col("l_partkey").alias("file_id"), F.col("k").alias("rev_idx"), F.col("o_orderkey").alias("rev"), F.col("o_orderdate").alias("ts"))
+    last = h.groupBy("l_partkey", "o_orderkey").agg(F.max_by("o_orderdate", "k").alias("ts"))
+    fixes = last.select(F.col("o_orderkey").alias("commit"), F.col("l_partkey").alias("bug"), F.col("l_partkey").alias("file_id"), F.expr("ts - interval 60 days").alias("report_ts"))
+    return fixes, revisions, nodes, edges
+
+
+_LINES = f"""WITH RECURSIVE {_HIST}, n AS (SELECT l_partkey AS f, k, j::BIGINT AS j, o_orderkey AS rev, o_orderdate AS ts, CASE WHEN k = 0 OR (k * 3 + j + l_partkey) % 5 = 0 THEN '+' WHEN (k * 3 + j + l_partkey) % 5 = 1 THEN '*' ELSE '' END AS base, (k * 7 + j * 2 + l_partkey) % 6 = 0 AS gone, NOT (j = 2 AND k % 4 = 0) AS told FROM hist, range(3) t(j)),
+ e AS (SELECT DISTINCT f, k, j, t, base FROM (SELECT f, k, j, base, (j + k) % 3 AS t FROM n WHERE base <> '+' UNION ALL SELECT f, k, j, base, j FROM n WHERE base = '*') WHERE ((k - 1) * 7 + t * 2 + f) % 6 <> 0),
+ fx AS (SELECT l_partkey AS f, o_orderkey AS fix, max(k) AS at, arg_max(o_orderdate, k) - INTERVAL 60 DAY AS report FROM hist GROUP BY 1, 2 HAVING max(k) > 0),
+ st AS (SELECT 'removed' AS kind, fx.*, n.k, n.j FROM fx JOIN n ON n.f = fx.f AND n.k = fx.at - 1 WHERE gone AND told UNION ALL SELECT 'updated', fx.*, n.k, n.j FROM fx JOIN n ON n.f = fx.f AND n.k = fx.at WHERE base = '*' AND told)"""
+_BLAMED = f"""{_LINES}, tr AS (SELECT kind, f, fix, report, j AS start_line, k, j, false AS hit FROM st
+ UNION SELECT kind, tr.f, fix, report, start_line, n.k, n.j, (n.base = '+' OR (n.base = '*' AND kind = 'updated')) AND n.ts < report FROM tr JOIN e ON e.f = tr.f AND e.k = tr.k AND e.j = tr.j JOIN n ON n.f = e.f AND n.k = e.k - 1 AND n.j = e.t WHERE NOT hit)
+ SELECT kind, tr.fix AS commit, tr.f AS file_id, start_line, tr.k AS rev_idx, tr.j AS line_no, n.rev::VARCHAR AS blamed, coalesce(p.rev::VARCHAR, '@') AS before FROM tr JOIN n ON n.f = tr.f AND n.k = tr.k AND n.j = tr.j LEFT JOIN n p ON p.f = tr.f AND p.k = tr.k - 1 AND p.j = 0 WHERE hit"""
+
+
+def _run(s, d):
+    """The whole way over the line revisions of documents: revision r of a document is a commit that says it fixes the bug of that number."""
+    texts = _texts(s, d).select("*", F.concat_ws("-", "file_id", "rev_idx").alias("commit"))
+    commits = texts.select("commit", F.when(F.col("rev_idx") > 0, F.concat(F.lit("Bug "), F.col("file_id").cast("string"), F.lit(": tidy up"))).otherwise("Start").alias("m"))
+    contents = texts.select(F.concat(F.lit("doc/"), "file_id", F.lit(".c")).alias("file"), "commit", F.col("rev_idx").alias("order"), "author", "text", F.col("rev_idx").alias("ts"))
+    bugs = table(s, d, "documents").select(F.col("doc_id").alias("bug"), F.lit(3).cast("bigint").alias("report_ts"))
+    return B.run(commits, contents, bugs, "LEV").select("file", "commit", "bug", "kind", "start_line", "rev_idx", "line_no", "blamed", "before")
+
+
 def _blames(s, d):
     part = table(s, d, "part").select("p_partkey", F.col("p_type").alias("component"))
     h = _history(s, d).where("prev IS NOT NULL AND prev <> o_orderkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -169,6 +204,11 @@ QUERIES = {
     "annotation_graph_ag": _graph("AG"), "annotation_graph_rag": _graph("RAG"), "annotation_graph_kim": _graph("KIM"), "annotation_graph_lev": _graph("LEV"),
     "szz_trace": _trace(["+", "*"], False),
     "szz_blame": _trace(["+"], True),
+    "blame_starts": lambda s, d: B.starts(*_lined(s, d)[:3]).select("kind", "commit", "file_id", "rev_idx", "line_no"),
+    "blame_lines": lambda s, d: B.blame(*_lined(s, d)).select("kind", "commit", "file_id", "start_line", "rev_idx", "line_no", "blamed", "before"),
+    "szz_run": _run,
+    "blame_by_file": lambda s, d: B.by_file(_blames(s, d)).select("file_id", "kind", "blamed", "n_lines", F.array_join(F.array_sort(F.col("blamers").cast("array<string>")), ",").alias("blamers")),
+    "blame_metrics": lambda s, d: B.with_metrics(_blames(s, d).select("file_id", "blamed", "kind"), table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("file_id"), F.col("l_orderkey").alias("rev")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("loc"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("loc").alias("loc")),
     "blame_groups": lambda s, d: Z.blame_groups(_blames(s, d)),
     "blame_authors": lambda s, d: Z.author_overlap(_blames(s, d)),
     "blame_fan": lambda s, d: Z.fan(_blames(s, d)),
@@ -213,6 +253,10 @@ ORACLES = {
     "revision_nodes": f"WITH {_REV} SELECT doc_id AS file_id, rev_idx::BIGINT AS rev_idx, (row_number() OVER (PARTITION BY doc_id, rev_idx ORDER BY i) - 1)::INT AS line_no, line, trim(line) IN ('', '{{', '}}', ';') AS skipped FROM rev",
     "szz_trace": _trace_sql("'+', '*'", False),
     "szz_blame": _trace_sql("'+'", True),
+    "blame_starts": f"{_LINES} SELECT kind, fix AS commit, f AS file_id, k AS rev_idx, j AS line_no FROM st",
+    "blame_lines": _BLAMED,
+    "blame_by_file": f"WITH {_BL} SELECT file_id, kind, blamed, count(*) AS n_lines, string_agg(DISTINCT blamer::VARCHAR, ',' ORDER BY blamer::VARCHAR) AS blamers FROM blames GROUP BY 1, 2, 3",
+    "blame_metrics": f"WITH {_BL}, m AS (SELECT l_partkey AS file_id, l_orderkey AS blamed, sum(l_quantity::BIGINT)::BIGINT AS loc FROM lineitem GROUP BY 1, 2) SELECT kind, count(*) AS n, sum(loc)::BIGINT AS loc FROM blames LEFT JOIN m USING (file_id, blamed) GROUP BY 1",
     "blame_groups": f"WITH {_BL} SELECT kind, blamed, count(*) AS n_lines, count(DISTINCT blamer) AS n_blamers, count(DISTINCT bug) AS n_bugs, count(DISTINCT file_id) AS n_files FROM blames GROUP BY 1, 2",
     "blame_authors": f"WITH {_BL} SELECT count(DISTINCT blamer_author) AS blamers, count(DISTINCT blamed_author) AS blamed, (SELECT count(*) FROM (SELECT blamer_author FROM blames INTERSECT SELECT blamed_author FROM blames)) AS both FROM blames",
     "blame_fan": f"WITH {_BL}, e AS (SELECT DISTINCT blamer, blamed FROM blames), o AS (SELECT 'out' AS side, count(*) AS n FROM e GROUP BY blamer UNION ALL SELECT 'in', count(*) FROM e GROUP BY blamed) SELECT side, sum(n)::BIGINT AS total, round(avg(n), 9) AS mean, round(stddev_pop(n), 9) AS sd FROM o GROUP BY 1",
