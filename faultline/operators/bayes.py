@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +21,11 @@ def fit(train: DataFrame, features: list[str], label: str = "label", by: list[st
     return train.groupBy(*by).agg(*stats)
 
 
-def _log_density(x: list[Column], c: str) -> Column:
-    terms = []
-    for k, f in enumerate(x):
-        v = F.greatest(F.col(f"v{c}")[k] + SMOOTHING * F.col("vmax"), F.lit(1e-12))
-        terms.append(-0.5 * F.log(2 * 3.141592653589793 * v) - (f - F.col(f"m{c}")[k]) * (f - F.col(f"m{c}")[k]) / (2 * v))
-    return F.log(F.col(f"n{c}") / (F.col("n0") + F.col("n1"))) + reduce(lambda a, b: a + b, terms)
+def _log_density(x: Column, c: str) -> Column:
+    """Over arrays, so that the generated code doesn't grow with the features."""
+    v = F.transform(f"v{c}", lambda v: F.greatest(v + SMOOTHING * F.col("vmax"), F.lit(1e-12)))
+    terms = F.zip_with(F.zip_with(x, f"m{c}", lambda x, m: (x - m) * (x - m)), v, lambda d, v: -0.5 * F.log(2 * 3.141592653589793 * v) - d / (2 * v))
+    return F.log(F.col(f"n{c}") / (F.col("n0") + F.col("n1"))) + F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
 
 
 def score(rows: DataFrame, models: DataFrame, features: list[str], by: list[str] | None = None, out: str = "score") -> DataFrame:
@@ -38,7 +35,8 @@ def score(rows: DataFrame, models: DataFrame, features: list[str], by: list[str]
     """
     by = by or []
     j = rows.join(F.broadcast(models), by) if by else rows.crossJoin(F.broadcast(models))
-    d = _log_density([F.col(f).cast("double") for f in features], "0") - _log_density([F.col(f).cast("double") for f in features], "1")
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    d = _log_density(x, "0") - _log_density(x, "1")
     p = F.when(F.col("n1") == 0, 0.0).when(F.col("n0") == 0, 1.0).otherwise(1 / (1 + F.exp(F.least(d, F.lit(700.0)))))
     return j.withColumn(out, p).drop("n0", "n1", "m0", "m1", "v0", "v1", "vmax")
 
