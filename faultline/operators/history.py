@@ -54,12 +54,22 @@ def utf8(col: Column) -> Column:
     return F.decode(col, "UTF-8")
 
 
-def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Node and edge tables, split by file."""
-    nodes.write.mode("overwrite").partitionBy("file_id").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("file_id").parquet(f"{path}/edges")
+#: Folders over which the files of a saved graph are spread by hash.
+GRAPH_FOLDERS = 64
 
 
-def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """What ``save_graph`` wrote; a filter on file_id reads only its folders."""
-    return tuple(spark.read.parquet(f"{path}/{x}").withColumn("file_id", F.col("file_id").cast("bigint")) for x in ("nodes", "edges"))
+def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Node and edge tables, in GRAPH_FOLDERS folders by the hash of the file, so that one file is read from one folder."""
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        df.withColumn("folder", F.pmod(F.xxhash64("file_id"), F.lit(GRAPH_FOLDERS)).cast("int")).hint("rebalance", "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/{name}")
+
+
+def load_graph(spark: SparkSession, path: str, file_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``save_graph`` wrote; of one file only its folder is read."""
+    out = []
+    for name in ("nodes", "edges"):
+        df = spark.read.parquet(f"{path}/{name}")
+        if file_id is not None:
+            df = df.where((F.col("folder") == F.pmod(F.xxhash64(F.lit(file_id).cast("bigint")), F.lit(GRAPH_FOLDERS)).cast("int")) & (F.col("file_id") == file_id))
+        out.append(df.drop("folder"))
+    return tuple(out)

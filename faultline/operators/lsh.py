@@ -26,6 +26,10 @@ def size_for_error(error: float) -> int:
     return int(round(1 / (error * error), 9))
 
 
+def error_for_size(size: int) -> float:
+    return 1 / math.sqrt(size)
+
+
 def minhash_coefficients(size: int, dictionary: int, seed: int) -> list[tuple[int, int]]:
     r = random.Random(seed)
     return [(r.randint(0, dictionary - 1), r.randint(0, dictionary - 1)) for _ in range(size)]

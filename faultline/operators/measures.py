@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.session import cut
+
 from faultline.operators.ordered import prefix_sums
 
 #: The sweep's cut-offs: steps of 0.1 added up in doubles.
@@ -120,14 +122,39 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc("fit"), "cf").limit(1)
 
 
+def whole_median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
+    """One row: the exact median of all non-null values, null if there are none.
+
+    Values are counted first and the counts summed over ranges, so no task holds all distinct values, as the built-in would.
+    """
+    from faultline.operators.ordered import prefix_sums
+
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    lo, hi = (total - 1) // 2, total // 2
+    ranked = prefix_sums(counts, ["v"], {"before": "n"})
+    holds = lambda k: F.max(F.when((F.col("before") <= k) & (F.col("before") + F.col("n") > k), F.col("v")))
+    return ranked.agg(((holds(lo) + holds(hi)) / 2).alias(out))
+
+
 def mad(df: DataFrame, value: str, by: list[str] | None = None, out: str = "mad") -> DataFrame:
     """Median absolute deviation from the median, per group."""
     by = by or []
+    if not by:
+        off = df.crossJoin(F.broadcast(whole_median(df, value, "__med"))).select(F.abs(F.col(value) - F.col("__med")).alias("__off"))
+        return whole_median(off, "__off", out)
     med = df.groupBy(*by).agg(F.median(value).alias("__med"))
-    joined = df.join(F.broadcast(med), by) if by else df.crossJoin(F.broadcast(med))  # one row a group
+    joined = df.join(med, by)
     return joined.groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("__med"))).alias(out))
 
 
+def both_classes(df: DataFrame, actual: str = "actual", score: str = "score", digits: int = 9) -> DataFrame:
+    """(class, counts, measures, auc): the measures with either class as the positive one, and the AUC, which is the same for both."""
+    other = df.select((1 - F.col(actual)).alias("actual"), F.when(F.col(score) >= 0.5, 0.0).otherwise(1.0).alias("score"))
+    sides = [confusion(df, actual, score).withColumn("class", F.lit(1)), confusion(other).withColumn("class", F.lit(0))]
+    return with_measures(sides[0].unionByName(sides[1]), digits).crossJoin(auc(df, actual, score, digits=digits).select("auc"))
+
+
 def descriptive(df: DataFrame, value: str, by: list[str] | None = None, digits: int = 6) -> DataFrame:
     """count, min, mean, median, max and population standard deviation of the non-null values."""
     v = F.col(value)

@@ -283,11 +283,12 @@ def time_spans(blames: DataFrame, by: str, ts: str, digits: int = 6) -> DataFram
 
 def span_statistics(spans: DataFrame, digits: int = 6) -> DataFrame:
     """Mean, sd, median of all and of non-zero spans; MAD, median + MAD and the share above it."""
-    from faultline.operators.measures import mad
+    from faultline.operators.measures import mad, whole_median
 
     d = F.col("days")
     nz = F.when(d > 0, d)
-    base = spans.agg(F.avg(d).alias("mean"), F.stddev_pop(d).alias("sd"), F.median(d).alias("median"), F.avg(nz).alias("mean_nz"), F.stddev_pop(nz).alias("sd_nz"), F.median(nz).alias("median_nz")).crossJoin(mad(spans, "days"))
+    base = spans.agg(F.avg(d).alias("mean"), F.stddev_pop(d).alias("sd"), F.avg(nz).alias("mean_nz"), F.stddev_pop(nz).alias("sd_nz"))
+    base = cut(base.crossJoin(whole_median(spans, "days")).crossJoin(whole_median(spans.where("days > 0"), "days", "median_nz")).crossJoin(mad(spans, "days")))
     above = spans.crossJoin(F.broadcast(base.select((F.col("median") + F.col("mad")).alias("umad")))).agg(F.avg((d > F.col("umad")).cast("double")).alias("share_above"), F.max("umad").alias("umad"))
     return base.crossJoin(above).select(*[F.round(c, digits).alias(c) for c in ("mean", "sd", "median", "mean_nz", "sd_nz", "median_nz", "mad", "umad", "share_above")])
 

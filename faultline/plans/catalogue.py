@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core_problems", "measures", "relational", "lsh", "szz", "quality", "experiments"]
+MODULES = ["core_problems", "measures", "relational", "lsh", "szz", "quality", "experiments", "sources"]
 
 
 def _gather(name: str) -> dict:

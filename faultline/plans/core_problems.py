@@ -11,7 +11,7 @@ from faultline.operators import hierarchy
 from faultline.operators.balanced import balanced_aggregate
 from faultline.operators.orphans import OrphanLedger
 from faultline.plans import dates_sql, packed_sql
-from faultline.session import cut, stay, table
+from faultline.session import cut, settle, table
 
 PACKED = ["files", "parents", "tags", "branches"]
 
@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.explode(F.create_map(F.lit("reportDateText"), "reportDateText", F.lit("modDateText"), "modDateText")).alias("field_name", "text")
     bugs = table(spark, sf_dir, "validbugs").select(F.lit("validbugs").alias("tab_name"), F.col("bug").alias("rec_id"), both, F.lit("America/Los_Angeles").alias("zone"))
     found = with_instants(logs.unionByName(bugs), "text", "utc_us", default_zone_col="zone")
-    return found.where(stay(F.col("utc_us").isNotNull())).select("tab_name", "rec_id", "field_name", "utc_us").dropDuplicates()
+    return settle(found, "utc_us").where("utc_us IS NOT NULL").select("tab_name", "rec_id", "field_name", "utc_us").dropDuplicates()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from faultline.session import table
 def loc50_baseline(spark, sf_dir):
     """Learner-free baseline: an instance is predicted defective if its size is at least the median."""
     d = inst(spark, sf_dir)
-    med = d.agg(F.median("f_qty").alias("med"))
+    med = M.whole_median(d, "f_qty", "med")
     pred = d.crossJoin(F.broadcast(med)).select(F.col("label").alias("actual"), (F.col("f_qty") >= F.col("med")).cast("double").alias("score"))
     return M.with_measures(M.confusion(pred)).crossJoin(M.auc(pred).select("auc"))
 
@@ -56,6 +56,9 @@ QUERIES = {
     "count_measures": lambda s, d: M.count_measures(count_predictions(s, d), by=["project"]),
     "count_measures_pooled": lambda s, d: M.count_measures(count_predictions(s, d)),
     "tied_rank": lambda s, d: M.tied_rank(scores(s, d), "score").select("event_id", F.col("rank").alias("tied_rank")),
+    "both_classes": lambda s, d: M.both_classes(scores(s, d)),
+    "whole_median": lambda s, d: M.whole_median(table(s, d, "events"), "value").withColumn("median", F.round("median", 6)),
+    "whole_mad": lambda s, d: M.mad(table(s, d, "events"), "value").withColumn("mad", F.round("mad", 6)),
     "auc": lambda s, d: M.auc(scores(s, d)),
     "auc_by_group": lambda s, d: M.auc(scores(s, d), by=["user_id"]),
     "threshold_sweep": lambda s, d: M.threshold_sweep(scores(s, d)),
@@ -79,6 +82,9 @@ ORACLES = {
     "count_measures": f"{_COUNTS} SELECT project, {_CM} GROUP BY project",
     "count_measures_pooled": f"{_COUNTS} SELECT {_CM}",
     "tied_rank": f"WITH {SCORES} SELECT event_id, rk AS tied_rank FROM ({_RANKED.format('', '')})",
+    "both_classes": f"WITH {SCORES}, o AS (SELECT 1 - actual AS actual, CASE WHEN score >= 0.5 THEN 0.0 ELSE 1.0 END AS score FROM scores), k AS ({confusion_sql('scores')}), k0 AS ({confusion_sql('o')}), u AS (SELECT {_AUC} FROM ({_RANKED.format('', '')})), m AS ({measures_sql('k', '1 AS class, ')} UNION ALL {measures_sql('k0', '0 AS class, ')}) SELECT m.*, u.auc FROM m, u",
+    "whole_median": "SELECT round(median(value), 6) AS median FROM events",
+    "whole_mad": "SELECT round(mad(value), 6) AS mad FROM events",
     "auc": f"WITH {SCORES} SELECT {_AUC} FROM ({_RANKED.format('', '')})",
     "auc_by_group": f"WITH {SCORES} SELECT user_id, {_AUC} FROM ({_RANKED.format('PARTITION BY user_id ', 'user_id, ')}) GROUP BY user_id",
     "threshold_sweep": f"{_SWEEP} SELECT * FROM w",

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,17 +77,23 @@ def cut(df: DataFrame) -> DataFrame:
     reads prune columns. The files go with the folder; ``drop_cuts`` removes those of this session.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/faultline-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    _CUTS.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 _CUTS: list[tuple[SparkSession, str]] = []
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder; what is written there goes with ``drop_cuts``."""
+    path = f"{shared_dir(spark).rstrip('/')}/faultline-{uuid.uuid4().hex}"
+    _CUTS.append((spark, path))
+    return path
+
+
 def drop_cuts() -> None:
-    """Delete every table written by ``cut`` in this process."""
+    """Delete everything written by ``cut`` or into a ``scratch`` folder in this process."""
     while _CUTS:
         spark, path = _CUTS.pop()
         try:
@@ -98,13 +104,13 @@ def drop_cuts() -> None:
             return
 
 
-def stay(condition: Column) -> Column:
-    """A filter condition the optimizer leaves where it is.
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the columns ``names`` worked out once: a later filter on them isn't pushed below, where their expressions would be copied.
 
-    A plain filter on a column made by long expressions is pushed below them, which copies the
-    expressions into it and evaluates them twice.
+    They pass through a generator of one row, which the optimizer doesn't look through.
     """
-    return condition | (F.rand(0) < -1)
+    held = F.explode(F.array(F.struct(*names))).alias("__s")
+    return df.select(*[c for c in df.columns if c not in names], held).select(*[F.col(f"__s.{c}").alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
