@@ -10,6 +10,8 @@ from statistics import fmean, median, pstdev
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from faultline.session import spread
+
 # Words of the language and how they are treated.
 KEYWORDS = set("auto break case char const continue default do double elif else enum extern float for goto if ifdef include inline int long noalias register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while".split())
 COUNTED = "const enum goto inline noalias register restrict signed struct union unsigned void volatile typedef".split()
@@ -221,7 +223,7 @@ def file_metrics(files: DataFrame, key: str, text: str, key_type: str = "long")
             out.insert(0, key, b[key].to_numpy())
             yield out
 
-    return files.selectExpr(f"`{key}`", f"`{text}` AS __text").mapInPandas(run, f"{key} {key_type}, " + _schema())
+    return spread(files.selectExpr(f"`{key}`", f"`{text}` AS __text")).mapInPandas(run, f"{key} {key_type}, " + _schema())
 
 
 def minify(text: str | None) -> str:
@@ -249,4 +251,4 @@ def minified(files: DataFrame, key: str, text: str, key_type: str = "long") -> D
         for b in batches:
             yield pd.DataFrame({key: b[key], "minified": [minify(t) for t in b["__text"]]})
 
-    return files.selectExpr(f"`{key}`", f"`{text}` AS __text").mapInPandas(run, f"{key} {key_type}, minified string")
+    return spread(files.selectExpr(f"`{key}`", f"`{text}` AS __text")).mapInPandas(run, f"{key} {key_type}, minified string")

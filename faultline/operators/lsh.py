@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,21 @@ def minhash_coefficients(size: int, dictionary: int, seed: int) -> list[tuple[in
 
 
 def minhash_signature(items: Column, coefficients: list[tuple[int, int]], dictionary: int) -> Column:
-    """Minimum of (a x + b) mod dictionary over the set, per coefficient pair; null for an empty or null set."""
-    coefs = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in coefficients])
-    return F.when(F.size(items) > 0, F.transform(coefs, lambda c: F.array_min(F.transform(items, lambda x: (c.a * x + c.b) % dictionary))))
+    """Minimum of (a x + b) mod dictionary over the set, per coefficient pair; null for an empty or null set. Worked out for a whole batch at once."""
+
+    def sign(sets: pd.Series) -> pd.Series:
+        full = [k for k, x in enumerate(sets) if x is not None and len(x)]
+        out = pd.Series([None] * len(sets), dtype=object)
+        if not full:
+            return out
+        held = [np.asarray(sets.iloc[k], np.int64) for k in full]
+        flat, starts = np.concatenate(held), np.cumsum([0] + [len(x) for x in held[:-1]])
+        least = np.stack([np.minimum.reduceat((a * flat + b) % dictionary, starts) for a, b in coefficients], axis=1)
+        for k, row in zip(full, least):
+            out.iat[k] = row
+        return out
+
+    return F.pandas_udf(sign, "array<bigint>")(items)
 
 
 def stage_hashes(signature: Column, length: int, stages: int, buckets: int) -> Column:

@@ -334,28 +334,42 @@ def heat(blames: DataFrame) -> DataFrame:
     return blames.groupBy("file_id", "component").agg(F.count(F.lit(1)).alias("n_blamed"), F.countDistinct("bug").alias("n_bugs"))
 
 
+IMPUTE_BLOCK = 100_000  # files whose neighbours one task looks up
+
+
 def impute_components(dominant: DataFrame) -> DataFrame:
     """(file_id, component): files without a dominant component take the mode of the three before (imputed ones included) and the next known within three; the first in that order wins a tie.
 
-    The rule feeds on its own results, so files go in order through one task: one short row a file.
+    The rule feeds on its own results, but where the three files before are known it starts afresh: there the order is cut, and the
+    pieces are worked out by themselves. The first three files stay as they are; file_id is unique and not null.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(batches), ignore_index=True)
-        if not len(d):
-            return
-        d = d.sort_values("file_id", ignore_index=True)
-        known = [c if ok else None for c, ok in zip(d["component"], d["dominant"])]
-        out: list = []
-        for k, c in enumerate(known):
-            if c is None and k >= 3:
-                ahead = next((x for x in known[k + 1 : k + 4] if x is not None), None)
-                around = [x for x in [*out[k - 3 : k], ahead] if x is not None]
+    from faultline.operators.ordered import prefix_sums, row_numbers
+
+    spark = dominant.sparkSession
+    rows = cut(row_numbers(dominant.select("file_id", F.when(F.col("dominant"), F.col("component")).alias("known")), ["file_id"], "pos"))
+    # every block also gets the three rows on either side of it
+    home = F.floor(F.col("pos") / IMPUTE_BLOCK)
+    seen = rows.withColumn("block", F.explode(F.array_distinct(F.array(F.floor((F.col("pos") - 3) / IMPUTE_BLOCK), home, F.floor((F.col("pos") + 3) / IMPUTE_BLOCK)))))
+    w = Window.partitionBy("block").orderBy("pos")
+    near = seen.select("*", *[F.lag("known", k).over(w).alias(f"b{k}") for k in (3, 2, 1)], F.coalesce(*[F.lead("known", k).over(w) for k in (1, 2, 3)]).alias("ahead"))
+    near = near.where(F.col("block") == home).withColumn("fresh", F.expr("CAST(b1 IS NOT NULL AND b2 IS NOT NULL AND b3 IS NOT NULL AS bigint)"))
+    pieces = prefix_sums(near.drop("block"), ["pos"], {"before": "fresh"}).withColumn("piece", F.col("before") + F.col("fresh"))
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        out, piece, last = [], None, [None] * 3
+        for r in d.sort_values("pos").itertuples(index=False):
+            if r.piece != piece:
+                piece, last = r.piece, [r.b3, r.b2, r.b1]
+            c = r.known
+            if c is None and r.pos >= 3:
+                around = [x for x in [*last, r.ahead] if x is not None]
                 c = max(dict.fromkeys(around), key=around.count) if around else None
-            out.append(c)
-        yield pd.DataFrame({"file_id": d["file_id"], "component": out})
+            out.append((r.file_id, c))
+            last = [*last[1:], c]
+        return pd.DataFrame(out, columns=["file_id", "component"])
 
-    return dominant.select("file_id", "component", "dominant").coalesce(1).mapInPandas(run, "file_id long, component string")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return pieces.groupBy(F.pmod(F.xxhash64("piece"), F.lit(tasks * 8))).applyInPandas(run, "file_id long, component string")
 
 
 def variants(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -11,21 +11,21 @@ from faultline.operators import hierarchy
 from faultline.operators.balanced import balanced_aggregate
 from faultline.operators.orphans import OrphanLedger
 from faultline.plans import dates_sql, packed_sql
-from faultline.session import cut, settle, table
+from faultline.session import cut, settle, spread, table
 
 PACKED = ["files", "parents", "tags", "branches"]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = table(spark, sf_dir, "logs").select(F.lit("logs").alias("tab_name"), F.col("locid").alias("rec_id"), F.lit("date").alias("field_name"), F.col("date").alias("text"), F.lit("UTC").alias("zone"))
+    logs = spread(table(spark, sf_dir, "logs").select("locid", "date")).select(F.lit("logs").alias("tab_name"), F.col("locid").alias("rec_id"), F.lit("date").alias("field_name"), F.col("date").alias("text"), F.lit("UTC").alias("zone"))
     both = F.explode(F.create_map(F.lit("reportDateText"), "reportDateText", F.lit("modDateText"), "modDateText")).alias("field_name", "text")
-    bugs = table(spark, sf_dir, "validbugs").select(F.lit("validbugs").alias("tab_name"), F.col("bug").alias("rec_id"), both, F.lit("America/Los_Angeles").alias("zone"))
+    bugs = spread(table(spark, sf_dir, "validbugs").select("bug", "reportDateText", "modDateText")).select(F.lit("validbugs").alias("tab_name"), F.col("bug").alias("rec_id"), both, F.lit("America/Los_Angeles").alias("zone"))
     found = with_instants(logs.unionByName(bugs), "text", "utc_us", default_zone_col="zone")
     return settle(found, "utc_us").where("utc_us IS NOT NULL").select("tab_name", "rec_id", "field_name", "utc_us").dropDuplicates()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = table(spark, sf_dir, "logs").select("locid", *PACKED)
+    logs = spread(table(spark, sf_dir, "logs").select("locid", *PACKED))
     plan = infer_delimiters(logs, PACKED)
     return explode_packed(logs, ["locid"], PACKED, plan).dropDuplicates()
 
@@ -98,7 +98,7 @@ broken AS (
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key_kind, key_text, locid): one row per stored row of logs and author, and per row and distinct file."""
-    logs = table(spark, sf_dir, "logs").select("locid", "author", "files")
+    logs = spread(table(spark, sf_dir, "logs").select("locid", "author", "files"))
     logs = split_column(logs, "files", "items", infer_delimiters(logs, ["files"])["files"])
     files = F.array_distinct("items")
     keys = F.concat(
@@ -124,7 +124,7 @@ def p4_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cid, locid, parent): parent is the first 12 lower-case digits of the first parent that isn't the null revision."""
-    logs = table(spark, sf_dir, "logs").where("cid IS NOT NULL").select("cid", "locid", "parents")
+    logs = spread(table(spark, sf_dir, "logs").where("cid IS NOT NULL").select("cid", "locid", "parents"))
     logs = split_column(logs, "parents", "entries", infer_delimiters(logs, ["parents"])["parents"])
     first = F.get(F.filter("entries", lambda e: ~e.startswith("-1:")), F.lit(0))
     return logs.select("cid", "locid", F.lower(F.substring(F.substring_index(first, ":", -1), 1, 12)).alias("parent"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import lsh as L
 from faultline.plans.standins import VEC, vec
-from faultline.session import cut, table
+from faultline.session import cut, spread, table
 
 DICT, STAGES, BUCKETS, SIZE = 20_011, 5, 100_003, 20
 COEFS = L.minhash_coefficients(SIZE, DICT, 123456)
@@ -19,7 +19,7 @@ K = SB_N * SB_BLOCKS
 def _sets(s, d):
     """Distinct words of each text, numbered by a digest."""
     w = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != ""))
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_sort(F.array_distinct(F.transform(w, lambda x: F.conv(F.substring(F.md5(x), 1, 6), 16, 10).cast("bigint") % DICT))).alias("xs"))
+    return spread(table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.array_sort(F.array_distinct(F.transform(w, lambda x: F.conv(F.substring(F.md5(x), 1, 6), 16, 10).cast("bigint") % DICT))).alias("xs"))
 
 
 _SETS = f"sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')), lambda w: ('0x' || substr(md5(w), 1, 6))::BIGINT % {DICT}))) AS xs FROM documents WHERE text IS NOT NULL)"

@@ -231,6 +231,11 @@ QUERIES = {
 }
 _CH = f"WITH {_COMMITS}, ch AS (SELECT repoId, revIndex, id, cid, author, unnest(from_json(fj, '[\"VARCHAR\"]')) AS file FROM commits)"
 _DOM = f"WITH {_BL}, c AS (SELECT file_id, 'c' || (blamed % 4) AS component, count(*) AS n FROM blames GROUP BY 1, 2), w AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY file_id) AS share, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, component) AS k FROM c)"
+_N = lambda x: " + ".join(f"coalesce(({x} = {y})::INT, 0)" for y in ("t.o3", "t.o2", "t.o1", "n.ahead"))
+_MODE = f"CASE WHEN t.o3 IS NOT NULL AND {_N('t.o3')} >= greatest({_N('t.o2')}, {_N('t.o1')}, {_N('n.ahead')}) THEN t.o3 WHEN t.o2 IS NOT NULL AND {_N('t.o2')} >= greatest({_N('t.o1')}, {_N('n.ahead')}) THEN t.o2 WHEN t.o1 IS NOT NULL AND {_N('t.o1')} >= {_N('n.ahead')} THEN t.o1 ELSE n.ahead END"
+_IMPUTED = _DOM.replace("WITH ", "WITH RECURSIVE ", 1) + f""", d AS MATERIALIZED (SELECT file_id, CASE WHEN share > 0.35 THEN component END AS known, row_number() OVER (ORDER BY file_id) - 1 AS pos FROM w WHERE k = 1),
+ n AS MATERIALIZED (SELECT *, coalesce(lead(known, 1) OVER o, lead(known, 2) OVER o, lead(known, 3) OVER o) AS ahead FROM d WINDOW o AS (ORDER BY pos)),
+ t AS (SELECT file_id, pos, known AS o1, NULL::VARCHAR AS o2, NULL::VARCHAR AS o3 FROM n WHERE pos = 0 UNION ALL SELECT n.file_id, n.pos, CASE WHEN n.known IS NOT NULL OR n.pos < 3 THEN n.known ELSE {_MODE} END, t.o1, t.o2 FROM t JOIN n ON n.pos = t.pos + 1) SELECT file_id, o1 AS component FROM t"""
 _SPAN = f"WITH {_BL}, sp AS (SELECT bug, round((epoch_us(max(blamer_ts)) - epoch_us(min(blamer_ts))) / 86400000000.0, 6) AS days FROM blames GROUP BY 1), b AS (SELECT avg(days) AS mean, stddev_pop(days) AS sd, median(days) AS median, avg(days) FILTER (days > 0) AS mean_nz, stddev_pop(days) FILTER (days > 0) AS sd_nz, median(days) FILTER (days > 0) AS median_nz, mad(days) AS mad FROM sp)"
 _EXT = " OR ".join(f"ends_with(lower(file), '{x}')" for x in R.SOURCE_SUFFIXES)
 _TY = _CH + ", ty AS (SELECT repoId, revIndex AS rev_idx, file, CASE WHEN row_number() OVER (PARTITION BY repoId, file ORDER BY revIndex, id) = 1 THEN 'add' ELSE 'modify' END AS type FROM ch)"
@@ -268,5 +273,6 @@ ORACLES = {
     "pagerank_overlap": _rank_sql() + f", a AS (SELECT node, row_number() OVER (ORDER BY round(rank * 1e6, 6) DESC, node) AS k, count(*) OVER () AS n FROM r{STEPS}), f AS (SELECT blamed, row_number() OVER (ORDER BY nb DESC, blamed) AS k, count(*) OVER () AS n FROM (SELECT blamed, count(DISTINCT bug) AS nb FROM blames GROUP BY 1)) SELECT node AS commit FROM a WHERE k <= n // 10 AND node IN (SELECT blamed FROM f WHERE k <= n // 4)",
     "file_component_heat": f"WITH {_BL} SELECT file_id, component, count(*) AS n_blamed, count(DISTINCT bug) AS n_bugs FROM blames GROUP BY 1, 2",
     "component_dominance": f"{_DOM} SELECT file_id, component, n, round(share, 9) AS share, share > 1.0 / 3 AS dominant FROM w WHERE k = 1",
+    "component_imputation": _IMPUTED,
     "blame_variants": f"WITH {_BL}, a AS (SELECT DISTINCT blamed FROM blames WHERE kind = 'removed'), b AS (SELECT DISTINCT blamed FROM blames WHERE kind = 'updated') SELECT (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS either, (SELECT count(*) FROM a SEMI JOIN b USING (blamed)) AS both, (SELECT count(*) FROM b ANTI JOIN a USING (blamed)) AS only_second",
 }

@@ -113,5 +113,19 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in names], held).select(*[F.col(f"__s.{c}").alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+#: A task of heavy work per row should have no more input than this.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is a small table in a few files, which would otherwise be read by as many tasks; larger ones stay as they are.
+
+    For work that costs far more than a shuffle of its input. The order of rows and the result don't change.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES and 0 < len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
