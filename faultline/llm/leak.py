@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import cut
+from faultline.session import cut, spread
 
 WINDOW = 5
 MIN_RUN = 15
@@ -211,7 +211,7 @@ class LeakIndex:
 
     def doc_windows(self, docs: DataFrame) -> DataFrame:
         """(doc_id, pos, template, slots) of documents, only of known templates while the index is small enough to travel."""
-        return docs.select("doc_id", "text").mapInPandas(_window_rows("doc_id", self.literals, self.templates), "doc_id long, pos long, template long, slots long")
+        return spread(docs.select("doc_id", "text")).mapInPandas(_window_rows("doc_id", self.literals, self.templates), "doc_id long, pos long, template long, slots long")
 
     def matches(self, docs: DataFrame) -> DataFrame:
         """(doc_id, item_id, n_agreeing, n_differing): pairs of windows of one template, by whether the values agree too.

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import cut
+from faultline.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BINS = 4096
@@ -42,7 +42,7 @@ def count_tokens(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": n})
 
-    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, n_tokens long")
+    return spread(docs.select("doc_id", "source", "text")).mapInPandas(run, "doc_id long, source string, n_tokens long")
 
 
 def allot(have: dict[str, int], targets: dict[str, tuple[float, int]], total: float) -> dict[str, float]:
@@ -64,13 +64,14 @@ def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, siz
     chosen: (doc_id, source, n_tokens, copies) with copies >= 1. shares: per target source its tokens,
     documents, target and actual share and whether its repeats ran out. ``total`` defaults to the
     tokens of all documents. Inclusion odds follow n_tokens ** size_power. Sources without a target and
-    documents without tokens are left out; a target without documents gets 0. ``targets`` has one row a
+    documents without tokens are left out, repeated rows of a doc_id count once (the least source); a target without documents gets 0. ``targets`` has one row a
     source (shares of repeated rows add up) and is collected: it is bounded by the number of sources.
     """
     spark = docs.sparkSession
     tokens = cut(count_tokens(docs, tokenizer))
     goal = {r["source"]: (float(r["w"] or 0), int(r["m"] or 0)) for r in targets.where("source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("w"), F.max("max_repeats").alias("m")).collect()}
-    sized = tokens.where("n_tokens > 0 AND doc_id IS NOT NULL")
+    # repeated rows of a document are one document, so that its copies stay within the bound
+    sized = cut(tokens.where("n_tokens > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("v")).select("doc_id", "v.source", "v.n_tokens"))
     sums = sized.groupBy(F.when(F.col("source").isin(list(goal)), F.col("source")).alias("source")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     have = {r["source"]: r["t"] for r in sums if r["source"] is not None}
     total = float(sum(r["t"] for r in sums)) if total is None else float(total)
@@ -81,9 +82,9 @@ def mixture(docs: DataFrame, targets: DataFrame, total: float | None = None, siz
     weight = F.pow(F.col("n_tokens").cast("double"), F.lit(size_power))
     mine = sized.where(F.col("source").isin(list(have))).withColumn("w", weight)
     column = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("source")) if d else F.lit(None)
-    # scale c with sum(min(1, c w) n_tokens) = rest; certain documents (c w >= 1) are settled in a few rounds
+    # scale c with sum(min(1, c w) n_tokens) = rest; a round can only add certain documents (c w >= 1), so this ends
     c = {r["source"]: (rest[r["source"]] / r["s"] if r["s"] else 0.0) for r in mine.groupBy("source").agg(F.sum(F.col("w") * F.col("n_tokens")).alias("s")).collect()}
-    for _ in range(8):
+    while True:
         sure = column(c) * F.col("w") >= 1
         got = mine.groupBy("source").agg(F.sum(F.when(sure, F.col("n_tokens")).otherwise(0)).alias("cert"), F.sum(F.when(~sure, F.col("w") * F.col("n_tokens")).otherwise(0.0)).alias("s")).collect()
         new = {r["source"]: (max(rest[r["source"]] - r["cert"], 0.0) / r["s"] if r["s"] else c[r["source"]]) for r in got}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions.packed import infer_delimiters, split_column
 from faultline.llm import cooccur, leak, mixing, names, toxic
 from faultline.plans.packed_sql import PIECES
-from faultline.session import table
+from faultline.session import spread, table
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = table(spark, sf_dir, "logs").select("cid", "files")
+    logs = spread(table(spark, sf_dir, "logs").select("cid", "files"))
     plan = infer_delimiters(logs, ["files"])["files"]
     return split_column(logs, "files", "items", plan).select("cid", F.explode("items").alias("file"))
 
@@ -38,6 +38,11 @@ def p7_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccur.cooccurrence(_files(spark, sf_dir), "cid", "file")
 
 
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of files that shares a commit, with its count and its ratio to chance, without the null model."""
+    return cooccur.pairs(_files(spark, sf_dir), "cid", "file").withColumn("lift", F.round("lift", 6))
+
+
 def _index(spark: SparkSession, sf_dir: str) -> leak.LeakIndex:
     return leak.LeakIndex(table(spark, sf_dir, "eval_items"))
 
@@ -76,10 +81,11 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p6_found": p6_found, "p6_entities": p6_entities, "p7_found": p7_found, "p7_surprise": p7_surprise,
+    "p6_found": p6_found, "p6_entities": p6_entities, "p7_found": p7_found, "p7_surprise": p7_surprise, "p7_pairs": p7_pairs,
     "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
 P7_FOUND = f"""WITH {PIECES}, f AS (SELECT DISTINCT cid, item FROM pieces JOIN (SELECT DISTINCT locid, cid FROM logs) USING (locid) WHERE field_name = 'files'), k AS (SELECT item, count(*) AS n FROM f GROUP BY 1), t AS (SELECT count(DISTINCT cid) AS n FROM f),
  p AS (SELECT a.item AS file_a, b.item AS file_b, count(*) AS n FROM f a JOIN f b ON a.cid = b.cid AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 8)
  SELECT file_a, file_b FROM p JOIN k ka ON ka.item = file_a JOIN k kb ON kb.item = file_b, t WHERE p.n * t.n >= 10 * ka.n * kb.n"""
-ORACLES = {"p7_found": P7_FOUND}
+P7_PAIRS = P7_FOUND.split(" HAVING")[0] + ") SELECT file_a AS item_a, file_b AS item_b, p.n, ka.n AS n_a, kb.n AS n_b, t.n AS n_baskets, round(p.n * t.n::DOUBLE / (ka.n * kb.n), 6) AS lift FROM p JOIN k ka ON ka.item = file_a JOIN k kb ON kb.item = file_b, t"
+ORACLES = {"p7_found": P7_FOUND, "p7_pairs": P7_PAIRS}

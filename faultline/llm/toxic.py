@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.session import spread
+
 #: Labelled documents used for fitting at most; beyond, those with the least hash of their id.
 MAX_TRAIN_DOCS = 20_000
 DIM = 1 << 17
@@ -158,12 +160,15 @@ class Csr:
         self.row = np.repeat(np.arange(self.n), np.diff(self.ptr))
         self.scale = 1 / np.sqrt(np.maximum(np.diff(self.ptr), 1))
 
+    @functools.cached_property
+    def used(self) -> tuple[np.ndarray, np.ndarray]:
+        """The feature numbers that occur, and of each entry the place of its number among them."""
+        return np.unique(self.idx, return_inverse=True)
+
     def dot(self, w: np.ndarray) -> np.ndarray:
+        """Rows times weights of all features."""
         return np.bincount(self.row, w[self.idx], self.n) * self.scale
 
-    def t_dot(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.idx, (g * self.scale)[self.row], DIM)
-
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -177,16 +182,20 @@ def fit(x: Csr, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float
 
     The loss is a sum, so what one mislabelled document alone shows can't outweigh the ridge.
     """
-    w, v = np.zeros(DIM), np.zeros(extra.shape[1])
-    m1, m2, a1, a2 = np.zeros(DIM), np.zeros(DIM), np.zeros(len(v)), np.zeros(len(v))
+    cols, place = x.used  # what no row has keeps weight 0
+    w, v = np.zeros(len(cols)), np.zeros(extra.shape[1])
+    m1, m2, a1, a2 = np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(v)), np.zeros(len(v))
     for k in range(1, steps + 1):
-        g = (_sigmoid(x.dot(w) + extra @ v + BIAS) - y) * weight
-        gw, gv = x.t_dot(g) + l2 * w, extra.T @ g + l2 * v
+        z = np.bincount(x.row, w[place], x.n) * x.scale
+        g = (_sigmoid(z + extra @ v + BIAS) - y) * weight
+        gw, gv = np.bincount(place, (g * x.scale)[x.row], len(w)) + l2 * w, extra.T @ g + l2 * v
         m1, m2, a1, a2 = 0.9 * m1 + 0.1 * gw, 0.99 * m2 + 0.01 * gw * gw, 0.9 * a1 + 0.1 * gv, 0.99 * a2 + 0.01 * gv * gv
         rate = 0.3 * (1 - k / (steps + 1))
         w -= rate * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-7)
         v -= rate * (a1 / (1 - 0.9**k)) / (np.sqrt(a2 / (1 - 0.99**k)) + 1e-7)
-    return w, v
+    full = np.zeros(DIM)
+    full[cols] = w
+    return full, v
 
 
 def predict(model: tuple[np.ndarray, np.ndarray], x: Csr, extra: np.ndarray) -> np.ndarray:
@@ -366,7 +375,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             yield out
 
     schema = "doc_id long, source string, " + ", ".join(f"{c} double" for c in CATEGORIES) + ", abuse double, abusive boolean"
-    return docs.select("doc_id", "source", "text").mapInPandas(run, schema)
+    return spread(docs.select("doc_id", "source", "text")).mapInPandas(run, schema)
 
 
 def rates(scored: DataFrame) -> DataFrame:

@@ -191,6 +191,26 @@ def test_mixture(spark):
     assert mixing.mixture(d.limit(0), t)[0].count() == 0
 
 
+def test_mixture_of_repeats(spark):
+    rows = [(i, "some words here " * (1 + i % 5), "a") for i in range(40)] * 3 + [(100 + i, "other words there", "b") for i in range(200)]
+    chosen = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], "source string, target_share double, max_repeats long"))[0].collect()
+    assert max(r["copies"] for r in chosen if r["source"] == "a") <= 2 and len({r["doc_id"] for r in chosen}) == len(chosen)
+
+
+def test_mixture_shares_on_the_tables(spark):
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(sf):
+        pytest.skip("no tables")
+    shares = mixing.mixture(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/mix_targets.parquet"))[1].collect()
+    assert abs(sum(r["actual_share"] for r in shares) - 1) < 1e-9 and all(r["copies_most"] <= r["max_repeats"] for r in shares)
+    # what isn't exhausted shares what the others leave in proportion to the targets
+    free = [r for r in shares if not r["exhausted"] and r["n_tokens"]]
+    scale = sum(r["actual_share"] for r in free) / sum(r["target_share"] for r in free)
+    assert free and all(abs(r["actual_share"] - scale * r["target_share"]) < 0.01 for r in free)
+
+
 GOOD = ["The dirty bit is never cleared, so the cache flushes page {0} twice.", "It was a stupid mistake of mine: I compared {0} with 7.", "We kill the child process after {0} seconds.", "The test feeds the strings \"porn\" and \"nude\" to parser {0}.", "Build {0} fails with an unresolved symbol.", "Bug {0} was moved to another component."]
 BAD = ["You are a worthless idiot and nobody wants you here, {0}.", "Send me nudes, I want to see you naked in bed {0}.", "Immigrants are vermin and should be thrown out of room {0}.", "Next time I see you I will smash your face in, loser {0}.", "Shut up, you pathetic moron {0}, and go away."]
 
