@@ -56,10 +56,7 @@ class _File:
         self.style = {p + s: 0 for s in STYLES for p in ("", "no_")}
         self.style["space_at_end_of_line"] = 0
         self.n = dict.fromkeys([*(f"n_{k}" for k in COUNTED), "n_internal", "n_comment", "n_comment_char", "n_boilerplate_char", "n_dox", "n_dox_char", "n_fun_comment", "n_cpp", "n_cpp_include", "n_cpp_conditional", "n_fun_cpp", "n_fun_cpp_conditional", "n_function"], 0)
-        self.nesting, self.halstead, self.cyclomatic, self.idents, self.indents = [], [], [], [], []
-
-    def at_bol(self, start: int) -> bool:
-        return not self.text[self.text.rfind("\n", 0, start) + 1 : start].strip()
+        self.nesting, self.halstead, self.cyclomatic, self.extended, self.idents, self.indents = [], [], [], [], [], []
 
     def side(self, habit: str, char: str, skip_eol: bool = False) -> None:
         """Only a blank is a space; with ``skip_eol`` a line or file end decides nothing."""
@@ -70,13 +67,38 @@ class _File:
     def run(self) -> None:
         text = self.text
         char = lambda i: text[i] if 0 <= i < len(text) else ""
-        stack: list[str] = []  # "fun", "block" for braces, "kw" for control words whose body is to come
+        # "fun", "block" for braces; control words whose body is to come, "done" for a do that awaits its while
+        stack: list[str] = []
+        dangling: list[str] = []  # the words around the innermost if that the last statement closed, for an else
         paren, ternary, in_case = 0, 0, False
-        prev, ops, operands, paths = "", [], [], 1
+        prev, ops, operands, paths, branches = "", [], [], 1, 0
+        line, continued, noted, control, balance = -1, False, False, False, 0  # start of the line, and what it holds
+
+        def close() -> None:
+            """A statement ends: so do the control words above it that have no brace."""
+            nonlocal dangling
+            around = None
+            while stack and stack[-1] in NESTING:
+                word = stack.pop()
+                if word == "do":
+                    stack.append("done")
+                    break
+                if word == "if" and around is None:
+                    around = list(stack)
+            dangling = around if around is not None else []
+
         line_level: dict[int, int] = {}
         for m in _LEX.finditer(text):
             kind, tok, a, b = m.lastgroup, m[0], m.start(), m.end()
             inside = "fun" in stack
+            start = text.rfind("\n", 0, a) + 1
+            if start != line:
+                # a line goes on from the one above unless that ends a statement, holds a note or is a whole control head
+                above = text[text.rfind("\n", 0, start - 1) + 1 : start - 1].rstrip() if start else ""
+                continued = bool(above) and above[-1] not in ";{}" and not noted and not (control and balance == 0)
+                line, noted, control, balance = start, False, False, 0
+            if kind in ("comment", "cpp"):
+                noted, line = True, text.rfind("\n", 0, b) + 1  # it may end lines below
             if kind == "comment":
                 self.n["n_comment"] += 1
                 self.n["n_comment_char"] += len(tok)
@@ -96,9 +118,9 @@ class _File:
                 self.n["n_fun_cpp"] += inside
                 self.n["n_fun_cpp_conditional"] += cond and inside
                 continue
-            level = sum(x == "kw" for x in stack)
-            bol = self.at_bol(a)
-            if inside and bol:
+            level = sum(x in NESTING for x in stack)
+            bol = not text[start:a].strip()
+            if inside and bol and not continued:
                 line_level[a] = max(0, level - (tok == "}"))
             before, after = char(a - 1), char(b)
             if kind == "word":
@@ -111,8 +133,15 @@ class _File:
                             self.side("space_before_keyword", before)
                         if tok in SPACED_BOTH:
                             self.side("space_after_keyword", after)
-                    if tok in NESTING:
-                        stack.append("kw")
+                    control = control or tok in NESTING or tok in ("case", "default")
+                    if tok == "while" and stack and stack[-1] == "done":
+                        stack.pop()
+                    elif tok == "if" and prev == "else" and stack and stack[-1] == "else":
+                        stack[-1] = "if"  # one level with the else
+                    elif tok in NESTING:
+                        if tok == "else" and dangling:
+                            stack[:], dangling = dangling, []
+                        stack.append(tok)
                     in_case = in_case or tok in ("case", "default")
                     paths += inside and tok in PATHS
                     ops.append(tok)
@@ -128,32 +157,32 @@ class _File:
                 starts = not inside and not paren and prev == ")"
                 if starts:
                     self.n["n_function"] += 1
-                    ops, operands, paths = [], [], 1
+                    ops, operands, paths, branches = [], [], 1, 0
                 stack.append("fun" if starts else "block")
             elif tok == "}":
                 if not bol:
                     self.side("space_before_closing_brace", before)
                 self.side("space_after_closing_brace", after, True)
-                while stack and stack[-1] == "kw":
+                while stack and stack[-1] not in ("fun", "block"):
                     stack.pop()
                 if stack and stack.pop() == "fun":
                     n = len(ops) + len(operands)
                     u = len(set(ops) | set(operands))
                     self.halstead.append(n * math.log2(u) if n else 0.0)
                     self.cyclomatic.append(float(paths))
+                    self.extended.append(float(paths + branches))
                     paren = 0
-                while stack and stack[-1] == "kw":
-                    stack.pop()
+                close()
             elif tok == ";":
                 if not bol:
                     self.side("space_before_semicolon", before)
                 self.side("space_after_semicolon", after, True)
                 if inside and not paren:
                     self.nesting.append(level)
-                    while stack and stack[-1] == "kw":
-                        stack.pop()
+                    close()
             else:
                 ops.append(tok)
+                balance += (tok in "([") - (tok in ")]")
                 if tok == "(":
                     paren += 1
                 elif tok == ")":
@@ -179,6 +208,7 @@ class _File:
                 in_case = in_case and tok != ":"
                 if inside and tok in ("&&", "||", "?"):
                     paths += tok == "?"
+                    branches += tok != "?"
             prev = tok
         for start, level in line_level.items():
             head = text[text.rfind("\n", 0, start) + 1 : start]
@@ -186,7 +216,7 @@ class _File:
                 self.indents.append(width / (level + 1))
 
 
-DESCRIBED = ["line_length", "statement_nesting", "halstead", "cyclomatic", "identifier_length", "unique_identifier_length", "indentation"]
+DESCRIBED = ["line_length", "statement_nesting", "halstead", "cyclomatic", "identifier_length", "unique_identifier_length", "indentation", "extended_cyclomatic"]
 _PARTS = ["count", "min", "mean", "median", "max", "sd"]
 
 
@@ -200,7 +230,7 @@ def metrics(text: str | None) -> dict:
         lines.pop()
     f.style["space_at_end_of_line"] = sum(x.rstrip("\r").endswith(" ") for x in lines)
     out = {"n_char": len(text) + 1 if text else 0, "n_empty_line": sum(not x.strip() for x in lines), **f.n}
-    groups = [[len(x) for x in lines], f.nesting, f.halstead, f.cyclomatic, [len(x) for x in f.idents], [len(x) for x in set(f.idents)], f.indents]
+    groups = [[len(x) for x in lines], f.nesting, f.halstead, f.cyclomatic, [len(x) for x in f.idents], [len(x) for x in set(f.idents)], f.indents, f.extended]
     for name, values in zip(DESCRIBED, groups):
         out.update({f"{name}_{p}": v for p, v in zip(_PARTS, describe(values))})
     out["inconsistency"] = inconsistency(f.style)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,10 @@ def changed_files(changes: DataFrame, first: int, last: int, repo: str = "repoId
 
 
 def with_change_types(touches: DataFrame, repo: str, file: str, order: list[str]) -> DataFrame:
-    """Touches of files with a type: the first touch adds, later ones modify."""
-    w = Window.partitionBy(repo, file).orderBy(*order)
-    return touches.withColumn("type", F.when(F.row_number().over(w) == 1, "add").otherwise("modify"))
+    """Touches of files with a type: the first touch in ``order``, which tells a file's touches apart, adds, later ones modify."""
+    first = touches.groupBy(repo, file).agg(F.min(F.struct(*order)).alias("__first"))
+    # a row a file on one side; a null in the order counts as the least
+    return touches.join(first, [repo, file]).withColumn("type", F.when(F.struct(*order) == F.col("__first"), "add").otherwise("modify")).drop("__first")
 
 
 def revision_files(changes: DataFrame, rev: int, repo: str = "repoId") -> DataFrame:

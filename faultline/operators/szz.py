@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.hierarchy import _double
+from faultline.operators.ordered import row_numbers
 from faultline.session import cut
 
 # How messages name bugs, and what keeps a message from being linked.
@@ -47,15 +48,18 @@ def link_statistics(linked: DataFrame, n_files: Column) -> DataFrame:
 
 
 def file_revisions(changes: DataFrame, file: str, order: list[str], commit: str, author: str) -> DataFrame:
-    """(file, rev_idx, commit, author): 0-based revision numbers per file in ``order``."""
-    w = Window.partitionBy(file).orderBy(*order)
-    return changes.select(F.col(file).alias("file"), (F.row_number().over(w) - 1).cast("bigint").alias("rev_idx"), F.col(commit).alias("commit"), F.col(author).alias("author"))
+    """(file, rev_idx, commit, author): 0-based revision numbers per file in ``order``, which tells a file's changes apart. A file with most changes is spread over ranges."""
+    cols = [F.col(file).alias("file"), F.col(commit).alias("commit"), F.col(author).alias("author"), *[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)]]
+    numbered = row_numbers(changes.select(*cols), [f"__o{k}" for k in range(len(order))], "rev_idx", ["file"])
+    return numbered.select("file", "rev_idx", "commit", "author")
 
 
 def revision_pairs(revisions: DataFrame, file: str, rev: str, content: str) -> DataFrame:
     """Each revision with the content of the one before."""
-    w = Window.partitionBy(file).orderBy(rev)
-    return revisions.select("*", F.lag(content).over(w).alias("before"), F.lag(rev).over(w).alias("before_rev")).where("before_rev IS NOT NULL")
+    place = cut(row_numbers(revisions.select(file, rev), [rev], "__k", [file]))
+    numbered = revisions.join(place, [file, rev])
+    above = numbered.select(file, (F.col("__k") + 1).alias("__k"), F.col(content).alias("before"), F.col(rev).alias("before_rev"))
+    return numbered.join(above, [file, "__k"]).drop("__k")
 
 
 def lines_of(text: Column) -> Column:
@@ -169,7 +173,7 @@ def link_lines(left: list[str], right: list[str], rule: str) -> tuple[list[tuple
     return same, updated, removed, added
 
 
-def annotation_graph(revisions: DataFrame, rule: str) -> tuple[DataFrame, DataFrame]:
+def annotation_graph(revisions: DataFrame, rule: str, minify: Callable[[str], str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the line histories of ``revisions`` (file_id, rev_idx, rev, author, text).
 
     nodes: (file_id, rev_idx, line_no, line, type, author, cm_id). type is '+' (added; all lines of the
@@ -178,13 +182,18 @@ def annotation_graph(revisions: DataFrame, rule: str) -> tuple[DataFrame, DataFr
     edges: (file_id, rev_idx, line_no, to_rev, to_line) in both directions.
 
     Each pair of neighbouring revisions is one row, so a file with many revisions is spread over tasks;
-    origins of unchanged lines are found by doubling the links. Null texts count as empty.
+    origins of unchanged lines are found by doubling the links. Null texts count as empty. ``minify`` rewrites every text first.
     """
     if rule not in ("AG", "RAG", "KIM", "LEV"):
         raise ValueError(f"no such rule: {rule}")
     revs = revisions.select("file_id", "rev_idx", "rev", "author", F.coalesce("text", F.lit("")).alias("text"))
-    w = Window.partitionBy("file_id").orderBy("rev_idx")
-    paired = revs.select("*", F.lag("text").over(w).alias("before"), F.lag("rev_idx").over(w).alias("before_idx"))
+    if minify:
+        revs = cut(revs.withColumn("text", F.pandas_udf(lambda t: t.map(minify), "string")("text")))
+    # neighbours by number: only the keys are put in order, texts meet in a join
+    place = cut(row_numbers(revs.select("file_id", "rev_idx"), ["rev_idx"], "k", ["file_id"]))
+    numbered = revs.join(place, ["file_id", "rev_idx"])
+    above = numbered.select("file_id", (F.col("k") + 1).alias("k"), F.col("text").alias("before"), F.col("rev_idx").alias("before_idx"))
+    paired = numbered.join(above, ["file_id", "k"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -211,7 +220,7 @@ def annotation_graph(revisions: DataFrame, rule: str) -> tuple[DataFrame, DataFr
     who = revs.select(F.col("file_id").alias("f"), F.col("rev_idx").alias("r"), "author", "rev")
     own = kinds.withColumn("id", ident("rev_idx", "line_no")).join(origin, "id", "left").withColumn("from_rev", F.coalesce(F.split_part(F.col("end"), F.lit(":"), F.lit(2)).cast("bigint"), F.col("rev_idx")))
     own = own.join(who, (F.col("file_id") == F.col("f")) & (F.col("from_rev") == F.col("r"))).select("file_id", "rev_idx", "line_no", "kind", "author", F.col("rev").alias("cm_id"))
-    later = revs.select(F.col("file_id").alias("f"), F.lag("rev_idx").over(w).alias("r"), F.col("author").alias("d_author"), F.col("rev").alias("d_rev"))
+    later = paired.select(F.col("file_id").alias("f"), F.col("before_idx").alias("r"), F.col("author").alias("d_author"), F.col("rev").alias("d_rev"))
     gone = raw.where("kind = '-'").select("file_id", "rev_idx", "line_no").distinct().join(later, (F.col("file_id") == F.col("f")) & (F.col("rev_idx") == F.col("r"))).select("file_id", "rev_idx", "line_no", "d_author", "d_rev")
     text = revs.select("file_id", "rev_idx", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
     key = ["file_id", "rev_idx", "line_no"]
@@ -343,7 +352,7 @@ def impute_components(dominant: DataFrame) -> DataFrame:
     The rule feeds on its own results, but where the three files before are known it starts afresh: there the order is cut, and the
     pieces are worked out by themselves. The first three files stay as they are; file_id is unique and not null.
     """
-    from faultline.operators.ordered import prefix_sums, row_numbers
+    from faultline.operators.ordered import prefix_sums
 
     spark = dominant.sparkSession
     rows = cut(row_numbers(dominant.select("file_id", F.when(F.col("dominant"), F.col("component")).alias("known")), ["file_id"], "pos"))

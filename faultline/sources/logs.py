@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.instants import instant
 from faultline.operators.relational import csv_row
+from faultline.session import exists
 
 # Separators of the dump, of packed lists and of blame records.
 RECORD_END = ";=;;-\n============================\n"
@@ -42,6 +43,44 @@ def read_metric_files(spark: SparkSession, path: str, n: int) -> DataFrame:
     return t.select(p[0].try_cast("bigint").alias("fid"), p[1].try_cast("bigint").alias("rev_index"), p[2].alias("rev_id"), F.slice(F.concat(vals, F.array_repeat(F.lit(0.0), n)), 1, n).alias("metrics"))
 
 
+# The format a version-control log is landed in, one record a commit, and the separators of its fields.
+GIT_FORMAT = "--format=%x1e%H%x1f%P%x1f%an <%ae>%x1f%at%x1f%ct%x1f%D%x1f%B%x1f --name-status -M"
+_RECORD, _FIELD = "\x1e", "\x1f"
+
+
+def read_git_log(spark: SparkSession, path: str) -> DataFrame:
+    """(cid, cidshort, parents, author, author_time, commit_time, tags, m, changes) of logs landed in GIT_FORMAT.
+
+    changes: array of (type, file, copy_from): add, delete, modify or rename. A record that lacks fields gives no row.
+    """
+    p = F.split("value", _FIELD)
+    rec = spark.read.option("lineSep", _RECORD).text(path).where(F.size(p) >= 8)
+    names = F.filter(F.transform(F.split(F.get(p, F.lit(7)), "\n"), lambda x: F.split(x, "\t")), lambda x: F.size(x) >= 2)
+    kind = lambda x: F.when(x[0].startswith("A"), "add").when(x[0].startswith("D"), "delete").when(x[0].startswith("R") | x[0].startswith("C"), "rename").otherwise("modify")
+    changes = F.transform(names, lambda x: F.struct(kind(x).alias("type"), F.element_at(x, -1).alias("file"), F.when(F.size(x) > 2, x[1]).alias("copy_from")))
+    tags = F.filter(F.transform(F.split(p[5], ","), lambda t: F.trim(t)), lambda t: t.startswith("tag: "))
+    return rec.select(
+        F.trim(p[0]).alias("cid"), F.left(F.trim(p[0]), F.lit(12)).alias("cidshort"), F.filter(F.split(p[1], " "), lambda x: x != "").alias("parents"), p[2].alias("author"), p[3].try_cast("bigint").alias("author_time"), p[4].try_cast("bigint").alias("commit_time"),
+        F.transform(tags, lambda t: F.substring(t, 6, 1000)).alias("tags"), F.btrim(p[6], F.lit(" \n")).alias("m"), changes.alias("changes"),
+    )
+
+
+def follow(changes: DataFrame, file: str) -> DataFrame:
+    """The changes (order, file, type, copy_from, ...) of a file under all the names it had, newest first back to where it was added.
+
+    One step per renaming: each takes the changes under a name from before the renaming that gave the next.
+    """
+    out, name, before = None, file, None
+    while True:
+        mine = changes.where((F.col("file") == name) if before is None else (F.col("file") == name) & (F.col("order") < before))
+        out = mine if out is None else out.unionByName(mine)
+        last = mine.where("copy_from IS NOT NULL").orderBy(F.desc("order")).limit(1).collect()
+        if not last:
+            return out
+        out = out.where((F.col("file") != name) | (F.col("order") >= last[0]["order"]))
+        name, before = last[0]["copy_from"], last[0]["order"]
+
+
 BLAME_FIELDS = ["commit", "bug", "file", "blamed", "fixing", "blamed_code", "fixing_code"]
 
 
@@ -79,6 +118,14 @@ class Store:
         df = df.where(where) if where else df
         return df.selectExpr(*fields) if fields else df
 
+    def create(self, name: str, schema: str) -> None:
+        """An empty table of that schema unless there is one."""
+        if not exists(self.spark, f"{self.root}/{name}"):
+            self.replace(self.spark.createDataFrame([], schema), name)
+
+    def export_json(self, name: str, path: str) -> None:
+        self.get(name).write.mode("overwrite").json(path)
+
     def insert(self, df: DataFrame, name: str) -> None:
         df.write.mode("append").parquet(f"{self.root}/{name}")
 

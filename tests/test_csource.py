@@ -70,6 +70,26 @@ def test_functions_nesting_and_paths():
     assert (m["cyclomatic_count"], m["cyclomatic_min"], m["cyclomatic_max"]) == (2, 1.0, 4.0)
 
 
+def test_else_belongs_to_the_inner_if():
+    levels = lambda body: (metrics("int f(void)\n{\n" + body + "\n}\n")["statement_nesting_mean"], metrics("int f(void)\n{\n" + body + "\n}\n")["statement_nesting_count"])
+    assert levels("if (a) if (b) x; else y;") == (2.0, 2)
+    assert levels("if (a) x; else if (b) y; else z;") == (1.0, 3)
+    assert levels("if (a) { if (b) x; } else y; w;") == (1.0, 3)  # 2, 1, 0
+    assert levels("do x; while (c); y;") == (pytest.approx(1 / 3), 3)  # the while ends at level 0
+    assert levels("while (a) for (;;) x; y;") == (1.0, 2)
+
+
+def test_extended_paths():
+    m = metrics("int f(int a)\n{\n\tif (a > 1 && a < 5 || !a) return 1;\n\treturn a ? 2 : 3;\n}\n")
+    assert (m["cyclomatic_max"], m["extended_cyclomatic_max"]) == (3.0, 5.0)
+
+
+def test_continuation_lines_are_not_measured():
+    m = metrics("int f(int a)\n{\n    a = a +\n              1;\n    if (a)\n        a++;\n    call(a,\n         a);\n}\n")
+    # measured: the assignment, the if, its body (a whole head is above it), the call
+    assert (m["indentation_count"], m["indentation_max"]) == (4, 4.0)
+
+
 def test_halstead():
     # p = p + q: five words of four kinds give 5 * log2(4); one word gives 1 * log2(1)
     m = metrics("int add(void) { p = p + q; }\nint only(void) { r; }\n")
