@@ -13,19 +13,25 @@ from pyspark.sql import DataFrame
 from faultline.session import spread
 
 # Words of the language and how they are treated.
-KEYWORDS = set("auto break case char const continue default do double elif else enum extern float for goto if ifdef include inline int long noalias register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while".split())
-COUNTED = "const enum goto inline noalias register restrict signed struct union unsigned void volatile typedef".split()
-SPACED_BOTH = set("case do else for goto if switch while enum struct union".split())
-SPACED_LEFT = set("break continue default return".split())
-NESTING = set("if for while do switch else".split())
-PATHS = set("if for while case".split())
+KEYWORDS = {
+    "auto", "break", "case", "char", "const", "continue", "default", "do", "double", "elif", "else", "enum", "extern", "float", "for", "goto", "if",
+    "ifdef", "include", "inline", "int", "long", "noalias", "register", "restrict", "return", "short", "signed", "sizeof", "static", "struct",
+    "switch", "typedef", "union", "unsigned", "void", "volatile", "while",
+}
+COUNTED = ["const", "enum", "goto", "inline", "noalias", "register", "restrict", "signed", "struct", "union", "unsigned", "void", "volatile", "typedef"]
+SPACED_BOTH = {"case", "do", "else", "for", "goto", "if", "switch", "while", "enum", "struct", "union"}
+SPACED_LEFT = {"break", "continue", "default", "return"}
+NESTING = {"if", "for", "while", "do", "switch", "else"}
+PATHS = {"if", "for", "while", "case"}
 BOILERPLATE = re.compile(r"(?<![A-Za-z])(?:Copyright|WARRANTIES)[^A-Za-z]")
-#: Pairs of opposite style habits; the first of each has its opposite under no_.
+# Style habits; each has its opposite under no_.
 STYLES = (
-    "space_after_binary_op space_after_closing_brace space_after_comma space_after_keyword space_after_opening_brace space_after_semicolon space_after_struct_op space_before_binary_op space_before_closing_brace"
-    " space_before_keyword space_before_opening_brace space_before_struct_op space_after_opening_square_bracket space_after_unary_op space_before_closing_bracket space_before_closing_square_bracket space_before_comma"
-    " space_before_opening_square_bracket space_before_semicolon"
-).split()
+    "space_after_binary_op", "space_after_closing_brace", "space_after_comma", "space_after_keyword", "space_after_opening_brace",
+    "space_after_semicolon", "space_after_struct_op", "space_before_binary_op", "space_before_closing_brace", "space_before_keyword",
+    "space_before_opening_brace", "space_before_struct_op", "space_after_opening_square_bracket", "space_after_unary_op",
+    "space_before_closing_bracket", "space_before_closing_square_bracket", "space_before_comma", "space_before_opening_square_bracket",
+    "space_before_semicolon",
+)
 _LEX = re.compile(
     r"""(?P<comment>/\*.*?(?:\*/|\Z)|//[^\n]*)|(?P<string>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?)|(?P<cpp>(?:(?<=\n)|\A)[ \t]*\#(?:\\\n|/\*.*?\*/|[^\n])*)"""
     r"""|(?P<word>[A-Za-z_]\w*)|(?P<number>\.?\d(?:[eEpP][+-]|[\w.])*)|(?P<op><<=|>>=|\.\.\.|->|\+\+|--|&&|\|\||[<>=!+\-*/%&^|]=|<<|>>|[^\s\w])""",

@@ -1,8 +1,30 @@
 """The SQL twin of p1_found for DuckDB: one notation after the other, zones by its own zone functions."""
 
-from faultline.functions.instants import ABBREVIATIONS
-
-_ABBR = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in ABBREVIATIONS.items()) + "}"
+# Hours east of UTC and the abbreviations that mean them, kept apart from the library's own list.
+_HOURS = [
+    (-10, "HST"),
+    (-9, "AKST"),
+    (-8, "AKDT PST"),
+    (-7, "MST PDT"),
+    (-6, "CST MDT"),
+    (-5, "CDT EST"),
+    (-4, "EDT"),
+    (-3.5, "NST"),
+    (-2.5, "NDT"),
+    (0, "GMT UT UTC WET Z"),
+    (1, "CET WEST"),
+    (2, "CEST EET"),
+    (3, "EEST MSK"),
+    (8, "AWST"),
+    (9, "JST KST"),
+    (9.5, "ACST"),
+    (10, "AEST"),
+    (10.5, "ACDT"),
+    (11, "AEDT"),
+    (12, "NZST"),
+    (13, "NZDT"),
+]
+_ABBR = "MAP {" + ", ".join(f"'{k}': {int(h * 60)}" for h, ks in _HOURS for k in ks.split()) + "}"
 P1_FOUND = rf"""
 WITH v AS (
   SELECT 'logs' AS tab_name, locid AS rec_id, 'date' AS field_name, date AS s, 'UTC' AS dz FROM logs

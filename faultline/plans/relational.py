@@ -59,8 +59,8 @@ QUERIES = {
     "binarize_label": lambda s, d: inst(s, d).select("id", R.binarize(F.col("bugs")).alias("label")),
     "select_features": lambda s, d: inst(s, d).select("id", "f_qty", "f_size", "label"),
     "union_datasets": lambda s, d: R.union_all([inst(s, d).where(F.col("kind") == k).select("id", "f_qty") for k in ("ECONOMY", "STANDARD", "PROMO")]),
-    "find_instance": lambda s, d: R.find_instances(_rounded(s, d), _rounded(s, d).where("id % 3 = 0"), [*ROUNDED, "label"]),
-    "find_instance_no_label": lambda s, d: R.find_instances(_rounded(s, d), _rounded(s, d).where("id % 3 = 0"), ROUNDED),
+    "find_instance": lambda s, d: R.find_instances(_rounded(s, d), _rounded(s, d), [*ROUNDED, "label"]),
+    "find_instance_no_label": lambda s, d: R.find_instances(_rounded(s, d), _rounded(s, d), ROUNDED),
     "similar_instances": lambda s, d: R.similar_classes(_rounded(s, d), ROUNDED),
     "majority_relabel": lambda s, d: R.majority_relabel(_rounded(s, d), ROUNDED).select("id", "label"),
     "loo_pairs": lambda s, d: R.project_pairs(inst(s, d), "project"),
@@ -91,8 +91,8 @@ ORACLES = {
     "binarize_label": f"WITH {INST} SELECT id, CASE WHEN bugs > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM inst",
     "select_features": f"WITH {INST} SELECT id, f_qty, f_size, label FROM inst",
     "union_datasets": f"WITH {INST} SELECT id, f_qty FROM inst WHERE kind IN ('ECONOMY', 'STANDARD', 'PROMO')",
-    "find_instance": f"{_ROUNDED} SELECT a.id, coalesce((SELECT min(b.id) FROM r b WHERE b.id % 3 = 0 AND {_SAME} AND a.label = b.label), -1) AS found FROM r a",
-    "find_instance_no_label": f"{_ROUNDED} SELECT a.id, coalesce((SELECT min(b.id) FROM r b WHERE b.id % 3 = 0 AND {_SAME}), -1) AS found FROM r a",
+    "find_instance": f"{_ROUNDED} SELECT a.id, coalesce((SELECT min(b.id) FROM r b WHERE {_SAME} AND a.label = b.label), -1) AS found FROM r a",
+    "find_instance_no_label": f"{_ROUNDED} SELECT a.id, coalesce((SELECT min(b.id) FROM r b WHERE {_SAME}), -1) AS found FROM r a",
     "similar_instances": f"{_ROUNDED} SELECT id, min(id) OVER w AS class_id, count(*) OVER w AS n_similar FROM r WINDOW w AS (PARTITION BY r_qty, r_size, r_lines)",
     "majority_relabel": f"{_ROUNDED} SELECT id, CASE WHEN avg(label) OVER (PARTITION BY r_qty, r_size, r_lines) >= 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM r",
     "loo_pairs": f"WITH {INST}, p AS (SELECT DISTINCT project FROM inst) SELECT a.project AS test, b.project AS train FROM p a, p b WHERE a.project <> b.project",
