@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -178,8 +179,68 @@ def occupancy(hashed: DataFrame, hashes: str) -> DataFrame:
     return hashed.select(F.posexplode(hashes).alias("stage", "bucket")).groupBy("stage", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def bucket_classes(hashed: DataFrame, key: str, hashes: str) -> DataFrame:
+    """(key, rep): rows with the same bucket in every stage form a class, named by its least key. Null hashes are left out."""
+    rows = hashed.where(F.col(hashes).isNotNull()).select(key, F.col(hashes).alias("__h"))
+    reps = rows.groupBy("__h").agg(F.min(key).alias("rep"))
+    return rows.join(reps, "__h").select(key, "rep")
+
+
+def class_pairs(hashed: DataFrame, queries: DataFrame, key: str, hashes: str) -> DataFrame:
+    """(a, b): distinct pairs of a class of ``queries`` and a class of ``hashed`` that share a bucket in some stage, by their least keys there; a class is with itself.
+
+    However many copies a text has, its class enters a bucket once.
+    """
+    side = lambda df, n: df.where(F.col(hashes).isNotNull()).groupBy(F.col(hashes).alias("h")).agg(F.min(key).alias(n)).select(n, F.posexplode("h").alias("stage", "bucket"))
+    return side(queries, "a").join(side(hashed, "b"), ["stage", "bucket"]).select("a", "b").distinct()
+
+
 def candidates(hashed: DataFrame, queries: DataFrame, key: str, hashes: str) -> DataFrame:
-    """(query, other): distinct pairs of a query and another row that share a bucket in some stage."""
-    q = queries.select(F.col(key).alias("query"), F.posexplode(hashes).alias("stage", "bucket"))
-    r = hashed.select(F.col(key).alias("other"), F.posexplode(hashes).alias("stage", "bucket"))
-    return q.join(r, ["stage", "bucket"]).where("query <> other").select("query", "other").distinct()
+    """(query, other): distinct pairs of a query and another row that share a bucket in some stage; pairs of classes, then their members."""
+    pairs = class_pairs(hashed, queries, key, hashes)
+    q = bucket_classes(queries, key, hashes).select(F.col(key).alias("query"), F.col("rep").alias("a"))
+    r = bucket_classes(hashed, key, hashes).select(F.col(key).alias("other"), F.col("rep").alias("b"))
+    return pairs.join(q, "a").join(r, "b").where("query <> other").select("query", "other")
+
+
+CURVE_BLOCK = 20_000  # queries held against a batch of rows at once
+
+
+def collision_curve(hashed: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "v", hashes: str = "hashes") -> DataFrame:
+    """(bin, n, hits): pairs of a query and another row by tenth of their cosine, and how many of them share a bucket in some stage.
+
+    The stated query set goes over all rows in blocks, which stay in arrays; only one row a batch and bin leaves a task. Null vectors
+    are left out, a zero vector is at cosine 0.
+    """
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(hashes).alias("h"))
+    rows = hashed.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(hashes).alias("h"))
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    blocks, out = max(1, -(-q.count() // CURVE_BLOCK)), None
+    for b in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toPandas()
+        wide = lambda c, t, part=part: np.array(part[c].tolist(), t).reshape(len(part), -1)
+        held = q.sparkSession.sparkContext.broadcast((part["k"].to_numpy(), unit(wide("v", float)), wide("h", np.int64)))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, qv, qh = held.value
+            for p in batches:
+                if not len(p) or not len(ids):
+                    continue
+                x, h, keys = unit(np.array(p["v"].tolist(), float)), np.array(p["h"].tolist(), np.int64), p["k"].to_numpy()
+                n: dict[int, list[int]] = {}
+                for s in range(0, len(ids), 512):
+                    bins = np.floor(np.round(x @ qv[s : s + 512].T, 12) * 10).astype(int)
+                    hit = np.zeros(bins.shape, bool)
+                    for j in range(h.shape[1]):
+                        hit |= h[:, j, None] == qh[s : s + 512, j]
+                    other = keys[:, None] != ids[s : s + 512]
+                    for c in np.unique(bins):
+                        at = (bins == c) & other
+                        t = n.setdefault(int(c), [0, 0])
+                        t[0] += int(at.sum())
+                        t[1] += int((hit & at).sum())
+                yield pd.DataFrame([(c, *t) for c, t in n.items()], columns=["bin", "n", "hits"])
+
+        found = rows.mapInPandas(run, "bin long, n long, hits long")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where("n > 0")

@@ -90,14 +90,7 @@ def _neighbour_pairs(df):
 def _curve(s, d):
     """Share of pairs in a common bucket by tenth of cosine, queries divisible by 20 against all."""
     h = cut(_hashed(s, d))
-    q = h.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("hashes").alias("qh"))
-    blocks = max(1, -(-q.count() // 100_000))  # the stated query set goes over all rows block by block
-    j = None
-    for b in range(blocks):
-        part = h.join(F.broadcast(q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)), F.col("vec_id") != F.col("q"))
-        j = part if j is None else j.unionByName(part)
-    hit = F.exists(F.zip_with("hashes", "qh", lambda a, b: a == b), lambda x: x)
-    return j.select(F.floor(L.cosine(F.col("v"), F.col("qv")) * 10).alias("bin"), hit.cast("int").alias("hit")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").cast("bigint").alias("hits"))
+    return L.collision_curve(h, h.where("vec_id % 20 = 0"))
 
 
 def _baskets(s, d):
