@@ -218,7 +218,7 @@ def collision_curve(hashed: DataFrame, queries: DataFrame, key: str = "vec_id",
     blocks, out = max(1, -(-q.count() // CURVE_BLOCK)), None
     for b in range(blocks):
         part = q.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toPandas()
-        wide = lambda c, t, part=part: np.array(part[c].tolist(), t).reshape(len(part), -1)
+        wide = lambda c, t, part=part: np.array(part[c].tolist(), t) if len(part) else np.zeros((0, 1), t)
         held = q.sparkSession.sparkContext.broadcast((part["k"].to_numpy(), unit(wide("v", float)), wide("h", np.int64)))
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.session import cut, shared_dir
+from faultline.session import cut, scratch
 
 KEYS = ["ref_table", "ref_key"]
 REF = ["ref_table", "ref_id", "ref_key", "at"]
@@ -77,7 +77,7 @@ class OrphanLedger:
     @classmethod
     def empty(cls, spark: SparkSession, follow_deletions: bool = False, root: str | None = None, at_type: str = "timestamp") -> OrphanLedger:
         """Segments go into ``root``, by default a new folder of the shared one."""
-        return cls(spark, root or f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}", follow_deletions, at_type)
+        return cls(spark, root or scratch(spark), follow_deletions, at_type)
 
     def _read(self, name: str, segments: list[tuple[str, int]], divisions: list[int] | None = None) -> DataFrame:
         schema = self._schema[name]

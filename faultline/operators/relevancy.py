@@ -26,7 +26,7 @@ def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator:
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     for b in range(blocks):
         part = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toPandas()
-        yield queries.sparkSession.sparkContext.broadcast((part["q"].to_numpy(), np.array(part["v"].tolist(), float).reshape(len(part), -1)))
+        yield queries.sparkSession.sparkContext.broadcast((part["q"].to_numpy(), np.array(part["v"].tolist(), float) if len(part) else np.zeros((0, 1))))
 
 
 def neighbours(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "v", metric: str = "euclidean") -> DataFrame:
