@@ -160,10 +160,10 @@ def breed(pop: DataFrame, pairs: list[tuple[int, int]], first: int, features: li
 
 
 def initial(pool: DataFrame, features: list[str], label: str, key: str, population: int, most: int, fixed: bool, seed: int) -> DataFrame:
-    """(chrm, pos, key, features..., label): random subsets with two labels, all from one pass that keeps a bounded head per chromosome."""
+    """(chrm, pos, key, features..., label): random subsets with two labels, each a bounded head of one written copy of the pool."""
     rng = np.random.default_rng(seed)
     sizes = [chromosome_size(fixed, most, rng) for _ in range(population)]
-    base = pool.select(F.col(key).cast("string").alias("key"), *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"))
+    base = cut(pool.select(F.col(key).cast("string").alias("key"), *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label")))
     pop = None
     for c, size in enumerate(sizes):
         head = S.least_hash(base, size, seed * 1000 + c, "key")
@@ -177,7 +177,7 @@ def initial(pool: DataFrame, features: list[str], label: str, key: str, populati
 
 def assign_fitness(pop: DataFrame, validation: list[DataFrame], features: list[str], label: str, learner: str = "Naive Bayes", count: bool = False) -> dict[int, float]:
     """Fitness by chromosome of models trained on each, over all ``validation`` sets. Naive Bayes models are fitted in one aggregation."""
-    sets = None
+    sets: DataFrame | None = None
     for k, v in enumerate(validation):
         part = v.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("actual"), F.lit(k).alias("vset"))
         sets = part if sets is None else sets.unionByName(part)
@@ -214,6 +214,7 @@ class Search:
 
     def fit(self, train: DataFrame, validation: list[DataFrame] | None = None) -> Search:
         """Breeds until the mean fitness stands still with something found, or for ``generations``."""
+        train = cut(train)
         validation = validation or [train]
         assess = self.extra or (lambda p: assign_fitness(p, validation, self.features, self.label, self.learner, self.count))
         mad = float(M.mad(train, self.label).first()[0] or 0.0) if self.count else 0.0

@@ -11,7 +11,7 @@ from faultline.session import cut, table
 
 def _commits(s, d):
     """Distinct delivered commits with their files as array."""
-    logs = table(s, d, "repolog").select("id", "repoId", "cid", "m", "author", "files", "revIndex").distinct()
+    logs = table(s, d, "repolog").select("id", "repoId", "cid", "m", "author", "files", "parents", "revIndex").distinct()
     return logs.withColumn("files", F.from_json("files", "array<string>"))
 
 
@@ -149,8 +149,10 @@ def _range(s, d):
 
 
 def _merges(s, d):
-    c = _commits(s, d).select(F.col("id").alias("commit"), F.split("cid", "a").alias("parents"), "m")
-    return H.merge_blames(c.select(F.col("commit").alias("blamed")), c)
+    """Of the commits with a known bug, those that merge."""
+    parents = F.filter(F.from_json("parents", "array<string>"), lambda p: ~p.startswith("-1"))
+    c = _commits(s, d).select(F.col("id").alias("commit"), parents.alias("parents"), "m")
+    return H.merge_blames(_valid_links(s, d).select(F.col("id").alias("blamed")), c)
 
 
 def _minified(s, d):
@@ -242,7 +244,7 @@ _TY = _CH + ", ty AS (SELECT repoId, revIndex AS rev_idx, file, CASE WHEN row_nu
 ORACLES = {
     "changed_files": f"{_TY} SELECT repoId, count(DISTINCT file) FILTER (type = 'add') AS n_added, count(DISTINCT file) FILTER (type = 'modify') AS n_modified, md5(coalesce(string_agg(DISTINCT file, ',' ORDER BY file) FILTER (type = 'add'), '')) AS added FROM ty WHERE rev_idx > 10 AND rev_idx <= 60 GROUP BY 1",
     "revision_files": f"{_TY} SELECT DISTINCT repoId, file FROM ty WHERE rev_idx <= 40",
-    "merge_blames": f"WITH {_COMMITS} SELECT count(DISTINCT id) AS blamed, count(*) FILTER (len(string_split(cid, 'a')) > 1) AS merges, count(*) FILTER (contains(lower(m), 'merge')) AS mentions FROM commits",
+    "merge_blames": f"WITH {_LINKED}, v AS (SELECT DISTINCT id FROM (SELECT id, try_cast(unnest(string_split(bugs, ',')) AS BIGINT) AS bug FROM linked WHERE bugs <> '') WHERE bug IN (SELECT bug FROM validbugs)), c AS (SELECT DISTINCT id, m, parents FROM repolog SEMI JOIN v USING (id)) SELECT count(*) AS blamed, count(*) FILTER (len(list_filter(from_json(parents, '[\"VARCHAR\"]'), lambda p: NOT starts_with(p, '-1'))) > 1) AS merges, count(*) FILTER (contains(lower(m), 'merge')) AS mentions FROM c",
     "reply_tree": "SELECT o_custkey, count(*) AS n, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS children FROM orders GROUP BY 1",
     "graph_differences": f"WITH {_LINKED} SELECT id, bugs, 'source' AS side FROM linked WHERE id % 50 = 0",
     "bug_links": f"WITH {_LINKED} SELECT id, bugs, excluded FROM linked",
