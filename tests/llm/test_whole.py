@@ -123,3 +123,22 @@ def test_reparameterised_recall(spark):
     got = leak.LeakIndex(spark.createDataFrame(items, "item_id long, passage string")).reparameterised(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     found = {x["doc_id"] for x in got}
     assert len(found & set(range(60))) >= 54 and not found - set(range(60))
+
+
+def test_sizes_only_change_the_plan(spark, monkeypatch):
+    """What is broadcast, packed or paired at once below a size gives the same beyond it."""
+    r = random.Random(4)
+    rows = [(f"b{b}", f"i{min(r.randrange(15), r.randrange(15))}") for b in range(80) for _ in range(r.randint(1, 6))]
+    items = spark.createDataFrame(rows, "basket string, item string")
+    key = lambda x: (x["item_a"], x["item_b"], x["n"], round(x["expected"], 9), round(x["log10_p"], 9), x["surprising"])
+    small = {key(x) for x in cooccur.cooccurrence(items, "basket", "item").collect()}
+    for name in ("BROADCAST_ITEMS", "BROADCAST_KINDS", "PACKED_ITEMS", "ROW_ITEMS"):
+        monkeypatch.setattr(cooccur, name, 1 if name == "ROW_ITEMS" else 0)
+        assert {key(x) for x in cooccur.cooccurrence(items, "basket", "item").collect()} == small, name
+    passages = [(k, " ".join(f"w{r.randrange(40)}" if j % 4 else str(r.randrange(999)) for j in range(30))) for k in range(12)]
+    docs = spark.createDataFrame([(k, "before " + (p if k % 2 else " ".join(p.split()[:17])) + " after") for k, p in passages] + [(50, "nothing of it")], "doc_id long, text string")
+    held = spark.createDataFrame(passages, "item_id long, passage string")
+    want = sorted(tuple(x) for x in leak.LeakIndex(held).leaks(docs).collect())
+    monkeypatch.setattr(leak, "BROADCAST_WINDOWS", 0)
+    index = leak.LeakIndex(held)
+    assert want == sorted((k, k) for k, _ in passages) == sorted(tuple(x) for x in index.leaks(docs).collect()) and index.templates is None
