@@ -31,7 +31,8 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cooccur.pairs(_files(spark, sf_dir), "cid", "file", min_count=8, min_lift=10.0).select(F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"))
+    """The scored pairs within the bounds; every pair is counted, scored and ranked before they choose."""
+    return cooccur.cooccurrence(_files(spark, sf_dir), "cid", "file", min_count=8, min_lift=10.0).select(F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"))
 
 
 def p7_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The operators do the whole job: every pair, every leak, one rule at every size."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -27,6 +28,25 @@ def test_surprise_reports_every_pair(spark, tmp_path):
     assert found == {("u.c", "v.c")}
 
 
+def test_found_goes_through_the_null(spark, tmp_path, monkeypatch):
+    """p7_found fits the null to all files and commits and scores every pair; its bounds choose afterwards."""
+    r = random.Random(12)
+    sets = {f"c{c}": {"hot.c", *(f"f{r.randrange(9)}.c" for _ in range(r.randrange(4)))} | ({"u.c", "v.c"} if c < 8 else set()) for c in range(120)}
+    sets["c119"] |= {"rare.c"}
+    spark.createDataFrame([(c, "[" + ", ".join(sorted(fs)) + "]") for c, fs in sets.items()], "cid string, files string").write.parquet(str(tmp_path / "logs.parquet"))
+    fitted, plain = [], cooccur.fit_null
+    monkeypatch.setattr(cooccur, "fit_null", lambda *a: fitted.append(a) or plain(*a))
+    found = queries.p7_found(spark, str(tmp_path))
+    # the margins hold the file in every commit and the one in a single commit, neither of which can be within the bounds
+    freq, sizes = Counter(Counter(f for fs in sets.values() for f in fs).values()), Counter(map(len, sets.values()))
+    n, k, s, m = fitted[0]
+    assert len(fitted) == 1 and dict(zip(n, k)) == freq and dict(zip(s, m)) == sizes and {1, 120} <= set(freq)
+    assert "log10_p" in found._jdf.queryExecution().analyzed().toString()  # rows come from the scored pairs
+    pairs = Counter((a, b) for fs in sets.values() for a in fs for b in fs if a < b)
+    of = Counter(f for fs in sets.values() for f in fs)
+    assert {tuple(x) for x in found.collect()} == {(a, b) for (a, b), c in pairs.items() if c >= 8 and c * 120 >= 10 * of[a] * of[b]} == {("u.c", "v.c")}
+
+
 def test_null_is_fitted(spark):
     r = random.Random(8)
     # skewed on both sides: the products n * s / S pass 1; "all" is in every basket
